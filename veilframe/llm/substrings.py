@@ -35,11 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import every_salt, grams, lists, row_bounds, signed, slices, table, text_key, words
+from .common import grams, lists, row_bounds, signed, slices, table, text_key, words
 
 ANCHOR = 8
 _POS = np.uint64((1 << 24) - 1)
-TEXT_SALTS = 8
 HOT_SALTS = 64
 
 
@@ -206,21 +205,37 @@ def _whole(parts: list[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]
     yield from _deep_nodes(*cols, np.diff(ws.offsets.to_numpy()), ws.flatten().to_numpy(zero_copy_only=False), window)
 
 
-def repeated_ranges(docs: DataFrame, suffix_docs: DataFrame, window: int, group_rows: int) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int, group_rows: int) -> DataFrame:
     """(k1, found): for each text key the repeated word ranges, with the second half of the key."""
-    found = table(_anchor_rows(docs, window), "anchors")
-    many = table(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchor-counts")
-    again = found.join(many.select("h", (F.col("n") > group_rows).cast("int").alias("hot")), "h")
-    places = table(again.groupBy("k1").agg(F.collect_set((F.col("pos") * 2 + F.col("hot")).cast("int")).alias("pos")), "anchor-places")
-    joined = suffix_docs.join(places.withColumn("salt", every_salt(TEXT_SALTS)), ["k1", "salt"])
-    suffixes = _suffix_rows(joined, window)
+    found = _anchor_rows(docs, window)
+    many = table(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") > group_rows).cast("int").alias("hot")), "anchor-counts")
+    any_hot = not many.filter("hot = 1").isEmpty()
+    places = table(found.join(many, "h").groupBy("k1").agg(F.collect_set((F.col("pos") * 2 + F.col("hot")).cast("int")).alias("pos")), "anchor-places")
+    suffixes = _suffix_rows(docs.join(places, "k1"), window)
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("k1", "first"), F.lit(HOT_SALTS))).otherwise(F.lit(0))
     dealt = suffixes.withColumn("salt", salt.cast("int")).repartition("key", "salt").sortWithinPartitions("salt", "key").select("key", "hot", "k1", "k2", "first", "ws", "salt")
-    first = dealt.mapInArrow(_by_salt(window), "key long, state byte, k1 long, k2 long, start int, end int")
-    # Singles of a hot prefix meet here, at most one from each salt.
-    deal = F.when(F.col("state") == 0, F.xxhash64("k1", "k2", "start")).otherwise(F.col("key"))
-    second = first.withColumn("deal", deal).repartition("deal").sortWithinPartitions("state", "key").select(*_RANGE).mapInArrow(_settle, "key long, state byte, k1 long, k2 long, start int, end int")
-    return second.groupBy("k1").agg(F.collect_set(F.struct("k2", "start", "end")).alias("found"))
+    schema = "key long, state byte, k1 long, k2 long, start int, end int"
+    out = dealt.mapInArrow(_by_salt(window), schema)
+    if any_hot:  # singles of a hot prefix meet here, at most one from each salt
+        deal = F.when(F.col("state") == 0, F.xxhash64("k1", "k2", "start")).otherwise(F.col("key"))
+        out = out.withColumn("deal", deal).repartition("deal").sortWithinPartitions("state", "key").select(*_RANGE).mapInArrow(_settle, schema)
+    grouped = out.groupBy("k1").agg(F.collect_set(F.struct("k2", "start", "end")).alias("found"))
+    return grouped.mapInArrow(_joined, "k1 long, found array<long>")
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping repeats become maximal ranges: k2, start, end laid flat."""
+    for batch in batches:
+        rows = []
+        for found in batch.column(1).to_pylist():
+            flat: list[int] = []
+            for k2, a, b in sorted((x["k2"], x["start"], x["end"]) for x in found):
+                if flat and flat[-3] == k2 and a <= flat[-1]:
+                    flat[-1] = max(flat[-1], b)
+                else:
+                    flat += [k2, a, b]
+            rows.append(flat)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["k1", "found"])
 
 
 def _by_salt(window: int):
@@ -271,9 +286,9 @@ def dedup_substrings(docs: DataFrame, *, text_col: str = "text", id_col: str = "
     """One row per document: ``id_col``, n_words, n_removed, kept (its words that stay, joined by one space)."""
     k1, k2 = text_key(F.col(text_col))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), k1.alias("k1"), k2.alias("k2"))
-    texts = src.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(TEXT_SALTS)).cast("int"))
-    found = repeated_ranges(src, texts, window, group_rows)
-    joined = texts.join(found.withColumn("salt", every_salt(TEXT_SALTS)), ["k1", "salt"], "left").select("id", "text", "k2", "k1", "salt", "found")
+    # The texts' exchange by k1 serves this join and the one inside; both sides
+    # come straight from exchanges, so a key with many copies is split at run time.
+    joined = src.join(repeated_ranges(src, window, group_rows), "k1", "left").select("id", "text", "k2", "k1", "found")
     kind = src.schema["id"].dataType.simpleString()
     return joined.mapInArrow(_cut, f"id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
 
@@ -286,9 +301,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text, k2, found in zip(part.column("text"), part.column("k2").to_pylist(), part.column("found").to_pylist(), strict=True):
                 w = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 left, at = [], 0
-                for a, b in sorted((x["start"], x["end"]) for x in found or () if x["k2"] == k2):
-                    left += w[at:a] if a > at else []
-                    at = max(at, b)
+                for own, a, b in zip(found[::3], found[1::3], found[2::3], strict=True) if found else ():
+                    if own == k2:
+                        left += w[at:a]
+                        at = b
                 left += w[at:]
                 n.append(len(w))
                 gone.append(len(w) - len(left))
