@@ -22,6 +22,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,8 +137,6 @@ def _scanner(patterns):
 
 def original_offsets(texts: Column | str, hits: Column | str) -> Column:
     """Character ranges [start, end) in the original text of ranges of words."""
-    import pandas as pd
-
     def told(texts: pd.Series, hits: pd.Series) -> pd.Series:
         out = []
         for text, flat in zip(texts, hits, strict=True):

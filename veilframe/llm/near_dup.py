@@ -202,14 +202,16 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     nodes = table(some.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("n").alias("n")), "nodes")
     each = nodes.select("node", "n", F.explode("bands").alias("key"))
     buckets = table(each.groupBy("key").agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("size"), F.min_by("n", "node").alias("n_m")).filter("size > 1"), "buckets")
-    inside = _via(each, buckets.select("key", "m", "size", "n_m"), "key", "node")
+    inside = table(_via(each, buckets.select("key", "m", "size", "n_m"), "key", "node"), "bucket-members")
+    # Only nodes that share a bucket need their texts again.
+    wanted = inside.select(F.col("node").alias("id")).distinct()
+    texts = table(src.join(wanted, "id", "left_semi"), "candidate-texts")
     # A set more than a fifth larger than another can't be similar enough: dropped exactly.
     fits = (F.lit(100) * F.least("n", "n_m") >= F.lit(percent) * F.greatest("n", "n_m")) & (F.col("node") != F.col("m"))
-    pairs = table(inside.filter(fits).select("m", F.col("node").alias("id")).distinct(), "star-pairs")
-    texts = src.filter("id IS NOT NULL")
+    pairs = inside.filter(fits).select("m", F.col("node").alias("id")).distinct()
     links = table(_confirm(_with_texts(pairs, texts), shingle, percent), "star-links")
     labels = table(components(links), "star-labels")
-    more = _cross_links(nodes, buckets, labels, texts, shingle, percent)
+    more = _cross_links(inside.filter("size > 2").select("key", "node", "n"), labels, texts, shingle, percent)
     # Rows with one id are one node: their texts are linked.
     same_id = some.join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).filter("id != node").select(F.col("node").alias("m"), "id")
     final = table(components(labels.select(F.col("label").alias("m"), F.col("node").alias("id")).union(more).union(same_id)), "labels")
@@ -225,22 +227,32 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return first.join(second, "m").select("m", "id", "text", "text_m")
 
 
-def _cross_links(nodes: DataFrame, buckets: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links between components that share a bucket, beyond those with the bucket's smallest id."""
-    large = buckets.filter("size > 2")
-    each = nodes.select("node", "n", F.explode("bands").alias("key"))
-    inside = _via(each, large.select("key", "size"), "key", "node")
-    told = table(inside.join(labels, "node", "left").select("key", "node", "n", "size", F.coalesce("label", "node").alias("label")), "bucket-labels")
-    open_ = told.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("members"), F.first("size").alias("size")).filter("a != b")
+def _cross_links(inside: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between components that share a bucket, beyond those with the bucket's smallest id.
+
+    The largest component of a bucket is its main one.  Its members are dealt into
+    blocks, the others ("outsiders") into blocks of their own; each main block meets
+    each outsider block, and outsider blocks meet each other.  Members of the main
+    component are never compared among themselves.
+    """
+    told = table(inside.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")), "bucket-labels")
+    kinds = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("members"))
+    open_ = kinds.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("size"), F.sum("members").alias("members"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     # Bands with the same members are one bucket.
-    open_ = table(open_.groupBy("members", "size").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open-buckets")
-    rows = _via(told, open_, "key", "node")
-    block = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("block", block).withColumn("other", other)
-    task = F.concat_ws(":", "key", F.least("block", "other"), F.greatest("block", "other"))
-    rows = rows.select(task.alias("task"), (F.col("block") > F.col("other")).alias("side"), F.col("node").alias("id"), "label", "n")
-    rows = rows.join(texts.select("id", "text"), "id").repartition("task").sortWithinPartitions("task")
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    open_ = table(open_.groupBy("members", "size", "main", "n_main").agg(F.min("key").alias("key")).select("key", "main", blocks(F.col("n_main")).alias("mains"), blocks(F.col("size") - F.col("n_main")).alias("others")), "open-buckets")
+    rows = _via(told, open_, "key", "node").withColumn("inner", F.col("label") == F.col("main"))
+    own = F.pmod(F.xxhash64(F.lit(5), "node"), F.when(F.col("inner"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    rows = rows.withColumn("own", own)
+    task = lambda kind, a, b: F.concat_ws(":", F.lit(kind), "key", a, b)
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    to = lambda t, side: F.struct(t.alias("task"), side.alias("side"))
+    as_main = F.transform(upto("others"), lambda j: to(task("m", F.col("own"), j), F.lit(True)))
+    as_other = F.transform(upto("mains"), lambda i: to(task("m", i, F.col("own")), F.lit(False)))
+    among = F.transform(upto("others"), lambda j: to(task("o", F.least(F.col("own"), j), F.greatest(F.col("own"), j)), F.col("own") > j))
+    rows = rows.select("node", "label", "n", F.explode(F.when(F.col("inner"), as_main).otherwise(F.concat(as_other, among))).alias("t"))
+    rows = rows.select("t.task", "t.side", F.col("node").alias("id"), "label", "n")
+    rows = rows.join(texts, "id").repartition("task").sortWithinPartitions("task")
     return table(_block_links(rows, shingle, percent), "cross-links")
 
 
