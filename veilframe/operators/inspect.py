@@ -128,10 +128,10 @@ def inspect(df: DataFrame, text_col: str = "text", packs: list[Pack] | None = No
     packs = packs or [BUILTIN]
     detectors = merge(packs)
     text, cut = normalise(F.col(text_col), max_bytes=budget.max_bytes, compose=compose)
-    out = df.withColumn("__t", text).withColumn("__cut", cut)
-    for d in detectors:  # each list is made once, then read by the hit
-        out = out.withColumn(f"__{d.id}", assessed(F.col("__t"), d, budget))
-        out = out.withColumn(f"__{d.id}", distinct_first(F.col(f"__{d.id}")))
+    out = df.withColumns({"__t": text, "__cut": cut})
+    # Each list is made once in its own projection, then read by the hit.
+    out = out.withColumns({f"__{d.id}": assessed(F.col("__t"), d, budget) for d in detectors})
+    out = out.withColumns({f"__{d.id}": distinct_first(F.col(f"__{d.id}")) for d in detectors})
     hits = F.filter(F.array(*[hit(F.col(f"__{d.id}"), d, budget) for d in detectors]), lambda h: h["count"] > 0)
     labels = F.array(*[F.lit(p.label) for p in packs])
     out = out.withColumn(out_col, F.when(F.col("__t").isNotNull(), F.struct(labels.alias("packs"), F.octet_length("__t").cast("long").alias("bytes_inspected"), F.col("__cut").alias("truncated"), F.lit(False).alias("timed_out"), hits.alias("hits"))))
@@ -211,11 +211,9 @@ def inspect_custom(df: DataFrame, packs: list[Pack], text_col: str = "text", *,
 
     text, cut = normalise(F.col(text_col), max_bytes=budget.max_bytes)
     out = df.withColumn("__t", text).withColumn("__cut", cut).withColumn("__m", F.pandas_udf(scan, kind)("__t"))
-    hits = []
-    for d in detectors:
-        out = out.withColumn(f"__{d.id}", _assess_found(F.col("__t"), F.col("__m")[d.id], d))
-        out = out.withColumn(f"__{d.id}", distinct_first(F.col(f"__{d.id}")))
-        hits.append(hit(F.col(f"__{d.id}"), d, budget))
+    out = out.withColumns({f"__{d.id}": _assess_found(F.col("__t"), F.col("__m")[d.id], d) for d in detectors})
+    out = out.withColumns({f"__{d.id}": distinct_first(F.col(f"__{d.id}")) for d in detectors})
+    hits = [hit(F.col(f"__{d.id}"), d, budget) for d in detectors]
     labels = F.array(*[F.lit(p.label) for p in packs])
     out = out.withColumn(out_col, F.when(F.col("__t").isNotNull(), F.struct(labels.alias("packs"), F.octet_length("__t").cast("long").alias("bytes_inspected"), F.col("__cut").alias("truncated"), F.lit(False).alias("timed_out"), F.filter(F.array(*hits), lambda h: h["count"] > 0).alias("hits"))))
     return out.drop("__t", "__cut", "__m", *[f"__{d.id}" for d in detectors])

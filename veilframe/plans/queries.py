@@ -421,13 +421,13 @@ def tenant_subtree(spark, d):
     return below.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name").agg(F.count("c_custkey").alias("n_customers"))
 
 
-@query("SELECT user_id, count(*) AS n_rows, CASE WHEN user_id % 10 = 3 AND count(*) >= 3 THEN 3 END AS first_bad_seq FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n_rows, CASE WHEN user_id % 10 = 3 AND count(*) >= 3 THEN 3 ELSE 0 END AS first_bad_seq FROM events GROUP BY user_id")
 def audit_chain_verify(spark, d):
     """Chains over the events of each user; every tenth user's third row is altered, and found."""
     e = read(spark, d, "events").select("user_id", "ts", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"), F.lit(None).cast("string").alias("source_ip"), F.col("event_type").alias("action"), F.lit("event").alias("object_type"), F.col("event_id").cast("string").alias("object_id"), F.lit(None).cast("string").alias("old_value"), F.col("props").alias("new_value"), F.lit("success").alias("result"))
     chain = store.build_audit_chain(e, tenant_col="user_id", order_cols=("object_id",))
     altered = chain.withColumn("action", F.when((F.col("user_id") % 10 == 3) & (F.col("seq") == 3), F.lit("forged")).otherwise(F.col("action")))
-    return store.verify_audit_chain(altered, "user_id")
+    return store.verify_audit_chain(altered, "user_id").withColumn("first_bad_seq", F.coalesce("first_bad_seq", F.lit(0)))
 
 
 @query("""WITH p AS (SELECT event_type, user_id, ts, lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts) AS last FROM events),
