@@ -1,4 +1,4 @@
-"""Names for SQL: register(spark) adds the checks and masks as SQL functions, and inspect_text as a table function."""
+"""Names for SQL: register(spark) adds checks and masks as SQL functions."""
 
 from __future__ import annotations
 
