@@ -82,32 +82,37 @@ def test_normalise(spark):
     assert tuple(got) == ("a", "a", "aé", "aé", "aéé")
 
 
-def found(spark, s, **kw):
-    r = ins.inspect(spark.createDataFrame([(s,)], "text string"), **kw).first()["inspection"]
-    return {h["detector"]: h for h in r["hits"]}, r
-
-
 def test_inspect(spark):
-    card = "4916 7305 2218 6409"
-    hits, r = found(spark, f"ü {card} and {card.replace(' ', '-')} then\n5277019344661256")
-    h = hits["credit_card"]
+    card, key = "4916 7305 2218 6409", made_key()
+    texts = [
+        f"ü {card} and {card.replace(' ', '-')} then\n5277019344661256",
+        f"visa {card}",
+        "4111 1111 1111 1111 card",
+        card + "." * 70 + " discard " + card,  # the first occurrence decides
+        "discard " + card,  # keywords are substrings
+        "card" + "é" * 33 + " " + card,  # within bytes, not characters
+        f"x={key}",
+        f"aws_secret={key}",
+        "mail ann.roe@example.org",
+        "IBAN AE39 0217 7182 0446 7391 025",
+        "nothing",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    seen = [r["inspection"] for r in ins.inspect(df).orderBy("i").collect()]
+    hits = [{h["detector"]: h for h in r["hits"]} for r in seen[:-1]]
+    h = hits[0]["credit_card"]
     assert h["count"] == 2 and h["count_by_confidence"]["medium"] == 2 and h["max_confidence"] == "medium"
-    assert [(s["start"], s["end"], s["masked"]) for s in h["samples"]][0] == (3, 22, "491673******6409")
-    assert r["packs"] == ["builtin@1.0.0"] and not r["truncated"]
-    assert found(spark, f"visa {card}")[0]["credit_card"]["max_confidence"] == "high"
-    assert found(spark, "4111 1111 1111 1111 card")[0]["credit_card"]["max_confidence"] == "low"
-    # The first occurrence decides, and keywords are substrings within bytes.
-    assert found(spark, card + "." * 70 + " discard " + card)[0]["credit_card"]["max_confidence"] == "medium"
-    assert found(spark, "discard " + card)[0]["credit_card"]["max_confidence"] == "high"
-    assert found(spark, "card" + "é" * 33 + " " + card)[0]["credit_card"]["max_confidence"] == "medium"
-    key = made_key()
-    assert "aws_secret_access_key" not in found(spark, f"x={key}")[0]
-    assert found(spark, f"aws_secret={key}")[0]["aws_secret_access_key"]["samples"][0]["masked"] == key[:4] + "…[40 chars]"
-    assert found(spark, "mail ann.roe@example.org")[0]["email_address"]["max_confidence"] == "low"
-    assert found(spark, "IBAN AE39 0217 7182 0446 7391 025")[0]["iban"]["count"] == 1
-    assert found(spark, "x" * 100, budget=ins.Budget(max_bytes=10))[1]["truncated"]
-    assert found(spark, "nothing")[0] == {}
-    assert ins.inspect(spark.createDataFrame([(None,)], "text string")).first()["inspection"] is None
+    assert [(s["start"], s["end"], s["masked"]) for s in h["samples"]][0] == (3, 22, card[:4] + card[5:7] + "******" + card[-4:])
+    assert seen[0]["packs"] == ["builtin@1.0.0"] and not seen[0]["truncated"]
+    assert [x["credit_card"]["max_confidence"] for x in hits[1:6]] == ["high", "low", "medium", "high", "medium"]
+    assert "aws_secret_access_key" not in hits[6]
+    assert hits[7]["aws_secret_access_key"]["samples"][0]["masked"] == key[:4] + "…[40 chars]"
+    assert hits[8]["email_address"]["max_confidence"] == "low" and hits[9]["iban"]["count"] == 1
+    assert hits[10] == {} and seen[11] is None
+    one = packs.Pack("x", "1", packs.BUILTIN.detectors[:1])
+    small = ins.inspect(df.limit(1), packs=[one], budget=ins.Budget(max_bytes=10)).first()["inspection"]
+    assert small["truncated"] and small["bytes_inspected"] == 10
 
 
 def test_native_and_re2_agree(spark):
