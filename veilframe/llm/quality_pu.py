@@ -169,8 +169,8 @@ def fit(docs: DataFrame, positives: DataFrame, *, text_col: str = "text", id_col
     trusted = positives.select(F.col(positives.columns[0]).alias("id")).dropna().distinct().orderBy(order, "id").limit(max_rows)
     p = _collect(src.join(F.broadcast(trusted), "id", "left_semi"))
     n = src.count()
-    share = 1.0 if n <= max_rows else max_rows / n
-    u = src.filter((F.pmod(order, F.lit(1_000_003)) < int(share * 1_000_003) + (share == 1.0)) | F.col("id").isNull()) if share == 1.0 else src.filter(F.pmod(order, F.lit(1_000_003)) < int(share * 1_000_003))
+    # Rows of the lowest id hashes; the limit only binds where one id has very many rows.
+    u = src.filter(F.pmod(order, F.lit(1_000_003)) < -(-max_rows * 1_000_003 // max(n, 1)))
     u = _collect(u.join(F.broadcast(trusted), "id", "left_anti").limit(2 * max_rows))
     return fit_arrays(p[: 2 * max_rows], u, prior)
 
