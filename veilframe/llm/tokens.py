@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 NORMAL, BYTE = 1, 6
 BYTE_PENALTY = 10.0
-MEMO = 200_000
+MEMO = 400_000
 _CHUNK = re.compile("▁+[^▁]*|[^▁]+")
 _built: dict = {}
 
@@ -64,6 +64,21 @@ def load_model(path: str) -> dict:
     return {"pieces": pieces, "bytes": byte_ids, "prefix": proto.normalizer_spec.add_dummy_prefix, "unk": min((s for _, s in pieces.values()), default=0.0) - BYTE_PENALTY}
 
 
+class _Memo(dict):
+    """Ids (bytes of int32) of each chunk seen, segmented when first asked for; bounded."""
+
+    def __init__(self, best):
+        self.best = best
+
+    def __missing__(self, s: str) -> bytes:
+        ids = np.array(self.best(s), np.int32).tobytes()
+        if len(s) <= 64:
+            if len(self) >= MEMO:
+                self.clear()
+            self[s] = ids
+        return ids
+
+
 class Segmenter:
     def __init__(self, model: dict):
         import ahocorasick
@@ -73,69 +88,75 @@ class Segmenter:
         for piece, (i, score) in model["pieces"].items():
             self.automaton.add_word(piece, (len(piece), i, score))
         self.automaton.make_automaton()
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo = _Memo(self.best)
         self.piece_of = {i: p for p, (i, _) in model["pieces"].items()}
         self.byte_of = {i: b for b, i in enumerate(model["bytes"])}
+        self._table = None
 
     def best(self, s: str) -> list[int]:
-        """Single-pass Viterbi over the automaton's matches, in order of their ends; among equal scores the longest piece."""
-        n, unk = len(s), self.model["unk"]
-        score, back = [0.0] * (n + 1), [(0, -1)] * (n + 1)
-        done = 0  # positions up to here are settled
+        """Single-pass Viterbi over the automaton's matches, in order of their ends; among equal scores the longest piece.
 
-        def settle(upto: int) -> None:
-            nonlocal done
-            while done < upto:  # no piece ended there: a character as bytes
+        Matches that end at one place come longest first, along the output links.
+        """
+        n, unk = len(s), self.model["unk"]
+        score, start, piece, done = [0.0], [0], [-1], 0
+        for last, (size, i, own) in self.automaton.iter(s):
+            while done <= last:  # a new place: at first, its character as bytes
+                score.append(score[done] + unk)
+                start.append(done)
+                piece.append(-1)
                 done += 1
-                score[done], back[done] = score[done - 1] + unk, (done - 1, -1)
-
-        for end, (size, i, own) in self.automaton.iter(s):
-            end += 1
-            settle(end - 1)
-            if end > done:
-                settle(end)
-            if (x := score[end - size] + own) > score[end] or x == score[end] and back[end][1] >= 0 and end - size < back[end][0]:
-                score[end], back[end] = x, (end - size, i)
-        settle(n)
+            x = score[done - size] + own
+            if x > score[done]:
+                score[done], start[done], piece[done] = x, done - size, i
+        while done < n:
+            score.append(score[done] + unk)
+            start.append(done)
+            piece.append(-1)
+            done += 1
         out: list[int] = []
         at = n
         while at:
-            start, i = back[at]
-            out += [i] if i >= 0 else [self.model["bytes"][b] for b in reversed(s[start:at].encode("utf-8", "surrogatepass"))]
-            at = start
+            begin = start[at]
+            if piece[at] >= 0:
+                out.append(piece[at])
+            else:
+                out += [self.model["bytes"][b] for b in reversed(s[begin:at].encode("utf-8", "surrogatepass"))]
+            at = begin
         return out[::-1]
 
-    def chunk(self, s: str) -> np.ndarray:
-        if (ids := self.memo.get(s)) is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            ids = np.array(self.best(s), np.int32)
-            if len(s) <= 64:
-                self.memo[s] = ids
-        return ids
-
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
         out = []
         for k, part in enumerate(text.split(MARK)):  # a literal mark goes as bytes
             if k:
-                out.append(np.array([self.model["bytes"][b] for b in MARK.encode()], np.int32))
+                out.append(np.array([self.model["bytes"][b] for b in MARK.encode()], np.int32).tobytes())
             s = part.replace(" ", MARK)
             if not k and self.model["prefix"]:
                 s = MARK + s
-            out += [self.chunk(c) for c in _CHUNK.findall(s)]
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
+            out.extend(map(self.memo.__getitem__, _CHUNK.findall(s)))
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> str:
-        if not len(ids):
-            return ""
-        piece, byte = self.piece_of, self.byte_of
-        text = b"".join(piece[i].replace(MARK, " ").encode() if i in piece else bytes([byte[i]]) for i in ids).decode("utf-8", "surrogatepass")
-        return text[1:] if self.model["prefix"] else text
-
-    def decode_known(self) -> dict[int, bytes]:
-        return {i: p.replace(MARK, " ").encode() for i, p in self.piece_of.items()} | {i: bytes([b]) for i, b in self.byte_of.items()}
+        return self.decode_bytes(np.asarray(ids, np.int64)).decode("utf-8", "surrogatepass")
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all pieces end to end, and where each id's bytes start and how many they are."""
+        known = {i: p.replace(MARK, " ").encode() for i, p in self.piece_of.items()} | {i: bytes([b]) for i, b in self.byte_of.items()}
+        parts = [known.get(i, b"") for i in range(max(known) + 1)]
+        size = np.array([len(p) for p in parts])
+        return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """What the ids stand for, with numpy: the bytes of each piece, one after another."""
+        if self._table is None:
+            self._table = self.table()
+        flat, start, size = self._table
+        n = size[ids]
+        at = np.repeat(start[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out = flat[at].tobytes()
+        return out[1:] if self.model["prefix"] and len(ids) else out
 
 
 def _segmenter(key: str, model) -> Segmenter:
@@ -154,10 +175,6 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = _segmenter(key, model)
-        known = [b""] * (max(seg.decode_known()) + 1)
-        for i, b in seg.decode_known().items():
-            known[i] = b
-        cut = 1 if model.value["prefix"] else 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -166,7 +183,7 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", id_col:
                     ids = None if text is None else seg.encode(text)
                     rows.append(ids)
                     if check:
-                        same.append(None if ids is None else b"".join(map(known.__getitem__, ids.tolist()))[cut if len(ids) else 0 :] == text.encode("utf-8", "surrogatepass"))
+                        same.append(None if ids is None else seg.decode_bytes(ids) == text.encode("utf-8", "surrogatepass"))
                 n = [None if x is None else len(x) for x in rows]
                 flat = np.concatenate([x for x in rows if x is not None] or [np.zeros(0, np.int32)])
                 offs = np.zeros(len(rows) + 1, np.int32)
