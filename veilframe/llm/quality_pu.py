@@ -104,6 +104,7 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, steps: int = 150) -> float:
         return 0.5
 
     def grad(w):
+        w = w.astype(np.float32)
         return -ptrain.T @ _sigmoid(-(ptrain @ w)) / len(ptrain) + utrain.T @ _sigmoid(utrain @ w) / len(utrain) + 1e-3 * w
 
     w = _adam(grad, p.shape[1], steps)
@@ -120,16 +121,24 @@ def fit_arrays(p: np.ndarray, u: np.ndarray, prior: float | None = None, steps:
     """The model (plain values) from feature rows of positives and unlabelled."""
     if not len(p) or not len(u):
         return {"w": np.zeros(N_FEATURES), "b": 0.0, "prior": 0.5}
-    both = np.concatenate([p, u]).astype(np.float64)
-    mean, std = both.mean(0), both.std(0)
+    both = np.concatenate([p, u]).astype(np.float32, copy=False)
+    mean, std = both.mean(0, dtype=np.float64), both.std(0, dtype=np.float64)
+    del both
     scale = np.where(std > 1e-6, 1 / np.maximum(std, 0.01), 0.0)
-    one = lambda x: np.hstack([np.clip((x - mean) * scale, -8, 8), np.ones((len(x), 1))])
+
+    def one(x: np.ndarray) -> np.ndarray:
+        out = np.ones((len(x), x.shape[1] + 1), np.float32)
+        for lo in range(0, len(x), 1024):
+            out[lo : lo + 1024, :-1] = np.clip((x[lo : lo + 1024] - mean) * scale, -8, 8)
+        return out
+
     p, u = one(p), one(u)
     prior = estimate_prior(p, u) if prior is None else prior
     keep = np.ones(p.shape[1])
     keep[-1] = 0
 
     def grad(w):
+        w = w.astype(np.float32)
         gp, gu = p @ w, u @ w
         pos = -prior * p.T @ _sigmoid(-gp) / len(p)
         neg = u.T @ _sigmoid(gu) / len(u) - prior * p.T @ _sigmoid(gp) / len(p)
@@ -153,8 +162,8 @@ def _collect(rows: DataFrame) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in features(batch.column(0))], pa.binary())], names=["f"])
 
-    got = rows.select("text").mapInArrow(run, "f binary").collect()
-    return np.array([np.frombuffer(r["f"], np.float32) for r in got]).reshape(-1, N_FEATURES)
+    got = rows.select("text").mapInArrow(run, "f binary").toArrow().column("f")
+    return np.frombuffer(b"".join(x.as_py() for x in got), np.float32).reshape(-1, N_FEATURES)
 
 
 def held_out(id_: Column) -> Column:
