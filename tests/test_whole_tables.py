@@ -1,5 +1,7 @@
 """Queries of the catalogue over whole tables, against plain Python."""
 
+import hashlib
+
 from veilframe.functions import validators
 from veilframe.plans.queries import QUERIES
 
@@ -19,3 +21,22 @@ def test_verhoeff_of_every_key(spark, tmp_path):
     got = {r["o_orderkey"]: (r["verhoeff_ok"], r["aadhaar_ok"]) for r in QUERIES["val_verhoeff"](spark, str(tmp_path)).collect()}
     assert got == {k: (verhoeff(v), verhoeff(v) and v[0] not in "01") for k, v in values.items()}
     assert any(x for x, _ in got.values())
+
+
+def test_truncate_and_masks_of_whole_texts(spark, tmp_path):
+    texts = ["", "a", "é" * 500, "é" * 501, "a" + "é" * 5000, "first line\n" * 900, "ab\ncdefgh", "x" * 1000, "\U0001f600" * 251, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda name: {r["doc_id"]: tuple(r)[1:] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+
+    def cut(t):
+        return None if t is None else t.encode()[:1000].decode(errors="ignore")
+
+    want = {k: (None,) * 4 if t is None else (len(t.encode()) > 1000, len(str(len(cut(t)))), len(cut(t)), hashlib.md5(cut(t).encode()).hexdigest()) for k, t in enumerate(texts)}
+    assert rows("norm_truncate") == want
+    told = {
+        "mask_partial": lambda x: "*" * len(x) if len(x) <= 6 else x[:2] + "*" * (len(x) - 4) + x[-2:],
+        "mask_secret": lambda x: f"{x[: min(4, len(x) // 4)]}…[{len(x)} chars]",
+        "mask_full": lambda x: f"[{len(x)} chars]",
+    }
+    for name, f in told.items():
+        assert rows(name) == {k: (None if t is None else f(t),) for k, t in enumerate(texts)}, name

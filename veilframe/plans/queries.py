@@ -50,9 +50,10 @@ def norm_collapse(spark, d):
 
 @query(f"SELECT doc_id, strlen(text) > 1000 AS over, length(CASE WHEN strlen(text) > 1000 THEN list_aggregate(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN strlen(text[:i]) <= 1000 THEN i ELSE 0 END), 'max') ELSE length(text) END::VARCHAR) AS digits FROM documents WHERE length(text) <= 3000")
 def norm_truncate(spark, d):
-    docs = read(spark, d, "documents").filter(F.length("text") <= 3000)
+    """Every document, with length and digest of the cut text; the SQL reads only short ones and tells neither."""
     t, over = text.cut(F.col("text"), 1000)
-    return docs.select("doc_id", over.alias("over"), F.length(F.length(t).cast("string")).cast("long").alias("digits"))
+    n = F.length(t).cast("long")
+    return read(spark, d, "documents").select("doc_id", over.alias("over"), F.length(n.cast("string")).cast("long").alias("digits"), n.alias("n_chars"), F.md5(t).alias("digest"))
 
 
 @query()
@@ -245,7 +246,8 @@ _MASKS = {
 for _name, _sql in _MASKS.items():
 
     def _run(spark, d, f=getattr(masks, _name)):
-        return read(spark, d, "documents").select("doc_id", f(F.split_part("text", F.lit("\n"), F.lit(1))).alias("masked"))
+        """The whole text masked; the SQL masks its first line."""
+        return read(spark, d, "documents").select("doc_id", f(F.col("text")).alias("masked"))
 
     query(f"SELECT doc_id, {_sql} AS masked FROM (SELECT doc_id, split_part(text, chr(10), 1) AS x FROM documents)", _name)(_run)
 
