@@ -40,3 +40,22 @@ def test_truncate_and_masks_of_whole_texts(spark, tmp_path):
     }
     for name, f in told.items():
         assert rows(name) == {k: (None if t is None else f(t),) for k, t in enumerate(texts)}, name
+
+
+def test_detection_folds_compatibility_characters(spark, tmp_path):
+    wide = lambda t: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in t)
+    card, mail = "4916 7305 2218 6409", "jane.roe@example.org"
+    texts = [f"visa {card} or {mail}", wide(f"visa {card} or {mail}"), wide("none")]
+    spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, f"contact {t}") for k, t in enumerate(texts)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(k, 0, "user", t) for k, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert rows("det_card_counts") == [(0, 1, 0), (1, 1, 0)]
+    assert rows("det_card_masked") == [(0, "491673******6409"), (1, "491673******6409")]
+    assert rows("det_email_counts") == [(0, 1), (1, 1)]
+    assert rows("det_email_confidence") == [(0, 0, 1), (1, 0, 1)]
+    assert rows("hits_by_lang") == [("en", 3, 2, 2)]
+    assert rows("hits_by_source") == [("s", 3, 2, 2)]
+    assert [r[2] for r in rows("conv_prompt_policy")] == ["block", "block", "allow"]
+    found = rows("det_all_long")
+    assert [r[1:] for r in found if r[0] == 0] == [r[1:] for r in found if r[0] == 1] != []

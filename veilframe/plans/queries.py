@@ -81,13 +81,13 @@ ok AS (SELECT {key}, d, min(i) AS i, arg_min(m, i) AS m FROM dig WHERE length(d)
 
 @query(f"WITH {_card_rows('documents', 'doc_id', 'text')} SELECT doc_id, count(*) AS n_cards, count(*) FILTER (d IN ({_TESTS})) AS n_dummies FROM ok GROUP BY doc_id")
 def det_card_counts(spark, d):
-    found = ins.detected(read(spark, d, "documents").select("doc_id", "text"), "credit_card", compose=False).filter(F.size("found") > 0)
+    found = ins.detected(read(spark, d, "documents").select("doc_id", "text"), "credit_card").filter(F.size("found") > 0)
     return found.select("doc_id", F.size("found").cast("long").alias("n_cards"), F.size(F.filter("found", lambda m: m["c"] == 0)).cast("long").alias("n_dummies"))
 
 
 @query(f"WITH {_card_rows('documents', 'doc_id', 'text')} SELECT doc_id, string_agg(left(d, 6) || repeat('*', length(d) - 10) || right(d, 4), ',' ORDER BY i) AS masked FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM ok) WHERE k <= 5 GROUP BY doc_id")
 def det_card_masked(spark, d):
-    found = ins.detected(read(spark, d, "documents").select("doc_id", "text"), "credit_card", compose=False).filter(F.size("found") > 0)
+    found = ins.detected(read(spark, d, "documents").select("doc_id", "text"), "credit_card").filter(F.size("found") > 0)
     return found.select("doc_id", F.array_join(F.transform(F.slice("found", 1, 5), lambda m: masks.mask_card(m["m"])), ",").alias("masked"))
 
 
@@ -110,13 +110,13 @@ _NEAR = "(contains(w, 'email') OR contains(w, 'e-mail') OR contains(w, 'contact'
 
 @query(f"WITH {_emails('documents', 'doc_id', 'text')} SELECT doc_id, count(*) AS n_emails FROM f GROUP BY doc_id")
 def det_email_counts(spark, d):
-    found = ins.detected(read(spark, d, "documents").select("doc_id", "text"), "email_address", compose=False)
+    found = ins.detected(read(spark, d, "documents").select("doc_id", "text"), "email_address")
     return found.filter(F.size("found") > 0).select("doc_id", F.size("found").cast("long").alias("n_emails"))
 
 
 @query()
 def det_email_confidence(spark, d):
-    found = ins.detected(read(spark, d, "pages").select("page_id", "html"), "email_address", "html", compose=False).filter(F.size("found") > 0)
+    found = ins.detected(read(spark, d, "pages").select("page_id", "html"), "email_address", "html").filter(F.size("found") > 0)
     count = lambda r: F.size(F.filter("found", lambda m: m["c"] == r)).cast("long")
     return found.select("page_id", count(0).alias("low"), count(1).alias("medium"))
 
@@ -136,7 +136,7 @@ def det_secret40_entropy(spark, d):
 @query()
 def det_all_long(spark, d):
     """Every detector's hits, a row each."""
-    seen = ins.inspect(read(spark, d, "documents").select("doc_id", "text"), compose=False)
+    seen = ins.inspect(read(spark, d, "documents").select("doc_id", "text"))
     h = seen.select("doc_id", F.explode("inspection.hits").alias("h"))
     return h.select("doc_id", "h.detector", "h.count", "h.max_confidence", F.array_join(F.transform("h.samples", lambda s: s["masked"]), ",").alias("samples"))
 
@@ -145,7 +145,7 @@ def _by(column: str) -> tuple[Query, str]:
     def run(spark, d):
         docs = read(spark, d, "documents").select("doc_id", column, "text")
         n = F.size(F.col("found")).cast("long")
-        return ins.detected(docs, "credit_card", compose=False).groupBy(column).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(n).alias("n_cards"), F.count_if(n > 0).alias("n_docs_with_cards"))
+        return ins.detected(docs, "credit_card").groupBy(column).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(n).alias("n_cards"), F.count_if(n > 0).alias("n_docs_with_cards"))
 
     sql = f"WITH {_card_rows('documents', 'doc_id', 'text')}, n AS (SELECT doc_id, count(*) AS n FROM ok GROUP BY doc_id) SELECT {column}, count(*) AS n_docs, coalesce(sum(n), 0)::BIGINT AS n_cards, count(n) AS n_docs_with_cards FROM documents LEFT JOIN n USING (doc_id) GROUP BY {column}"
     return run, sql
@@ -403,7 +403,7 @@ def conv_prompt_policy(spark, d):
     """Prompts inspected, then judged (the generated prompts hold no card numbers)."""
     c = read(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
     pack = ins.Pack("cards", "1", tuple(x for x in ins.BUILTIN.detectors if x.id == "credit_card"))
-    seen = ins.inspect(c, packs=[pack], compose=False)
+    seen = ins.inspect(c, packs=[pack])
     f = F.parse_json(F.to_json(F.struct(F.lit("genai_prompt").alias("channel"), F.struct(F.length("text").alias("size")).alias("file"), F.col("inspection"))))
     return policy.evaluate(seen.withColumn("facts", f), _PROMPTS, now=NOW).select("conv_id", "turn", "verdict.action")
 
