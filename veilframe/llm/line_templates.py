@@ -3,8 +3,10 @@
 The tree has a fixed depth: a line (lower case, tokens between blanks) goes to
 the leaf of its token count and its ``depth`` leading tokens, where a token with
 a digit counts as a variable.  Inside a leaf a token is constant if it stands at
-its place in at least ``min_docs`` different texts, else it is a variable field.
-Constants and fields make the line's template; a template whose constants are at
+its place in at least ``min_docs`` different texts and in at least a share of the
+leaf's texts, else it is a variable field.  Constants and fields make the line's
+template, one for each share of ``SHARES``: leaves with many templates need a small
+one, and fields with few values a large one.  A template whose constants are at
 least ``similarity`` of its tokens without digits, and which stands in at least
 ``min_docs`` different texts, is recurring, and its lines are dropped.  Leaves
 are counted, not scanned in order, so the result depends on no order and no leaf
@@ -39,6 +41,8 @@ from .common import every_salt, lists, mixed, signed, slices, table, text_key, w
 BITS = 22
 STAR = np.uint64(0x5EED)
 TEXT_SALTS = 8
+#: Least shares of a leaf's texts that make a token constant.
+SHARES = (0.02, 0.1, 0.5)
 
 
 def lines_of(data: np.ndarray, offs: np.ndarray, depth: int) -> dict[str, np.ndarray]:
@@ -111,16 +115,18 @@ def _bitmap(leaves: DataFrame) -> bytes:
 
 def recurring_lines(docs: DataFrame, *, min_docs: int, depth: int, similarity: float) -> DataFrame:
     """(k1, found): by text key the numbers of the lines of recurring templates, with the key's second half."""
-    leaves = table(_leaves(docs, depth).distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "leaves")
+    leaves = table(_leaves(docs, depth).distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n_leaf")).filter(F.col("n_leaf") >= min_docs), "leaves")
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(leaves))
     lines = table(_lines(docs, bitmap, depth).join(leaves, "leaf", "left_semi"), "leaf-lines")
     texts = lines.groupBy("leaf", "line", "k1").agg(F.first("tokens").alias("tokens"))
     kinds = table(texts.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.first("tokens").alias("tokens")), "line-kinds")
     tokens = kinds.select("leaf", "line", "n", F.posexplode("tokens").alias("place", "token"))
-    constant = table(tokens.filter(F.col("token") != int(STAR)).groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "place", "token", F.lit(1).alias("fixed")), "constants")
+    constant = table(tokens.filter(F.col("token") != int(STAR)).groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).join(leaves, "leaf").select("leaf", "place", "token", (F.col("n") / F.col("n_leaf")).alias("share")), "constants")
     marked = tokens.join(constant, ["leaf", "place", "token"], "left")
-    fixed = F.coalesce("fixed", F.lit(0))
-    parts = marked.groupBy("leaf", "line").agg(F.bit_xor(F.xxhash64("place", F.when(fixed == 1, F.col("token")).otherwise(F.lit(0)))).alias("template"), F.sum(fixed).alias("n_fixed"), F.count_if(F.col("token") != int(STAR)).alias("n_plain"))
+    fixed = [F.coalesce(F.col("share") >= x, F.lit(False)) for x in SHARES]
+    made = [F.struct(F.bit_xor(F.xxhash64("place", F.when(f, F.col("token")).otherwise(F.lit(0)))).alias("template"), F.count_if(f).alias("n_fixed")) for f in fixed]
+    parts = marked.groupBy("leaf", "line").agg(F.array(*made).alias("made"), F.count_if(F.col("token") != int(STAR)).alias("n_plain"))
+    parts = parts.select("leaf", "line", "n_plain", F.explode(F.array_distinct("made")).alias("t")).select("leaf", "line", "n_plain", "t.*")
     template = table(parts.filter(F.col("n_fixed") >= F.lit(similarity) * F.greatest("n_plain", F.lit(1))).select("leaf", "line", "template"), "templates")
     seen = lines.select("leaf", "line", "k1", "k2", "number").join(template, ["leaf", "line"])
     seen = table(seen, "template-lines")
