@@ -2,7 +2,7 @@
 
 Counts as part of the subpackage ``veilframe.llm``.  The stages, in order:
 quality classifier (rejected documents go), line dedup (lines of recurring
-templates go; whole copies stay whole), MinHash near-dedup (one document of each
+templates go; near copies count as one text), MinHash near-dedup (one document of each
 group stays), benchmark decontamination (contaminated documents go) and
 SentencePiece encoding (token ids, with the check that they decode to the text).
 """

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from veilframe.llm.line_templates import dedup_lines
+from veilframe.llm.line_templates import dedup_lines, stage
 
 
 @pytest.mark.parametrize("values", [7, 40])
@@ -16,3 +16,16 @@ def test_word_fields_at_two_sizes(spark, values):
         rows = [(k, f"alone{word(k)} {word(r.randrange(9999))}\nThis long page was posted by {word(r.randrange(values))}x and {word(r.randrange(values))}y on the open board") for k in range(n)]
         out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=20).collect()
         assert {r["n_dropped"] for r in out} == {1}, n
+
+
+def test_stage_drops_boilerplate_pages_but_not_copies(spark):
+    """Recurring lines hold most of a page: they go; the lines of 25 near copies of one text stay."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrst", k=7))
+    menu = "\n".join(" ".join(word() for _ in range(9)) for _ in range(4))
+    pages = [(k, f"{menu}\n" + " ".join(word() for _ in range(25))) for k in range(25)]
+    body = "\n".join(" ".join(word() for _ in range(9)) for _ in range(8))
+    copies = [(100 + k, f"{body}\n{word()}") for k in range(25)]
+    docs = spark.createDataFrame(pages + copies, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in stage(spark, docs.withColumn("n_chars", docs["doc_id"]), "").collect()}
+    assert got == {k: t.split("\n")[-1] for k, t in pages} | dict(copies)

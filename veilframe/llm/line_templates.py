@@ -20,10 +20,12 @@ must fit a task.
    third of all documents share is one row.
 4. Line numbers to drop meet the texts in one join, over salted content keys.
 
+With ``groups`` a group of near copies counts as one text where templates are
+counted, so that lines which only copies share stay.
+
 Defined results: copies of one text count as one text; null text: no lines,
 stays null; lines without tokens are never dropped; with ``max_share`` below 1 a
-text that would lose a larger share of its tokens is left whole (it is a copy
-rather than a text with boilerplate); ids may be null or repeated; extra columns
+text that would lose a larger share of its tokens is left whole; ids may be null or repeated; extra columns
 are ignored.
 """
 
@@ -36,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_dup
 from .common import every_salt, lists, mixed, signed, slices, table, text_key, words
 
 BITS = 22
@@ -113,7 +116,25 @@ def _bitmap(leaves: DataFrame) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def recurring_lines(docs: DataFrame, *, min_docs: int, depth: int, similarity: float) -> DataFrame:
+def _salted_texts(docs: DataFrame) -> DataFrame:
+    """Salted, since copies of one text may hold a third of all rows."""
+    return docs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(TEXT_SALTS)).cast("int"))
+
+
+def _copy_groups(docs: DataFrame, seen: DataFrame) -> DataFrame:
+    """(k1, unit): the group of near copies of each text that ``seen`` names; other texts hold no line that counts."""
+    named = seen.select("k1").distinct().withColumn("salt", every_salt(TEXT_SALTS))
+    texts = _salted_texts(docs).join(named, ["k1", "salt"], "left_semi").groupBy("k1").agg(F.first("text").alias("text"))
+    groups = near_dup.near_duplicates(table(texts, "line-texts"), id_col="k1")
+    return table(groups.select("k1", F.col("component_id").alias("unit")), "copy-groups")
+
+
+def _often(seen: DataFrame, unit: str, min_docs: int) -> DataFrame:
+    counts = seen.select("leaf", "template", unit).distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"))
+    return table(counts.filter(F.col("n") >= min_docs).select("leaf", "template"), "recurring")
+
+
+def recurring_lines(docs: DataFrame, *, min_docs: int, depth: int, similarity: float, groups: bool = False) -> DataFrame:
     """(k1, found): by text key the numbers of the lines of recurring templates, with the key's second half."""
     leaves = table(_leaves(docs, depth).distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n_leaf")).filter(F.col("n_leaf") >= min_docs), "leaves")
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(leaves))
@@ -130,18 +151,20 @@ def recurring_lines(docs: DataFrame, *, min_docs: int, depth: int, similarity: f
     template = table(parts.filter(F.col("n_fixed") >= F.lit(similarity) * F.greatest("n_plain", F.lit(1))).select("leaf", "line", "template"), "templates")
     seen = lines.select("leaf", "line", "k1", "k2", "number").join(template, ["leaf", "line"])
     seen = table(seen, "template-lines")
-    often = table(seen.select("leaf", "template", "k1").distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf", "template"), "recurring")
-    return seen.join(often, ["leaf", "template"], "left_semi").groupBy("k1").agg(F.collect_set(F.struct("k2", "number")).alias("found"))
+    found = seen.join(_often(seen, "k1", min_docs), ["leaf", "template"], "left_semi")
+    if groups:
+        found = table(found, "recurring-lines")
+        units = found.select("leaf", "template", "k1").distinct().join(_copy_groups(docs, found), "k1")
+        found = found.join(_often(units, "unit", min_docs), ["leaf", "template"], "left_semi")
+    return found.groupBy("k1").agg(F.collect_set(F.struct("k2", "number")).alias("found"))
 
 
-def dedup_lines(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_docs: int = 20, depth: int = 3, similarity: float = 0.8, max_share: float = 1.0) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_docs: int = 20, depth: int = 3, similarity: float = 0.8, max_share: float = 1.0, groups: bool = False) -> DataFrame:
     """One row per document: ``id_col``, n_lines, n_dropped, kept (the text without recurring lines)."""
     k1, k2 = text_key(F.col(text_col))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), k1.alias("k1"), k2.alias("k2"))
-    found = recurring_lines(src, min_docs=min_docs, depth=depth, similarity=similarity)
-    # Numbers of lines are joined over salts: copies of one text may hold a third of all rows.
-    texts = src.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(TEXT_SALTS)).cast("int"))
-    joined = texts.join(found.withColumn("salt", every_salt(TEXT_SALTS)), ["k1", "salt"], "left").select("id", "text", "k2", "found")
+    found = recurring_lines(src, min_docs=min_docs, depth=depth, similarity=similarity, groups=groups)
+    joined = _salted_texts(src).join(found.withColumn("salt", every_salt(TEXT_SALTS)), ["k1", "salt"], "left").select("id", "text", "k2", "found")
     kind = src.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +193,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without its lines of recurring templates; copies stay whole for the next stage."""
+    """Every document, without its lines of recurring templates; a group of near copies counts as one text."""
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = dedup_lines(docs.withColumn("doc_id", F.struct(*rest)), max_share=0.5)
+    out = dedup_lines(docs.withColumn("doc_id", F.struct(*rest)), groups=True)
     return out.select("doc_id.*", F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars")).select(docs.columns)
