@@ -21,7 +21,9 @@ must fit a task.
 4. Line numbers to drop meet the texts in one join, over salted content keys.
 
 With ``groups`` a group of near copies counts as one text where templates are
-counted, so that lines which only copies share stay.
+counted, so that lines which only copies share stay.  With ``long_lines`` an equal
+line recurs in fewer texts the longer it is: ``min_docs`` up to SHORT tokens, falling
+evenly to two texts from LONG tokens on.
 
 Defined results: copies of one text count as one text; null text: no lines,
 stays null; lines without tokens are never dropped; with ``max_share`` below 1 a
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_dup
@@ -46,6 +48,7 @@ STAR = np.uint64(0x5EED)
 TEXT_SALTS = 8
 #: Least shares of a leaf's texts that make a token constant.
 SHARES = (0.02, 0.1, 0.5)
+SHORT, LONG = 10, 50
 
 
 def lines_of(data: np.ndarray, offs: np.ndarray, depth: int) -> dict[str, np.ndarray]:
@@ -74,7 +77,7 @@ def lines_of(data: np.ndarray, offs: np.ndarray, depth: int) -> dict[str, np.nda
 
 
 def _leaves(docs: DataFrame, depth: int) -> DataFrame:
-    """(leaf, k1): the different leaves of each text."""
+    """(leaf, k1, size): the different leaves of each text, and their token counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,12 +85,12 @@ def _leaves(docs: DataFrame, depth: int) -> DataFrame:
             for lo, hi, data, offs in slices(batch.column(0)):
                 x = lines_of(data, offs, depth)
                 order = np.lexsort((x["leaf"], x["row"]))
-                leaf, row = x["leaf"][order], x["row"][order]
+                leaf, row, size = x["leaf"][order], x["row"][order], x["size"][order]
                 own = np.ones(len(leaf), bool)
                 own[1:] = (leaf[1:] != leaf[:-1]) | (row[1:] != row[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(leaf[own])), pa.array(key[lo:hi][row[own]])], names=["leaf", "k1"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(leaf[own])), pa.array(key[lo:hi][row[own]]), pa.array(size[own].astype(np.int32))], names=["leaf", "k1", "size"])
 
-    return docs.select("text", "k1").mapInArrow(run, "leaf long, k1 long")
+    return docs.select("text", "k1").mapInArrow(run, "leaf long, k1 long, size int")
 
 
 def _lines(docs: DataFrame, bitmap, depth: int) -> DataFrame:
@@ -129,14 +132,22 @@ def _copy_groups(docs: DataFrame, seen: DataFrame) -> DataFrame:
     return table(groups.select("k1", F.col("component_id").alias("unit")), "copy-groups")
 
 
-def _often(seen: DataFrame, unit: str, min_docs: int) -> DataFrame:
-    counts = seen.select("leaf", "template", unit).distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"))
-    return table(counts.filter(F.col("n") >= min_docs).select("leaf", "template"), "recurring")
+def _often(seen: DataFrame, unit: str) -> DataFrame:
+    counts = seen.select("leaf", "template", "least", unit).distinct().groupBy("leaf", "template", "least").agg(F.count(F.lit(1)).alias("n"))
+    return table(counts.filter(F.col("n") >= F.col("least")).select("leaf", "template", "least"), "recurring")
 
 
-def recurring_lines(docs: DataFrame, *, min_docs: int, depth: int, similarity: float, groups: bool = False) -> DataFrame:
+def least_docs(size: Column, min_docs: int) -> Column:
+    """Texts in which an equal line of so many tokens must stand."""
+    falling = F.ceil(min_docs - (min_docs - 2) * (size - SHORT) / (LONG - SHORT)).cast("int")
+    return F.least(F.lit(min_docs), F.greatest(F.lit(2), falling))
+
+
+def recurring_lines(docs: DataFrame, *, min_docs: int, depth: int, similarity: float, groups: bool = False, long_lines: bool = False) -> DataFrame:
     """(k1, found): by text key the numbers of the lines of recurring templates, with the key's second half."""
-    leaves = table(_leaves(docs, depth).distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n_leaf")).filter(F.col("n_leaf") >= min_docs), "leaves")
+    least = (lambda size: least_docs(size, min_docs)) if long_lines else lambda size: F.lit(min_docs)
+    counted = _leaves(docs, depth).distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n_leaf"), F.first("size").alias("size"))
+    leaves = table(counted.filter(F.col("n_leaf") >= least(F.col("size"))).select("leaf", "n_leaf"), "leaves")
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(leaves))
     lines = table(_lines(docs, bitmap, depth).join(leaves, "leaf", "left_semi"), "leaf-lines")
     texts = lines.groupBy("leaf", "line", "k1").agg(F.first("tokens").alias("tokens"))
@@ -148,22 +159,26 @@ def recurring_lines(docs: DataFrame, *, min_docs: int, depth: int, similarity: f
     made = [F.struct(F.bit_xor(F.xxhash64("place", F.when(f, F.col("token")).otherwise(F.lit(0)))).alias("template"), F.count_if(f).alias("n_fixed")) for f in fixed]
     parts = marked.groupBy("leaf", "line").agg(F.array(*made).alias("made"), F.count_if(F.col("token") != int(STAR)).alias("n_plain"))
     parts = parts.select("leaf", "line", "n_plain", F.explode(F.array_distinct("made")).alias("t")).select("leaf", "line", "n_plain", "t.*")
-    template = table(parts.filter(F.col("n_fixed") >= F.lit(similarity) * F.greatest("n_plain", F.lit(1))).select("leaf", "line", "template"), "templates")
+    template = parts.filter(F.col("n_fixed") >= F.lit(similarity) * F.greatest("n_plain", F.lit(1))).select("leaf", "line", "template", F.lit(min_docs).alias("least"))
+    if long_lines:
+        equal = kinds.select("leaf", "line", F.col("line").alias("template"), least(F.size("tokens")).alias("least"), "n")
+        template = template.union(equal.filter((F.col("least") < min_docs) & (F.col("n") >= F.col("least"))).drop("n"))
+    template = table(template, "templates")
     seen = lines.select("leaf", "line", "k1", "k2", "number").join(template, ["leaf", "line"])
     seen = table(seen, "template-lines")
-    found = seen.join(_often(seen, "k1", min_docs), ["leaf", "template"], "left_semi")
+    found = seen.join(_often(seen, "k1"), ["leaf", "template", "least"], "left_semi")
     if groups:
         found = table(found, "recurring-lines")
-        units = found.select("leaf", "template", "k1").distinct().join(_copy_groups(docs, found), "k1")
-        found = found.join(_often(units, "unit", min_docs), ["leaf", "template"], "left_semi")
+        units = found.select("leaf", "template", "least", "k1").distinct().join(_copy_groups(docs, found), "k1")
+        found = found.join(_often(units, "unit"), ["leaf", "template", "least"], "left_semi")
     return found.groupBy("k1").agg(F.collect_set(F.struct("k2", "number")).alias("found"))
 
 
-def dedup_lines(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_docs: int = 20, depth: int = 3, similarity: float = 0.8, max_share: float = 1.0, groups: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_docs: int = 20, depth: int = 3, similarity: float = 0.8, max_share: float = 1.0, groups: bool = False, long_lines: bool = False) -> DataFrame:
     """One row per document: ``id_col``, n_lines, n_dropped, kept (the text without recurring lines)."""
     k1, k2 = text_key(F.col(text_col))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), k1.alias("k1"), k2.alias("k2"))
-    found = recurring_lines(src, min_docs=min_docs, depth=depth, similarity=similarity, groups=groups)
+    found = recurring_lines(src, min_docs=min_docs, depth=depth, similarity=similarity, groups=groups, long_lines=long_lines)
     joined = _salted_texts(src).join(found.withColumn("salt", every_salt(TEXT_SALTS)), ["k1", "salt"], "left").select("id", "text", "k2", "found")
     kind = src.schema["id"].dataType.simpleString()
 
@@ -195,5 +210,5 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without its lines of recurring templates; a group of near copies counts as one text."""
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = dedup_lines(docs.withColumn("doc_id", F.struct(*rest)), groups=True)
+    out = dedup_lines(docs.withColumn("doc_id", F.struct(*rest)), groups=True, long_lines=True)
     return out.select("doc_id.*", F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars")).select(docs.columns)
