@@ -58,3 +58,40 @@ def test_query(spark, sf):
     for d, (n, gone, kept) in zip(docs, brute([d["text"] for d in docs], 35), strict=True):
         r = rows[d["doc_id"]]
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (n, gone, hashlib.sha256(kept.encode()).hexdigest())
+
+
+def thue_morse(n):
+    """The word and its complement: equal under any polynomial hash modulo a power of two."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("rows", [4000, 2])
+def test_long_words_and_hot_prefixes(spark, rows):
+    """Words that differ far inside; thousands of texts with one passage; texts that differ in the last word only."""
+    x, y = thue_morse(1024)
+    lead = " ".join(f"w{i}" for i in range(34))
+    texts = [f"{lead} {x}", f"{lead} {y}", f"{lead} {x * 9}", f"{lead} {y * 9}", "z" * 100_000, "z" * 100_001]
+    texts += [f"{lead} tail{i % 50} end" for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = sorted((r["n_words"], r["n_removed"], r["kept"]) for r in dedup_substrings(docs, group_rows=rows).collect())
+    assert got == sorted(brute(texts, 35))
+
+
+def test_sorted_suffixes():
+    import numpy as np
+
+    from veilframe.llm.substrings import sorted_suffixes
+
+    r = random.Random(9)
+    for _ in range(30):
+        parts = [[r.randrange(3) for _ in range(r.randint(1, 20))] for _ in range(r.randint(1, 6))]
+        w = np.concatenate([np.array(p) for p in parts])
+        left = np.concatenate([np.arange(len(p), 0, -1) for p in parts])
+        suffix = [tuple(w[k : k + left[k]]) for k in range(len(w))]
+        order, common = sorted_suffixes(w, left, np.arange(len(w)))
+        assert [suffix[k] for k in order] == sorted(suffix)
+        for a, b, n in zip(order, order[1:], common[1:], strict=False):
+            assert n == next((k for k, (p, q) in enumerate(zip(suffix[a], suffix[b], strict=False)) if p != q), min(len(suffix[a]), len(suffix[b])))

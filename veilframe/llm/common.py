@@ -7,6 +7,9 @@ so that memory stays flat whatever a batch or a document holds.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -24,10 +27,12 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_MIX = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_powers: dict[str, np.ndarray] = {}
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: The low k bytes of eight.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes go to a library hash, one by one.
+LONG_WORD = 2048
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -37,16 +42,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES * 2)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
-
-
 def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about SLICE_BYTES; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -97,10 +92,36 @@ def _words(data: np.ndarray, cuts: np.ndarray, lower: bool) -> tuple[np.ndarray,
     last = inside.copy()
     last[:-1] &= ~inside[1:] | edge[1:n]
     start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _power_table(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_MIX[data] * up[:n], out=total[1:])
-    return start, stop, mixed((total[stop] - total[start]) * down[start] + np.uint64(1))
+    return start, stop, word_hashes(data, start, stop)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: eight bytes at a time through a mixer that is not linear, begun with the length."""
+    size = stop - start
+    padded = bytes(data) + bytes(8)
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    left = size
+    h = mixed((size.astype(np.uint64) * _ODD) ^ (eight[start] & _LOW[np.minimum(left, 8)]))
+    own = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    at, left = start[own] + 8, size[own] - 8
+    while len(own):
+        h[own] = mixed((h[own] + _ODD) ^ (eight[at] & _LOW[np.minimum(left, 8)]))
+        more = left > 8
+        own, at, left = own[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(padded[start[k] : stop[k]], digest_size=8).digest(), "little")
+    return h
+
+
+def joined(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All words with one blank after each, and where each begins (and the end)."""
+    at = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(stop - start + 1, out=at[1:])
+    out = np.full(at[-1], 0x20, np.uint8)
+    own = np.ones(len(out), bool)
+    own[at[1:] - 1] = False
+    out[own] = data[~SPACE[data]]
+    return out.tobytes(), at
 
 
 def grams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -108,10 +129,11 @@ def grams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, c = np.zeros(n, np.uint64), np.uint64(0xD6E8FEB86659FD93 + 2 * seed | 1)
+    out, c = np.full(n, seed, np.uint64), np.uint64(0xD6E8FEB86659FD93)
     for j in range(k):
-        out = out * c + h[j : j + n]
-    return mixed(out + np.uint64(seed))
+        out = (out ^ h[j : j + n]) * c
+        out ^= out >> np.uint64(29)
+    return mixed(out + np.uint64(k))
 
 
 def row_bounds(row: np.ndarray, n_rows: int) -> np.ndarray:
@@ -135,12 +157,17 @@ def text_key(text: Column) -> tuple[Column, Column]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a temporary one, but only in local mode, as in tests.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = held.get() if held.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         at = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
@@ -149,11 +176,49 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage, and outlives executors."""
+    """``df`` written to the shared folder and read again: cuts the lineage, and outlives executors.
+
+    Goes with drop(), or when the driver's process ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}"
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    if top not in _tops:
+        _tops.add(top)
+        atexit.register(remove, spark, top)
+    return out
+
+
+_tops: set[str] = set()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store that Spark writes to; silent if it, or the JVM, is gone."""
+    with contextlib.suppress(Exception):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes what table() wrote, once nothing reads it any more."""
+    for df in tables:
+        remove(df.sparkSession, df.scratch_path)
+
+
+def meet(many: DataFrame, one: DataFrame, keys: list[str] | str, spread: str, how: str = "inner", small_rows: int = 200_000) -> DataFrame:
+    """``many`` joined to the one row of each key in ``one``, a table() of narrow rows.
+
+    Its rows are counted first (from file footers): up to ``small_rows`` of them are broadcast, so
+    that no key can be hot; more are copied over salts, dealt by ``spread``, and merge-joined.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    if one.count() <= small_rows:
+        return many.join(F.broadcast(one), keys, how)
+    salts = one.withColumn("salt", every_salt()).hint("merge")
+    return many.withColumn("salt", salted(F.col(spread))).join(salts, [*keys, "salt"], how).drop("salt")
 
 
 def salted(key: Column, salts: int = SALTS) -> Column:
