@@ -99,3 +99,44 @@ def test_components(spark):
 def test_query(spark, sf):
     docs = [(d["doc_id"], d["text"]) for d in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert got(op8_near_duplicates(spark, sf)) == brute(docs, 3, 85)
+
+
+def test_long_words(spark):
+    from tests.llm.test_substrings import thue_morse
+
+    x, y = thue_morse(1024)
+    rows = [(1, x), (2, y), (3, f"a b {x}"), (4, f"a b {y}"), (5, "q" * 50_000), (6, "q" * 50_000), (7, f"A B {x}")]
+    assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85)) == brute(rows, 3, 85)
+
+
+@pytest.mark.parametrize("share", [0.7, 0.84])
+def test_texts_of_one_template(spark, share):
+    """Most of each text is a template; some are near copies of each other besides."""
+    r = random.Random(12)
+    word = lambda: str(r.randint(0, 10**7))
+    template = [word() for _ in range(int(200 * share))]
+    rows = []
+    for k in range(150):
+        own = template + [word() for _ in range(200 - len(template))]
+        rows.append((k, " ".join(own)))
+        if k % 5 == 0:
+            rows.append((1000 + k, " ".join(own[:-3])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(near_duplicates(docs, shingle=3, percent=85)) == brute(rows, 3, 85)
+
+
+def test_other_ids(spark):
+    rows = [(f"d{i:03}", t) for i, t in made(3, groups=6)] + [("zz", "one")]
+    docs = spark.createDataFrame([*rows, (None, "one")], "doc_id string, text string")
+    out = [x for x in near_duplicates(docs, shingle=3, percent=85).collect()]
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in out if x["doc_id"]) == brute(rows, 3, 85)
+    assert [(x["component_id"], x["kept"]) for x in out if x["doc_id"] is None] == [(None, True)]
+
+
+def test_stage_keeps_one_row_of_a_group(spark):
+    t = " ".join(map(str, range(60)))
+    rows = [(4, t, "a"), (4, t, "a"), (None, t, "b"), (None, "alone " + t[::-1], "c"), (7, None, "d"), (7, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    from veilframe.llm.near_dup import stage
+
+    assert sorted(map(str, map(tuple, stage(spark, docs, "").collect()))) == sorted(map(str, [rows[0], *rows[3:]]))

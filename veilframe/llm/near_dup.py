@@ -4,23 +4,30 @@ Each document is a set of word shingles (ASCII lower case).  Under every
 permutation both the smallest and the largest image are kept, so ``perms`` hash
 evaluations give 2 * perms signature values; agreement of either is an unbiased
 estimate of the Jaccard similarity, and bands of ``rows`` values are the bucket
-keys.  With 48 permutations and 24 bands of 4, a pair at 0.85 is missed with
-probability 2e-8.
+keys.  With 72 permutations and 24 bands of 6, a pair at 0.85 meets in no bucket
+with probability 1.2e-5 (at 0.8: 7e-4), while a pair at 0.5 meets in one in three.
 
 1. Texts with the same words are one node (smallest id); copies never pair up.
 2. In each bucket every node is confirmed against the bucket's smallest id, on
    full sets: a row per node and bucket, not per pair.
 3. Components of these links.  Buckets whose nodes already lie in one component
-   are done.  In every other bucket the nodes of different components are
-   compared too, in blocks of bounded size, each pair of blocks a task of its
-   own; a task tells one link per pair of components.  Nothing is capped.
+   are done.  The nodes of all other buckets are compared by prefixes: two sets
+   that are similar enough share one of the rarest n - ceil(t n) + 1 shingles of
+   either, so only nodes that share such a shingle, and lie in different
+   components, are compared, in blocks of bounded size, each pair of blocks a
+   task of its own; a task tells one link per pair of components.  Shingles that a
+   template gives to many unlike texts are not rare, so they bring no pairs
+   together.  Nothing is capped, and the order of shingles (a count of fixed size)
+   changes only the cost.
 4. Components over both kinds of links, by alternating stars whose hubs are
    dealt over salts; each round is written to the shared folder.
 
 Defined results: no words or null text: empty set, linked with nothing, its own
 component; fewer words than the shingle: the whole sequence is the one shingle;
 rows with the same id are one node, whatever their texts; a null id is linked
-with nothing, has a null component and is kept; extra columns are ignored.
+with nothing, has a null component and is kept; ids may be of any type that has
+an order (others than integers are hashed to 64 bits inside); extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,25 +40,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import SALTS, every_salt, grams, lists, mixed, row_bounds, salted, signed, slices, table, words
+from .common import LOWER, drop, every_salt, grams, joined, lists, meet, mixed, row_bounds, salted, signed, slices, table, words
 
 BLOCK = 256
+CELLS = 20
 
 
-def sets_of(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, hashes of its words, sorted distinct shingle hashes) of each row."""
+def sets_of(texts: pa.Array, size: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(row, its words in lower case, sorted distinct shingle hashes) of each row."""
     for lo, hi, data, offs in slices(texts):
-        _, _, h, row = words(data, offs, lower=True)
+        start, stop, h, row = words(data, offs, lower=True)
+        told, at = joined(LOWER[data], start, stop)
         g = grams(h, size)
         bounds = row_bounds(row, hi - lo)
         for k, (a, b) in enumerate(pairwise(bounds.tolist())):
+            own = told[at[a] : at[b]]
             if b - a >= size:
-                yield lo + k, h[a:b], np.unique(g[a : b - size + 1])
+                yield lo + k, own, np.unique(g[a : b - size + 1])
             elif b > a:
-                yield lo + k, h[a:b], mixed(grams(h[a:b], b - a, 91 + b - a))
+                yield lo + k, own, mixed(grams(h[a:b], b - a, 91))
             else:
-                yield lo + k, h[a:b], h[a:b]
+                yield lo + k, own, h[a:b]
 
 
 def min_max(shingles: np.ndarray, perms: int) -> np.ndarray:
@@ -89,7 +100,7 @@ def sketches(docs: DataFrame, *, shingle: int, perms: int, rows: int) -> DataFra
                 n, d, keys, sizes = [], [], [], []
                 for _, w, s in sets_of(part.column(1), shingle):
                     n.append(len(s))
-                    d.append(hashlib.blake2b(w.tobytes(), digest_size=16).digest())
+                    d.append(hashlib.blake2b(w, digest_size=16).digest())
                     k = band_keys(min_max(s, perms), rows) if len(s) else np.zeros(0, np.uint64)
                     keys.append(k)
                     sizes.append(len(k))
@@ -123,11 +134,10 @@ def _confirm(pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "m long, id long")
 
 
-def _block_links(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (m, id) between components, from rows (task, side, id, label, n, text) sorted by task."""
+def _block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (m, id) between components, from rows (task, side, id, label, n, s) sorted by task."""
 
     def links(task: list[tuple]) -> Iterator[tuple[int, int]]:
-        got = [s for _, _, s in sets_of(pa.array([r[4] for r in task], pa.string()), shingle)]
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -135,18 +145,18 @@ def _block_links(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
                 x = parent[x]
             return x
 
-        order = sorted(range(len(task)), key=lambda k: task[k][3])
+        task.sort(key=lambda r: r[3])
         both = any(r[0] for r in task) and not all(r[0] for r in task)
-        for x, i in enumerate(order):
-            for j in order[x + 1 :]:
-                if 100 * len(got[i]) < percent * len(got[j]):
+        for x, (side, i, label, n, s) in enumerate(task):
+            for side_y, j, label_y, n_y, s_y in task[x + 1 :]:
+                if 100 * n < percent * n_y:
                     break  # sorted by set size: all later ones are too large
-                if both and task[i][0] == task[j][0]:
+                if both and side == side_y:
                     continue
-                a, b = root(task[i][2]), root(task[j][2])
-                if a != b and similar(got[i], got[j], percent):
+                a, b = root(label), root(label_y)
+                if a != b and similar(s, s_y, percent):
                     parent[max(a, b)] = min(a, b)
-                    yield task[i][1], task[j][1]
+                    yield i, j
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(task: list[tuple]) -> pa.RecordBatch:
@@ -156,16 +166,18 @@ def _block_links(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
         now, held = None, []
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                for t, *r in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
+                part = batch.slice(lo, 256)
+                sets = [x.values.to_numpy(zero_copy_only=False) for x in part.column(5)]
+                for t, s, *r in zip(part.column(0).to_pylist(), sets, *(c.to_pylist() for c in part.columns[1:5]), strict=True):
                     if t != now and held:
                         yield told(held)
                         held = []
                     now = t
-                    held.append(tuple(r))
+                    held.append((*r, s))
         if held:
             yield told(held)
 
-    return rows.select("task", "side", "id", "label", "n", "text").mapInArrow(run, "m long, id long")
+    return rows.select("task", "side", "id", "label", "n", "s").mapInArrow(run, "m long, id long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -185,7 +197,9 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: smaller neighbours of y and y itself go to the smallest of them.
         small = large.groupBy("y").agg(F.min("m").alias("mm")).select(F.col("y"), "mm")
         moved = _via(large, small, "y", "m").filter("m > mm").select(F.col("mm").alias("u"), F.col("m").alias("v"))
-        e = table(moved.union(small.select(F.col("mm").alias("u"), F.col("y").alias("v"))).distinct(), "small-star")
+        after = table(moved.union(small.select(F.col("mm").alias("u"), F.col("y").alias("v"))).distinct(), "small-star")
+        drop(e, large)
+        e = after
     return e.select(F.col("v").alias("node"), F.col("u").alias("label")).union(e.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())
 
 
@@ -194,15 +208,18 @@ def _via(many: DataFrame, one: DataFrame, key: str, other: str) -> DataFrame:
     return many.withColumn("salt", salted(F.col(other))).join(one.withColumn("salt", every_salt()), [key, "salt"]).drop("salt")
 
 
-def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, percent: int = 80, perms: int = 48, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, percent: int = 80, perms: int = 72, rows: int = 6) -> DataFrame:
     """One row per document: ``id_col``, n_shingles, component_id (smallest id reachable), kept (is that document)."""
+    options = {"shingle": shingle, "percent": percent, "perms": perms, "rows": rows}
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        return _named(docs, text_col, id_col, options)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = table(sketches(src, shingle=shingle, perms=perms, rows=rows), "sketches")
     some = sketch.filter("n > 0 AND id IS NOT NULL")
     nodes = table(some.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("n").alias("n")), "nodes")
     each = nodes.select("node", "n", F.explode("bands").alias("key"))
     buckets = table(each.groupBy("key").agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("size"), F.min_by("n", "node").alias("n_m")).filter("size > 1"), "buckets")
-    inside = table(_via(each, buckets.select("key", "m", "size", "n_m"), "key", "node"), "bucket-members")
+    inside = table(meet(each, buckets, "key", "node"), "bucket-members")
     # Only nodes that share a bucket need their texts again.
     wanted = inside.select(F.col("node").alias("id")).distinct()
     texts = table(src.join(wanted, "id", "left_semi"), "candidate-texts")
@@ -211,15 +228,27 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     pairs = inside.filter(fits).select("m", F.col("node").alias("id")).distinct()
     links = table(_confirm(_with_texts(pairs, texts), shingle, percent), "star-links")
     labels = table(components(links), "star-labels")
-    more = _cross_links(inside.filter("size > 2").select("key", "node", "n"), labels, texts, shingle, percent)
+    told = table(inside.filter("size > 2").select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "bucket-labels")
+    more = _cross_links(_prefix_groups(told, texts, shingle, percent), percent)
     # Rows with one id are one node: their texts are linked.
     same_id = some.join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).filter("id != node").select(F.col("node").alias("m"), "id")
     final = table(components(labels.select(F.col("label").alias("m"), F.col("node").alias("id")).union(more).union(same_id)), "labels")
+    drop(nodes, buckets, inside, texts, links, labels, told, more)
     label = sketch.select("id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("label", "id")
     return label.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
+def _named(docs: DataFrame, text_col: str, id_col: str, options: dict) -> DataFrame:
+    """The same for ids that are no integers: nodes are their hashes, components are named by their smallest id."""
+    node = F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    found = table(near_duplicates(docs.select(node.alias("node"), F.col(text_col).alias("text")), id_col="node", **options), "named")
+    names = docs.select(node.alias("node"), F.col(id_col).alias("name")).dropna().distinct()
+    least = found.select("node", "component_id").distinct().join(names, "node").groupBy("component_id").agg(F.min("name").alias("least"))
+    out = found.join(names, "node", "left").join(least, "component_id", "left")
+    return out.select(F.col("name").alias(id_col), "n_shingles", F.col("least").alias("component_id"), F.col("least").eqNullSafe(F.col("name")).alias("kept"))
+
+
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(m, id, text, text_m); the exchange of the texts by id serves both joins."""
     first = pairs.join(texts, "id")
@@ -227,21 +256,83 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return first.join(second, "m").select("m", "id", "text", "text_m")
 
 
-def _cross_links(inside: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links between components that share a bucket, beyond those with the bucket's smallest id.
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, label, n, s): full sets of (id, label, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                sets = [s for _, _, s in sets_of(part.column(2), shingle)]
+                n = [len(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), lists(signed(np.concatenate(sets)), n, pa.int64())], names=["id", "label", "n", "s"])
+
+    return texts.select("id", "label", "text").mapInArrow(run, "id long, label long, n long, s array<long>")
+
 
-    The largest component of a bucket is its main one.  Its members are dealt into
+def _cell_counts(sets: DataFrame) -> bytes:
+    """How many sets hold a shingle of each of 2^CELLS cells, as a byte of the logarithm: a fixed size, whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            cell, n = np.unique(s >> np.uint64(64 - CELLS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n)], names=["cell", "n"])
+
+    got = sets.select("s").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << CELLS, np.uint8)
+    out[got.column("cell").to_numpy()] = np.log2(got.column("n").to_numpy() + 1) * 8
+    return out.tobytes()
+
+
+def _prefix_groups(told: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(key, node, label, n) of nodes that share one of their rarest shingles, and the full sets of all such nodes.
+
+    Only nodes of buckets that hold several components take part.
+    """
+    several = lambda df: df.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("key")
+    open_ = table(several(told), "open-buckets")
+    nodes = meet(told, open_, "key", "node").select(F.col("node").alias("id"), "label").distinct()
+    sets = table(_sets(nodes.join(texts.dropDuplicates(["id"]), "id"), shingle), "open-sets")
+    cells = sets.sparkSession.sparkContext.broadcast(_cell_counts(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.frombuffer(cells.value, np.uint8)
+        for batch in batches:
+            s = batch.column(3)
+            flat, offs = s.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(np.diff(s.offsets.to_numpy()))])
+            keys = []
+            for a, b in pairwise(offs.tolist()):
+                own = flat[a:b]
+                n = b - a
+                order = np.lexsort((own, count[(own >> np.uint64(64 - CELLS)).astype(np.int64)]))
+                keys.append(own[order[: n + percent * -n // 100 + 1]])
+            each = np.repeat(np.arange(batch.num_rows), [len(k) for k in keys])
+            own = [batch.column(i).to_numpy(zero_copy_only=False)[each] for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *keys]))), *map(pa.array, own)], names=["key", "node", "label", "n"])
+
+    prefixes = sets.select("id", "label", "n", "s").mapInArrow(run, "key long, node long, label long, n long")
+    groups = table(several(prefixes), "prefix-groups")
+    members = table(meet(prefixes, groups, "key", "node").select("key", "node", "label", "n"), "prefix-members")
+    drop(open_, groups)
+    return members, sets
+
+
+def _cross_links(found: tuple[DataFrame, DataFrame], percent: int) -> DataFrame:
+    """Links between nodes of different components that share a rare shingle.
+
+    The largest component of a group is its main one.  Its members are dealt into
     blocks, the others ("outsiders") into blocks of their own; each main block meets
     each outsider block, and outsider blocks meet each other.  Members of the main
     component are never compared among themselves.
     """
-    told = table(inside.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")), "bucket-labels")
+    told, sets = found
     kinds = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("members"))
-    open_ = kinds.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("size"), F.sum("members").alias("members"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    # Bands with the same members are one bucket.
+    open_ = kinds.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("size"), F.sum("members").alias("members"))
+    # Groups with the same members are one group.
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-    open_ = table(open_.groupBy("members", "size", "main", "n_main").agg(F.min("key").alias("key")).select("key", "main", blocks(F.col("n_main")).alias("mains"), blocks(F.col("size") - F.col("n_main")).alias("others")), "open-buckets")
-    rows = _via(told, open_, "key", "node").withColumn("inner", F.col("label") == F.col("main"))
+    open_ = table(open_.groupBy("members", "size", "main", "n_main").agg(F.min("key").alias("key")).select("key", "main", blocks(F.col("n_main")).alias("mains"), blocks(F.col("size") - F.col("n_main")).alias("others")), "open-groups")
+    rows = meet(told, open_, "key", "node").withColumn("inner", F.col("label") == F.col("main"))
     own = F.pmod(F.xxhash64(F.lit(5), "node"), F.when(F.col("inner"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     rows = rows.withColumn("own", own)
     task = lambda kind, a, b: F.concat_ws(":", F.lit(kind), "key", a, b)
@@ -252,8 +343,10 @@ def _cross_links(inside: DataFrame, labels: DataFrame, texts: DataFrame, shingle
     among = F.transform(upto("others"), lambda j: to(task("o", F.least(F.col("own"), j), F.greatest(F.col("own"), j)), F.col("own") > j))
     rows = rows.select("node", "label", "n", F.explode(F.when(F.col("inner"), as_main).otherwise(F.concat(as_other, among))).alias("t"))
     rows = rows.select("t.task", "t.side", F.col("node").alias("id"), "label", "n")
-    rows = rows.join(texts, "id").repartition("task").sortWithinPartitions("task")
-    return table(_block_links(rows, shingle, percent), "cross-links")
+    rows = rows.join(sets.select("id", "s"), "id").repartition("task").sortWithinPartitions("task")
+    out = table(_block_links(rows, percent), "cross-links")
+    drop(told, sets, open_)
+    return out
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,6 +354,9 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, unchanged: the one with the smallest id."""
-    flags = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(flags.withColumnRenamed("doc_id", "id_"), docs["doc_id"].eqNullSafe(F.col("id_")), "left_semi").select(docs.columns)
+    """One row of each group, unchanged: that of the smallest id; rows with a repeated id or none count as themselves."""
+    rows = table(docs.withColumn("row_", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows, id_col="row_").select("row_", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_")
+    first = rows.select("row_", "doc_id").join(found, "row_").groupBy("component_id").agg(F.min(order)["row_"].alias("row_"))
+    return rows.join(first, "row_", "left_semi").select(docs.columns)
