@@ -68,7 +68,7 @@ def thue_morse(n):
     return w, w.translate(str.maketrans("ab", "ba"))
 
 
-@pytest.mark.parametrize("rows", [4000, 2])
+@pytest.mark.parametrize("rows", [20_000, 60, 2])
 def test_long_words_and_hot_prefixes(spark, rows):
     """Words that differ far inside; thousands of texts with one passage; texts that differ in the last word only."""
     x, y = thue_morse(1024)

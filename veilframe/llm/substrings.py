@@ -10,9 +10,10 @@ never built whole:
    anchors that occur once are leaves of their own and end here.  Only
    (hash, text key, position) of about 7 % of the words is shuffled.
 2. Prefix partitions.  Suffixes are split by the anchor.  Where more than
-   ``group_rows`` suffixes share an anchor, they are split by longer and longer
-   prefixes of their own (16, 24 words, at last the whole window), until a group
-   fits in memory.
+   ``group_rows`` suffixes share an anchor, equal segments are made one first
+   (they are repeats already); if that is not enough, suffixes are split by longer
+   and longer prefixes of their own (16, 24 words, at last the whole window),
+   until a group fits in memory.
 3. Subtrees.  The words around the anchors are shipped themselves.  A task takes
    whole groups, gives equal words equal numbers, sorts all suffixes by prefix
    doubling, and computes the longest common prefix of neighbours: the deeper of
@@ -101,20 +102,17 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("text", "k1").mapInArrow(run, "h long, k1 long, pos int")
 
 
-_SUFFIX = ["key", "hot", "p1", "p2", "full", "k1", "k2", "first", "told"]
-_SUFFIX_SCHEMA = "key long, hot boolean, p1 long, p2 long, full long, k1 long, k2 long, first int, told binary"
-
-
-def _depths(window: int) -> tuple[int, int]:
-    return min(2 * ANCHOR, window), min(3 * ANCHOR, window)
+_SUFFIX = ["key", "hot", "k1", "k2", "first", "n", "told"]
+_SUFFIX_SCHEMA = "key long, hot boolean, k1 long, k2 long, first int, n int, told binary"
+_WINDOW = ["p1", "p2", "full", "k1", "k2", "first", "told"]
+_WINDOW_SCHEMA = "p1 long, p2 long, full long, k1 long, k2 long, first int, told binary"
 
 
 def _suffix_rows(found: DataFrame, window: int) -> DataFrame:
     """Suffixes below anchors that recur, with their words (joined by blanks).
 
-    A row per anchor and run of windows; below an anchor with too many, a row per
-    window, with hashes of its longer prefixes.  Rows come sorted by text key, so
-    that copies of a text are neighbours, and only the first one is told.
+    A row per anchor and run of windows.  Rows come sorted by text key, so that
+    copies of a text are neighbours, and only the first one is told.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,22 +141,33 @@ def _suffix_rows(found: DataFrame, window: int) -> DataFrame:
                 state = np.zeros(len(h), np.int8)
                 state[bounds[owner] + (flat >> 1)] = 1 + (flat & 1)
                 g = grams(h, ANCHOR)
-                longer = [grams(h, d) for d in (*_depths(window), window)]
-                for hot in (False, True):
-                    mine = state[p] == 1 + hot
-                    q, b, m = p[mine], a[mine], c[mine]
-                    if hot:
-                        each = np.repeat(b - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
-                        q, b, m = np.repeat(q, m), each, np.ones(len(each), np.int64)
-                    for x in range(0, len(q), BATCH):
-                        y = slice(x, x + BATCH)
-                        r = row[q[y]]
-                        prefixes = [pa.array(signed(z[b[y]])) if hot else pa.nulls(len(r), pa.int64()) for z in longer]
-                        yield pa.RecordBatch.from_arrays([pa.array(signed(g[q[y]])), pa.array(np.full(len(r), hot)), *prefixes, pa.array(k1[lo:hi][r]), pa.array(k2[lo:hi][r]), pa.array((b[y] - bounds[r]).astype(np.int32)), _pieces(told, at[b[y]], at[b[y] + m[y] - 1 + window] - 1)], names=_SUFFIX)
+                mine = state[p] > 0
+                q, b, m = p[mine], a[mine], c[mine] + window - 1
+                for x in range(0, len(q), BATCH):
+                    y = slice(x, x + BATCH)
+                    r = row[q[y]]
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(g[q[y]])), pa.array(state[q[y]] == 2), pa.array(k1[lo:hi][r]), pa.array(k2[lo:hi][r]), pa.array((b[y] - bounds[r]).astype(np.int32)), pa.array(m[y].astype(np.int32)), _pieces(told, at[b[y]], at[b[y] + m[y]] - 1)], names=_SUFFIX)
 
     return found.mapInArrow(run, _SUFFIX_SCHEMA)
 
 
+def _windows(segments: DataFrame, window: int) -> DataFrame:
+    """A row per window of (k1, k2, first, told), with hashes of its prefixes of two lengths and of its whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offs in slices(batch.column(3).cast(pa.string())):
+                start, stop, h, row = words(data, offs)
+                told, at = joined(data, start, stop)
+                b = np.flatnonzero(row[: len(row) - window + 1] == row[window - 1 :])
+                r = row[b]
+                prefixes = [pa.array(signed(grams(h, d)[b])) for d in (min(2 * ANCHOR, window), min(3 * ANCHOR, window), window)]
+                k1, k2, first = (batch.column(i).to_numpy()[lo:hi][r] for i in range(3))
+                yield pa.RecordBatch.from_arrays([*prefixes, pa.array(k1), pa.array(k2), pa.array((first + b - row_bounds(row, hi - lo)[r]).astype(np.int32)), _pieces(np.frombuffer(told, np.uint8), at[b], at[b + window] - 1)], names=_WINDOW)
+
+    return segments.select("k1", "k2", "first", "told").mapInArrow(run, _WINDOW_SCHEMA)
+
+
 def _pieces(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
     """data[a:b] of each pair, as one binary array."""
     offs = np.zeros(len(a) + 1, np.int32)
@@ -295,19 +304,29 @@ def repeated_ranges(docs: DataFrame, window: int, group_rows: int) -> DataFrame:
     told = ["k1", "k2", "start", "end"]
     done = []
     if any_hot:
-        rest = suffixes.filter("hot")
-        for p in ("p1", "p2"):  # longer prefixes, where a group does not fit
-            large = table(rest.groupBy(p).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_rows).select(p, F.lit(True).alias("large")), "large-groups")
-            rest = meet(rest, large, p, "full", "left")
-            small = rest.filter("large IS NULL").select(F.col(p).alias("key"), "k1", "k2", "first", "told")
-            fits, rest = fits.union(small), rest.filter("large").drop("large")
-        salt = F.pmod(F.xxhash64("k1", "first"), F.lit(HOT_SALTS)).cast("int")
-        row = ["full", "k1", "k2", "first", "told"]
-        dealt = rest.withColumn("salt", salt).repartition("full", "salt").sortWithinPartitions("salt", "full", "told").select(*row)
-        out = table(dealt.mapInArrow(_equal_words(window, False), _RANGE_SCHEMA), "full-depth")
-        lone = out.filter("state = 1").select("full", "k1", "k2", F.col("start").alias("first"), "told")
-        lone = lone.repartition("full").sortWithinPartitions("full", "told").select(*row).mapInArrow(_equal_words(window, True), _RANGE_SCHEMA)
-        done = [out.filter("state = 0").select(*told), lone.select(*told)]
+        # Equal segments below a hot anchor are repeats; each kind stands in the tree once.
+        hot = suffixes.filter("hot")
+        kinds = table(hot.groupBy("key", "told").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "first")]), "segments")
+        again = table(kinds.filter("n > 1").select("key", "told"), "equal-segments")
+        equal = meet(hot, again, ["key", "told"], "k1", small_rows=20_000)
+        done.append(equal.select("k1", "k2", F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("end")))
+        large = table(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_rows).select("key", F.lit(True).alias("large")), "large-groups")
+        kinds = meet(kinds.drop("n"), large, "key", "k1", "left")
+        fits = fits.union(kinds.filter("large IS NULL").select("key", "k1", "k2", "first", "told"))
+        if not large.isEmpty():
+            rest = table(_windows(kinds.filter("large"), window), "windows")
+            for p in ("p1", "p2"):  # longer prefixes, where a group does not fit
+                large = table(rest.groupBy(p).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_rows).select(p, F.lit(True).alias("large")), "large-groups")
+                rest = meet(rest, large, p, "full", "left")
+                small = rest.filter("large IS NULL").select(F.col(p).alias("key"), "k1", "k2", "first", "told")
+                fits, rest = fits.union(small), rest.filter("large").drop("large")
+            salt = F.pmod(F.xxhash64("k1", "first"), F.lit(HOT_SALTS)).cast("int")
+            row = ["full", "k1", "k2", "first", "told"]
+            dealt = rest.withColumn("salt", salt).repartition("full", "salt").sortWithinPartitions("salt", "full", "told").select(*row)
+            out = table(dealt.mapInArrow(_equal_words(window, False), _RANGE_SCHEMA), "full-depth")
+            lone = out.filter("state = 1").select("full", "k1", "k2", F.col("start").alias("first"), "told")
+            lone = lone.repartition("full").sortWithinPartitions("full", "told").select(*row).mapInArrow(_equal_words(window, True), _RANGE_SCHEMA)
+            done += [out.filter("state = 0").select(*told), lone.select(*told)]
     trees = fits.repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(window), _RANGE_SCHEMA).select(*told)
     for x in [copies, *done]:
         trees = trees.union(x)
@@ -330,7 +349,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["k1", "found"])
 
 
-def dedup_substrings(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", window: int = 35, group_rows: int = 4000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", window: int = 35, group_rows: int = 20_000) -> DataFrame:
     """One row per document: ``id_col``, n_words, n_removed, kept (its words that stay, joined by one space)."""
     k1, k2 = text_key(F.col(text_col))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), k1.alias("k1"), k2.alias("k2"))
