@@ -110,8 +110,9 @@ def test_long_words(spark):
 
 
 @pytest.mark.parametrize("share", [0.7, 0.84])
-def test_texts_of_one_template(spark, share):
+def test_texts_of_one_template(spark, monkeypatch, share):
     """Most of each text is a template; some are near copies of each other besides."""
+    monkeypatch.setattr("veilframe.llm.near_dup.BLOCK", 16)
     r = random.Random(12)
     word = lambda: str(r.randint(0, 10**7))
     template = [word() for _ in range(int(200 * share))]

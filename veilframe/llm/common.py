@@ -208,7 +208,7 @@ def drop(*tables: DataFrame) -> None:
         remove(df.sparkSession, df.scratch_path)
 
 
-def meet(many: DataFrame, one: DataFrame, keys: list[str] | str, spread: str, how: str = "inner", small_rows: int = 200_000) -> DataFrame:
+def meet(many: DataFrame, one: DataFrame, keys: list[str] | str, spread: str, how: str = "inner", small_rows: int = 50_000) -> DataFrame:
     """``many`` joined to the one row of each key in ``one``, a table() of narrow rows.
 
     Its rows are counted first (from file footers): up to ``small_rows`` of them are broadcast, so

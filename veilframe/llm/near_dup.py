@@ -11,14 +11,14 @@ with probability 1.2e-5 (at 0.8: 7e-4), while a pair at 0.5 meets in one in thre
 2. In each bucket every node is confirmed against the bucket's smallest id, on
    full sets: a row per node and bucket, not per pair.
 3. Components of these links.  Buckets whose nodes already lie in one component
-   are done.  The nodes of all other buckets are compared by prefixes: two sets
-   that are similar enough share one of the rarest n - ceil(t n) + 1 shingles of
-   either, so only nodes that share such a shingle, and lie in different
-   components, are compared, in blocks of bounded size, each pair of blocks a
-   task of its own; a task tells one link per pair of components.  Shingles that a
-   template gives to many unlike texts are not rare, so they bring no pairs
-   together.  Nothing is capped, and the order of shingles (a count of fixed size)
-   changes only the cost.
+   are done.  In all others the nodes of different components are compared, in
+   blocks of bounded size, each pair of blocks a task of its own; a task tells one
+   link per pair of components.  A bucket with more than BLOCK nodes outside its
+   largest component is split first: two sets that are similar enough share one of
+   the rarest n - ceil(t n) + 1 shingles of either, so only nodes that share such a
+   shingle are compared.  Shingles that a template gives to many unlike texts are
+   not rare, and bring no pairs together.  Nothing is capped, and the order of
+   shingles (a count of fixed size) changes only the cost.
 4. Components over both kinds of links, by alternating stars whose hubs are
    dealt over salts; each round is written to the shared folder.
 
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     links = table(_confirm(_with_texts(pairs, texts), shingle, percent), "star-links")
     labels = table(components(links), "star-labels")
     told = table(inside.filter("size > 2").select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "bucket-labels")
-    more = _cross_links(_prefix_groups(told, texts, shingle, percent), percent)
+    more = _cross_links(told, texts, shingle, percent)
     # Rows with one id are one node: their texts are linked.
     same_id = some.join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).filter("id != node").select(F.col("node").alias("m"), "id")
     final = table(components(labels.select(F.col("label").alias("m"), F.col("node").alias("id")).union(more).union(same_id)), "labels")
@@ -285,54 +285,57 @@ def _cell_counts(sets: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _prefix_groups(told: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(key, node, label, n) of nodes that share one of their rarest shingles, and the full sets of all such nodes.
+def _open(told: DataFrame) -> DataFrame:
+    """Groups of (key, node, label) that hold several components: key, main (the largest), n_main, size, members (a digest)."""
+    kinds = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("members"))
+    groups = kinds.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("size"), F.sum("members").alias("members"))
+    return table(groups.filter("size > n_main"), "open-groups")
 
-    Only nodes of buckets that hold several components take part.
-    """
-    several = lambda df: df.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("key")
-    open_ = table(several(told), "open-buckets")
-    nodes = meet(told, open_, "key", "node").select(F.col("node").alias("id"), "label").distinct()
-    sets = table(_sets(nodes.join(texts.dropDuplicates(["id"]), "id"), shingle), "open-sets")
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, label): each set with its rarest shingles, one of which it shares with any set that is similar enough."""
     cells = sets.sparkSession.sparkContext.broadcast(_cell_counts(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.frombuffer(cells.value, np.uint8)
-        for batch in batches:
-            s = batch.column(3)
-            flat, offs = s.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(np.diff(s.offsets.to_numpy()))])
-            keys = []
-            for a, b in pairwise(offs.tolist()):
-                own = flat[a:b]
-                n = b - a
-                order = np.lexsort((own, count[(own >> np.uint64(64 - CELLS)).astype(np.int64)]))
-                keys.append(own[order[: n + percent * -n // 100 + 1]])
-            each = np.repeat(np.arange(batch.num_rows), [len(k) for k in keys])
-            own = [batch.column(i).to_numpy(zero_copy_only=False)[each] for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *keys]))), *map(pa.array, own)], names=["key", "node", "label", "n"])
-
-    prefixes = sets.select("id", "label", "n", "s").mapInArrow(run, "key long, node long, label long, n long")
-    groups = table(several(prefixes), "prefix-groups")
-    members = table(meet(prefixes, groups, "key", "node").select("key", "node", "label", "n"), "prefix-members")
-    drop(open_, groups)
-    return members, sets
-
-
-def _cross_links(found: tuple[DataFrame, DataFrame], percent: int) -> DataFrame:
-    """Links between nodes of different components that share a rare shingle.
+        for big in batches:
+            for lo in range(0, big.num_rows, 256):
+                batch = big.slice(lo, 256)
+                keys = []
+                for s in batch.column(2):
+                    own = s.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    order = np.lexsort((own, count[(own >> np.uint64(64 - CELLS)).astype(np.int64)]))
+                    keys.append(own[order[: len(own) + percent * -len(own) // 100 + 1]])
+                each = np.repeat(np.arange(batch.num_rows), [len(k) for k in keys])
+                own = [batch.column(i).to_numpy(zero_copy_only=False)[each] for i in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), *map(pa.array, own)], names=["key", "node", "label"])
+
+    return sets.select("id", "label", "s").mapInArrow(run, "key long, node long, label long")
+
+
+def _cross_links(told: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between nodes of different components that share a bucket, beyond those with the bucket's smallest id.
 
     The largest component of a group is its main one.  Its members are dealt into
     blocks, the others ("outsiders") into blocks of their own; each main block meets
     each outsider block, and outsider blocks meet each other.  Members of the main
     component are never compared among themselves.
     """
-    told, sets = found
-    kinds = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("members"))
-    open_ = kinds.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("size"), F.sum("members").alias("members"))
+    open_ = _open(told)
+    members = meet(told, open_, "key", "node")
+    sets = table(_sets(members.select(F.col("node").alias("id"), "label").distinct().join(texts.dropDuplicates(["id"]), "id"), shingle), "open-sets")
+    large = F.col("size") - F.col("n_main") > BLOCK
+    if open_.filter(large).isEmpty():
+        members = table(members, "members")
+    else:
+        hot = members.filter(large).select(F.col("node").alias("id")).distinct()
+        rare = table(_prefixes(table(sets.join(hot, "id", "left_semi"), "hot-sets"), percent), "prefixes")
+        members = table(members.filter(~large).unionByName(meet(rare, _open(rare), "key", "node")), "members")
     # Groups with the same members are one group.
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-    open_ = table(open_.groupBy("members", "size", "main", "n_main").agg(F.min("key").alias("key")).select("key", "main", blocks(F.col("n_main")).alias("mains"), blocks(F.col("size") - F.col("n_main")).alias("others")), "open-groups")
-    rows = meet(told, open_, "key", "node").withColumn("inner", F.col("label") == F.col("main"))
+    one = members.groupBy("members", "size", "main", "n_main").agg(F.min("key").alias("key"))
+    one = table(one.select("key", "main", blocks(F.col("n_main")).alias("mains"), blocks(F.col("size") - F.col("n_main")).alias("others")), "groups")
+    rows = meet(members.select("key", "node", "label"), one, "key", "node").withColumn("inner", F.col("label") == F.col("main"))
     own = F.pmod(F.xxhash64(F.lit(5), "node"), F.when(F.col("inner"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     rows = rows.withColumn("own", own)
     task = lambda kind, a, b: F.concat_ws(":", F.lit(kind), "key", a, b)
@@ -341,11 +344,11 @@ def _cross_links(found: tuple[DataFrame, DataFrame], percent: int) -> DataFrame:
     as_main = F.transform(upto("others"), lambda j: to(task("m", F.col("own"), j), F.lit(True)))
     as_other = F.transform(upto("mains"), lambda i: to(task("m", i, F.col("own")), F.lit(False)))
     among = F.transform(upto("others"), lambda j: to(task("o", F.least(F.col("own"), j), F.greatest(F.col("own"), j)), F.col("own") > j))
-    rows = rows.select("node", "label", "n", F.explode(F.when(F.col("inner"), as_main).otherwise(F.concat(as_other, among))).alias("t"))
-    rows = rows.select("t.task", "t.side", F.col("node").alias("id"), "label", "n")
-    rows = rows.join(sets.select("id", "s"), "id").repartition("task").sortWithinPartitions("task")
+    rows = rows.select("node", F.explode(F.when(F.col("inner"), as_main).otherwise(F.concat(as_other, among))).alias("t"))
+    rows = rows.select("t.task", "t.side", F.col("node").alias("id"))
+    rows = rows.join(sets, "id").repartition("task").sortWithinPartitions("task")
     out = table(_block_links(rows, percent), "cross-links")
-    drop(told, sets, open_)
+    drop(open_, sets, members, one)
     return out
 
 
