@@ -68,7 +68,7 @@ def card(x: Column) -> Column:
 
 
 def iban(x: Column) -> Column:
-    s = F.upper(F.regexp_replace(x, r"(?U)\s", ""))
+    s = F.translate(F.regexp_replace(x, r"(?U)\s", ""), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     table = F.create_map(*[F.lit(v) for kv in IBAN_LENGTHS.items() for v in kv])
     shape = s.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$")
     turned = F.concat(F.substr(s, F.lit(5)), F.substring(s, 1, 4))
@@ -102,8 +102,8 @@ def emirates_id(x: Column) -> Column:
 
 
 def jwt(x: Column) -> Column:
-    """Is the first segment unpadded base64url of a JSON object with an ``alg``?"""
-    head = F.substring_index(x, ".", 1)
+    """Is the first segment base64url, padded or not, of a JSON object with an ``alg``?"""
+    head = F.rtrim(F.substring_index(x, ".", 1), F.lit("="))
     padded = F.rpad(F.translate(head, "-_", "+/"), F.ceil(F.length(head) / 4).cast("int") * 4, "=")
     text = F.try_to_binary(padded, F.lit("base64"))
     told = F.try_variant_get(F.try_parse_json(F.when(F.is_valid_utf8(text.cast("string")), text.cast("string"))), "$.alg", "variant")

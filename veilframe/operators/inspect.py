@@ -1,31 +1,42 @@
 """Inspection of texts with detector packs: a narrow map, no shuffle.
 
-``inspect`` runs on built-in functions only; ``inspect_custom`` runs tenants' own
-patterns on RE2, whose time is linear in the text whatever the pattern.  Both
-add the same struct:
+One Arrow UDF normalises a batch of texts and finds the raw matches of all
+detectors, with their byte offsets and whether a keyword is near; most texts have
+none, and leave nothing else.  What a match is worth is decided by Columns over
+the short list of matches: validator, entropy, dummy values, confidence, distinct
+counts, masked samples.  Each list is one expression for all detectors, so plans
+stay small, and the UDF is a barrier that no filter crosses, so nothing is
+computed twice.
+
+The result is a struct:
 
     packs, bytes_inspected, truncated, timed_out,
     hits: [detector, name, category, count, count_by_confidence, max_confidence,
            samples: [start, end, masked, confidence]]
 
 Offsets are bytes of the normalised text.  ``timed_out`` is always false: a
-wall-clock budget would make results depend on the machine.
+wall-clock budget would make results depend on the machine.  Patterns of packs
+that are loaded run on RE2, whose time is linear in the text whatever the pattern
+(its word boundaries and classes are those of ASCII); the built-in pack's are vetted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.masks import MASKS, canonical, distinct_key
-from ..functions.text import normalise
+from ..functions.text import collapse_array, fold_array
 from ..functions.validators import VALIDATORS, entropy
-from ..plans.packs import BUILTIN, LEVELS, Detector, Pack, merge
+from ..plans.packs import BUILTIN, LEVELS, Detector, Pack, decoded, merge
 
 
 @dataclass(frozen=True)
@@ -35,196 +46,231 @@ class Budget:
     max_samples: int = 5
 
 
-def matches(t: Column, pattern: str, limit: int) -> Column:
-    """The first ``limit`` leftmost matches as (s, e, m), offsets in bytes: matches zipped with the gaps between them."""
-    p = "(?U)" + pattern
-    found = F.slice(F.regexp_extract_all(t, F.lit(p), F.lit(0)), 1, limit)
-    gaps = F.split(t, p, -1)
-    # One fold: the end of a match is the end of the one before, its gap, and itself.
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+# ---------------------------------------------------------------- raw matches
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.octet_length(x["g"])
-        e = s + F.octet_length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, limit), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    pairs = F.filter(pairs, lambda x: x["m"].isNotNull() & x["g"].isNotNull())
-    return F.when(t.rlike(p), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(start["out"])
+def re2_spans(texts: list[str], pattern: str, limit: int) -> list[list[tuple[int, int]]]:
+    """Character spans of the first leftmost matches in each text, by RE2: what stands between marks."""
+    mark = "\ue001"  # brackets each match; texts that hold it themselves get another one
+    while any(mark in t for t in texts):
+        mark += "\ue002"
+    told = pc.replace_substring_regex(pa.array(texts, pa.large_string()), pattern, f"{mark}\\0{mark}", max_replacements=limit)
+    out = []
+    for marked in told.to_pylist():
+        at, spans = 0, []
+        for k, part in enumerate(marked.split(mark)):
+            if k % 2 and part:
+                spans.append((at, at + len(part)))
+            at += len(part)
+        out.append(spans)
+    return out
 
 
-def _chars_up_to(t: Column, n: Column, outward: int) -> Column:
-    """Characters in the first n bytes; a character that the n-th byte cuts counts if ``outward``."""
-    head = F.substr(t.cast("binary"), F.lit(1), n).cast("string")
-    whole = F.length(F.make_valid_utf8(head))
-    return F.when(F.is_valid_utf8(head), whole).otherwise(whole - 1 + outward)
+def _near(raw: bytes, start: int, end: int, d: Detector, keywords: list[str]) -> bool:
+    """A keyword inside the match or within ``proximity`` bytes, widened to whole characters."""
+    lo, hi = max(0, start - d.proximity), min(len(raw), end + d.proximity)
+    while lo and raw[lo] & 0xC0 == 0x80:
+        lo -= 1
+    while hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+        hi += 1
+    window = raw[lo:hi].decode("utf-8", "replace").lower()
+    return any(k in window for k in keywords)
 
 
-def keyword_near(t: Column, m: Column, d: Detector) -> Column:
-    """A keyword inside the match or within ``proximity`` bytes, widened to whole characters."""
-    if not d.keywords:
-        return F.lit(False)
-    lo = _chars_up_to(t, F.greatest(m["s"] - d.proximity, F.lit(0)), 0)
-    hi = _chars_up_to(t, F.least(m["e"] + d.proximity, F.octet_length(t)), 1)
-    window = F.lower(F.substr(t, lo + 1, hi - lo))
-    return reduce(lambda a, b: a | b, [F.contains(window, F.lit(k.lower())) for k in d.keywords])
+_SPANS = pa.list_(pa.struct([("d", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("m", pa.string()), ("k", pa.bool_())]))
+_SCAN = "struct<bytes:bigint,cut:boolean,spans:array<struct<d:int,s:int,e:int,m:string,k:boolean>>>"
+
+
+def _cut(texts: pa.Array, max_bytes: int) -> tuple[pa.Array, pa.Array]:
+    over = pc.fill_null(pc.greater(pc.binary_length(texts), max_bytes), False)
+    if pc.any(over, min_count=0).as_py():
+        short = [t.encode()[:max_bytes].decode(errors="ignore") for t in texts.filter(over).to_pylist()]
+        texts = pc.replace_with_mask(texts, over, pa.array(short, texts.type))
+    return texts, over
 
 
-def assessed(t: Column, d: Detector, budget: Budget = Budget()) -> Column:
-    """Accepted matches (s, e, m, c) in text order; c: confidence rank."""
-    return _assess_found(t, matches(t, d.pattern, budget.max_matches), d)
+def scan(detectors: list[Detector], budget: Budget, compose: bool = True) -> Callable[[pa.Array], pa.Array]:
+    """A function from texts to (bytes, cut, spans): the raw matches of every detector, in order."""
+    keywords = [[k.lower() for k in d.keywords] for d in detectors]
 
+    def matches(d: Detector, texts: list[str]) -> Iterator[list[tuple[int, int]]]:
+        if d.engine == "re2":
+            yield from re2_spans(texts, d.pattern, budget.max_matches)
+            return
+        compiled = re.compile(d.pattern)
+        for t in texts:
+            yield [m.span() for _, m in zip(range(budget.max_matches), compiled.finditer(t), strict=False) if m.end() > m.start()]
 
-def _assess_found(t: Column, found: Column, d: Detector) -> Column:
-    """Validator, entropy, keyword, required keyword, dummy values, confidence: in this order."""
-    base, strong = d.ranks
+    def run(texts: pa.Array) -> pa.Array:
+        norm, over = _cut(collapse_array(fold_array(texts) if compose else texts), budget.max_bytes)
+        found: dict[int, list[dict]] = {}
+        for i, d in enumerate(detectors):
+            rows = np.flatnonzero(pc.fill_null(pc.match_substring_regex(norm, d.hint or d.pattern), False).to_numpy(zero_copy_only=False))
+            held = norm.take(pa.array(rows)).to_pylist()
+            for row, text, spans in zip(rows.tolist(), held, matches(d, held), strict=True):
+                raw = text.encode() if spans else b""
+                at = last = 0  # bytes up to the character ``last``
+                for a, b in spans:
+                    start = at + len(text[last:a].encode())
+                    end = start + len(text[a:b].encode())
+                    at, last = end, b
+                    found.setdefault(row, []).append({"d": i, "s": start, "e": end, "m": text[a:b], "k": _near(raw, start, end, d, keywords[i])})
+        spans = pa.array([found.get(k, []) for k in range(len(texts))], _SPANS)
+        return pa.StructArray.from_arrays([pc.binary_length(norm).cast(pa.int64()), over, spans], names=["bytes", "cut", "spans"], mask=texts.is_null())
+
+    return run
+
+
+def _scanned(df: DataFrame, text_col: str, detectors: list[Detector], budget: Budget, compose: bool) -> DataFrame:
+    """``df`` with ``__scan``; not deterministic for the optimizer, so that no filter is pushed below and makes it run twice."""
+    run = scan(detectors, budget, compose)
+
+    def told(texts: pa.Array) -> pa.Array:
+        return run(texts)
+
+    return df.withColumn("__scan", F.arrow_udf(told, _SCAN).asNondeterministic()(F.col(text_col)))
+
+
+# --------------------------------------------------------------- what they are worth
+
+
+def _by_detector(detectors: list[Detector], m: Column, told: Callable[[Detector], Column | None], other: Column) -> Column:
+    """The Column that ``told`` gives for the match's detector; one branch for all that share it."""
+    out = None
+    for i, d in enumerate(detectors):
+        if (x := told(d)) is not None:
+            out = F.when(m["d"] == i, x) if out is None else out.when(m["d"] == i, x)
+    return other if out is None else out.otherwise(other)
+
+
+def _listed(values: list, m: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), m["d"])
+
+
+def _accepted(detectors: list[Detector], spans: Column) -> Column:
+    """Validator, entropy, required keyword, dummy values, confidence: (d, key, s, e, m, c) of the matches that pass."""
 
     def valid(m: Column) -> Column:
-        ok = VALIDATORS[d.validator](m["m"])
-        if d.min_entropy is not None:
-            ok = ok & (entropy(m["m"]) >= d.min_entropy)
-        return F.coalesce(ok, F.lit(False))
+        def own(d: Detector) -> Column | None:
+            checks = [VALIDATORS[d.validator](m["m"])] if d.validator != "none" else []
+            checks += [entropy(m["m"]) >= d.min_entropy] if d.min_entropy is not None else []
+            checks += [m["k"]] if d.require_keyword else []
+            return reduce(lambda a, b: a & b, checks) if checks else None
 
-    kept = F.transform(F.filter(found, valid), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["m"].alias("m"), keyword_near(t, m, d).alias("k")))
-    if d.require_keyword:
-        kept = F.filter(kept, lambda m: m["k"])
-    plain, hashed = d.known_tests()
+        return F.coalesce(_by_detector(detectors, m, own, F.lit(True)), F.lit(False))
 
     def confidence(m: Column) -> Column:
-        c = F.when(m["k"], F.lit(strong)).otherwise(F.lit(base))
-        dummy = F.lit(False)
-        if plain:
-            dummy = dummy | canonical(m["m"]).isin(*sorted(plain))
-        if hashed:
-            dummy = dummy | F.sha2(canonical(m["m"]), 256).isin(*sorted(hashed))
-        return F.when(dummy, F.lit(0)).otherwise(c)
+        def dummy(d: Detector) -> Column | None:
+            plain, hashed = d.known_tests()
+            value = canonical(m["m"])
+            checks = [value.isin(*sorted(plain))] if plain else []
+            checks += [F.sha2(value, 256).isin(*sorted(hashed))] if hashed else []
+            return reduce(lambda a, b: a | b, checks) if checks else None
+
+        level = F.when(m["k"], _listed([d.ranks[1] for d in detectors], m)).otherwise(_listed([d.ranks[0] for d in detectors], m))
+        return F.when(_by_detector(detectors, m, dummy, F.lit(False)), F.lit(0)).otherwise(level)
 
-    return F.transform(kept, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["m"].alias("m"), confidence(m).alias("c")))
+    return F.transform(F.filter(spans, valid), lambda m: F.struct(m["d"].alias("d"), distinct_key(m["m"]).alias("key"), m["s"].alias("s"), m["e"].alias("e"), m["m"].alias("m"), confidence(m).alias("c")))
 
 
-def distinct_first(found: Column) -> Column:
-    """The first match of each distinct value, in text order."""
-    keys = F.transform(found, lambda m: distinct_key(m["m"]))
-    return F.filter(found, lambda m, i: F.array_position(keys, distinct_key(m["m"])) == i + 1)
+_FOUND = "array<struct<d:int,s:int,e:int,m:string,c:int>>"
 
 
-def hit(found: Column, d: Detector, budget: Budget) -> Column:
-    count = lambda r: F.size(F.filter(found, lambda m: m["c"] == r)).cast("long")
+def _distinct(ordered: Column) -> Column:
+    """Of matches sorted by (d, key, s), the first of each detector and key, in text order: neighbours are compared."""
+    before = F.concat(F.array(F.lit(None).cast("struct<d:int,key:string>")), F.transform(ordered, lambda m: F.struct(m["d"].alias("d"), m["key"].alias("key"))))
+    first = F.zip_with(ordered, before, lambda m, b: F.when(m.isNotNull() & (b.isNull() | (m["d"] != b["d"]) | (m["key"] != b["key"])), F.struct(m["d"].alias("d"), m["s"].alias("s"), m["e"].alias("e"), m["m"].alias("m"), m["c"].alias("c"))))
+    return F.sort_array(F.filter(first, lambda m: m.isNotNull()))
+
+
+def _found(df: DataFrame, text_col: str, detectors: list[Detector], budget: Budget, compose: bool) -> DataFrame:
+    """``df`` with ``__scan`` and ``found``: the distinct accepted matches (d, s, e, m, c), by detector and place."""
+    out = _scanned(df, text_col, detectors, budget, compose)
+    spans = F.col("__scan.spans")
+    out = out.withColumn("__sorted", F.when(F.size(spans) > 0, F.sort_array(_accepted(detectors, spans))))
+    empty = F.array().cast(_FOUND)
+    return out.withColumn("found", F.when(F.col("__scan").isNotNull(), F.when(F.size("__sorted") > 0, _distinct(F.col("__sorted"))).otherwise(empty))).drop("__sorted")
+
+
+def hits(found: Column, detectors: list[Detector], budget: Budget) -> Column:
+    """One struct per detector with matches, in pack order."""
+    table = F.array(*[F.struct(F.lit(i).alias("d"), F.lit(d.id).alias("id"), F.lit(d.name).alias("name"), F.lit(d.category).alias("category"), F.lit(d.mask).alias("mask")) for i, d in enumerate(detectors)])
     level = lambda c: F.get(F.array(*map(F.lit, LEVELS)), c)
-    samples = F.transform(F.slice(found, 1, budget.max_samples), lambda m: F.struct(m["s"].alias("start"), m["e"].alias("end"), MASKS[d.mask](m["m"]).alias("masked"), level(m["c"]).alias("confidence")))
-    return F.struct(
-        F.lit(d.id).alias("detector"),
-        F.lit(d.name).alias("name"),
-        F.lit(d.category).alias("category"),
-        F.size(found).cast("long").alias("count"),
-        F.struct(*[count(r).alias(name) for r, name in enumerate(LEVELS)]).alias("count_by_confidence"),
-        level(F.array_max(F.transform(found, lambda m: m["c"]))).alias("max_confidence"),
-        samples.alias("samples"),
-    )
+    own = F.transform(table, lambda d: F.struct(d.alias("d"), F.filter(found, lambda m: m["d"] == d["d"]).alias("own")))
+    own = F.filter(own, lambda h: F.size(h["own"]) > 0)
+
+    def masked(mask: Column, m: Column) -> Column:
+        out = None
+        for name in sorted({d.mask for d in detectors}):
+            x = MASKS[name](m)
+            out = F.when(mask == name, x) if out is None else out.when(mask == name, x)
+        return out
+
+    def told(h: Column) -> Column:
+        count = lambda r: F.size(F.filter(h["own"], lambda m: m["c"] == r)).cast("long")
+        samples = F.transform(F.slice(h["own"], 1, budget.max_samples), lambda m: F.struct(m["s"].alias("start"), m["e"].alias("end"), masked(h["d"]["mask"], m["m"]).alias("masked"), level(m["c"]).alias("confidence")))
+        return F.struct(
+            h["d"]["id"].alias("detector"),
+            h["d"]["name"].alias("name"),
+            h["d"]["category"].alias("category"),
+            F.size(h["own"]).cast("long").alias("count"),
+            F.struct(*[count(r).alias(name) for r, name in enumerate(LEVELS)]).alias("count_by_confidence"),
+            level(F.array_max(F.transform(h["own"], lambda m: m["c"]))).alias("max_confidence"),
+            samples.alias("samples"),
+        )
+
+    return F.transform(own, told)
+
+
+HIT_SCHEMA = "array<struct<detector:string,name:string,category:string,count:bigint,count_by_confidence:struct<low:bigint,medium:bigint,high:bigint>,max_confidence:string,samples:array<struct<start:int,end:int,masked:string,confidence:string>>>>"
 
 
 def inspect(df: DataFrame, text_col: str = "text", packs: list[Pack] | None = None, *, budget: Budget = Budget(), compose: bool = True, out_col: str = "inspection") -> DataFrame:
-    """``df`` with an inspection struct, by built-in functions (but NFKC)."""
+    """``df`` with an inspection struct; null texts have none."""
     packs = packs or [BUILTIN]
     detectors = merge(packs)
-    text, cut = normalise(F.col(text_col), max_bytes=budget.max_bytes, compose=compose)
-    out = df.withColumns({"__t": text, "__cut": cut})
-    # Each list is made once in its own projection, then read by the hit.
-    out = out.withColumns({f"__{d.id}": assessed(F.col("__t"), d, budget) for d in detectors})
-    out = out.withColumns({f"__{d.id}": distinct_first(F.col(f"__{d.id}")) for d in detectors})
-    hits = F.filter(F.array(*[hit(F.col(f"__{d.id}"), d, budget) for d in detectors]), lambda h: h["count"] > 0)
+    out = _found(df, text_col, detectors, budget, compose)
+    told = F.when(F.size("found") > 0, hits(F.col("found"), detectors, budget)).otherwise(F.array().cast(HIT_SCHEMA))
     labels = F.array(*[F.lit(p.label) for p in packs])
-    out = out.withColumn(out_col, F.when(F.col("__t").isNotNull(), F.struct(labels.alias("packs"), F.octet_length("__t").cast("long").alias("bytes_inspected"), F.col("__cut").alias("truncated"), F.lit(False).alias("timed_out"), hits.alias("hits"))))
-    return out.drop("__t", "__cut", *[f"__{d.id}" for d in detectors])
+    whole = F.struct(labels.alias("packs"), F.col("__scan.bytes").alias("bytes_inspected"), F.col("__scan.cut").alias("truncated"), F.lit(False).alias("timed_out"), told.alias("hits"))
+    return out.withColumn(out_col, F.when(F.col("__scan").isNotNull(), whole)).drop("__scan", "found")
 
 
-def detected(df: DataFrame, detector: str, text_col: str = "text", *, packs: list[Pack] | None = None, budget: Budget = Budget(), compose: bool = True) -> DataFrame:
-    """``df`` with ``found``: the distinct accepted matches of one detector."""
-    d = next(x for x in merge(packs or [BUILTIN]) if x.id == detector)
-    text, _ = normalise(F.col(text_col), max_bytes=budget.max_bytes, compose=compose)
-    out = df.withColumn("__t", text).withColumn("found", assessed(F.col("__t"), d, budget))
-    return out.withColumn("found", distinct_first(F.col("found"))).drop("__t")
+def inspect_custom(df: DataFrame, packs: list[Pack], text_col: str = "text", **options) -> DataFrame:
+    """inspect() with tenants' own packs beside or without the built-in one."""
+    return inspect(df, text_col, packs, **options)
 
 
-HIT_SCHEMA = "array<struct<detector:string,name:string,category:string,count:bigint,count_by_confidence:struct<low:bigint,medium:bigint,high:bigint>,max_confidence:string,samples:array<struct<start:int,end:int,masked:string,confidence:string>>>>"
-
+def detected(df: DataFrame, detector: str, text_col: str = "text", *, packs: list[Pack] | None = None, budget: Budget = Budget(), compose: bool = True) -> DataFrame:
+    """``df`` with ``found``: the distinct accepted matches (s, e, m, c) of one detector; c: confidence rank."""
+    d = next(x for x in merge(packs or [BUILTIN]) if x.id == detector)
+    return _found(df, text_col, [d], budget, compose).drop("__scan")
 
-def re2_spans(texts: list[str], pattern: str, limit: int) -> list[list[tuple[int, int]]]:
-    """Byte spans of the first leftmost matches in each text, by RE2: what stands between the gaps."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
 
-    mark = "\ue001"  # brackets each match; texts that hold it themselves get another one
-    while any(mark in t for t in texts):
-        mark += "\ue002"
-    told = pc.replace_substring_regex(pa.array(texts, pa.string()), f"({_uncaptured(pattern)})", f"{mark}\\1{mark}", max_replacements=limit)
-    out = []
-    for marked in told.to_pylist():
-        at, spans = 0, []
-        for k, part in enumerate(marked.split(mark)):
-            size = len(part.encode())
-            if k % 2:
-                spans.append((at, at + size))
-            at += size
-        out.append(spans)
-    return out
+def long_hits(df: DataFrame, *keys: str, text_col: str = "text", packs: list[Pack] | None = None, **options) -> DataFrame:
+    """A row per hit: ``keys`` and the hit's fields."""
+    seen = inspect(df.select(*keys, text_col), text_col, packs, **options)
+    return seen.select(*keys, F.explode("inspection.hits").alias("h")).select(*keys, "h.*")
 
 
-def _uncaptured(pattern: str) -> str:
-    """The pattern with its groups not capturing, so that group 1 is the whole match."""
-    out, k, inside = [], 0, False
-    while k < len(pattern):
-        c = pattern[k]
-        if c == "\\":
-            out.append(pattern[k : k + 2])
-            k += 2
-            continue
-        inside = (inside or c == "[") and c != "]"
-        if c == "(" and not inside and pattern[k + 1 : k + 2] != "?":
-            c = "(?:"
-        out.append(c)
-        k += 1
-    return "".join(out)
+def detector_ids(spark: SparkSession, packs: list[Pack] | None = None) -> DataFrame:
+    """(ordinal, detector) of all detectors, in pack order."""
+    return spark.createDataFrame([(i, d.id) for i, d in enumerate(merge(packs or [BUILTIN]))], "ordinal int, detector string")
 
 
-def inspect_custom(df: DataFrame, packs: list[Pack], text_col: str = "text", *, budget: Budget = Budget(), out_col: str = "inspection") -> DataFrame:
-    """``df`` with an inspection struct for tenants' own packs: RE2 finds, the same Columns assess.
+def at_least(counts: Column, level: str) -> Column:
+    """How many distinct values have this confidence or more; counts: a count_by_confidence struct."""
+    return reduce(lambda a, b: a + b, [counts[x] for x in LEVELS[LEVELS.index(level) :]])
 
-    In RE2 the classes of a pattern (word boundaries, digits) are those of ASCII.
-    """
-    import pyarrow as pa
-    import pyarrow.compute as pc
 
-    detectors = merge(packs)
-    for d in detectors:  # RE2 refuses what it can't run in linear time
-        pc.match_substring_regex(pa.array(["x"]), d.pattern)
-    patterns = {d.id: d.pattern for d in detectors}
-    kind = "struct<" + ",".join(f"{i}:array<struct<s:int,e:int,m:string>>" for i in patterns) + ">"
-
-    def scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in texts:
-            rows = {}
-            clean = [t or "" for t in s]
-            for i, p in patterns.items():
-                rows[i] = [[{"s": a, "e": b, "m": t.encode()[a:b].decode()} for a, b in spans] for t, spans in zip(clean, re2_spans(clean, p, budget.max_matches), strict=True)]
-            yield pd.DataFrame(rows)
-
-    text, cut = normalise(F.col(text_col), max_bytes=budget.max_bytes)
-    out = df.withColumn("__t", text).withColumn("__cut", cut).withColumn("__m", F.pandas_udf(scan, kind)("__t"))
-    out = out.withColumns({f"__{d.id}": _assess_found(F.col("__t"), F.col("__m")[d.id], d) for d in detectors})
-    out = out.withColumns({f"__{d.id}": distinct_first(F.col(f"__{d.id}")) for d in detectors})
-    hits = [hit(F.col(f"__{d.id}"), d, budget) for d in detectors]
-    labels = F.array(*[F.lit(p.label) for p in packs])
-    out = out.withColumn(out_col, F.when(F.col("__t").isNotNull(), F.struct(labels.alias("packs"), F.octet_length("__t").cast("long").alias("bytes_inspected"), F.col("__cut").alias("truncated"), F.lit(False).alias("timed_out"), F.filter(F.array(*hits), lambda h: h["count"] > 0).alias("hits"))))
-    return out.drop("__t", "__cut", "__m", *[f"__{d.id}" for d in detectors])
+def vectors(spark: SparkSession, packs: list[Pack] | None = None) -> DataFrame:
+    """(detector, expected, text) of the packs' own test vectors."""
+    rows = [(d.id, kind == "match", decoded(v)) for d in merge(packs or [BUILTIN]) for kind in ("match", "no_match") for v in d.tests.get(kind, ())]
+    return spark.createDataFrame(rows, "detector string, expected boolean, text string")
 
 
-def self_test(spark, packs: list[Pack] | None = None) -> DataFrame:
+def self_test(spark: SparkSession, packs: list[Pack] | None = None) -> DataFrame:
     """One row per test vector: does it (not) show above low confidence, as its pack says?"""
-    from ..plans.packs import decoded
-
-    rows = [(d.id, kind == "match", decoded(v)) for d in merge(packs or [BUILTIN]) for kind in ("match", "no_match") for v in d.tests.get(kind, ())]
-    src = spark.createDataFrame(rows, "detector string, expected boolean, text string")
-    out = inspect(src, packs=packs)
+    out = inspect(vectors(spark, packs), packs=packs)
     above = F.exists("inspection.hits", lambda h: (h["detector"] == F.col("detector")) & (h["max_confidence"] != "low"))
     return out.select("detector", "expected", above.alias("found"), (above == F.col("expected")).alias("ok"))

@@ -1,26 +1,38 @@
-"""Scan of lines for credential shapes: explode lines, test, keep names."""
+"""Scan of lines for credential shapes: explode lines, test, keep names.
 
-from __future__ import annotations
+The shapes are those of the detector pack, put together from the same parts, and
+two more.  Word edges are those of ASCII, as in SQL engines.
+"""
 
-import hashlib
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Shapes, by name; written for Java and RE2 alike (no look-around).
+from ..plans.packs import ADDRESS, B64, EXAMPLE_KEY_ID, EXAMPLE_SECRET, HOST_TOKEN, KEY_HEADER, KEY_ID_PREFIXES, WEB_TOKEN, any_of, some_of
+
+#: Published prefixes of a chat service's tokens.
+CHAT_PREFIXES = ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")
+#: (pattern, whether a word edge must stand before and behind it), by name.
 SHAPES = {
-    "cloud_key_id": r"\bA(?:KIA|SIA|IDA|ROA)[A-Z0-9]{16}\b",
-    "web_token": r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "source_host_token": r"\b(?:github_pat_[A-Za-z0-9_]{60,}|gh[oprsu]_[A-Za-z0-9]{36})\b",
-    "chat_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
-    "private_key_block": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "address_with_password": r"\b(?:amqps?|mongodb(?:\+srv)?|mssql|mysql|postgres(?:ql)?|redis)://[^\s:@/\"']+:[^\s@/\"']+@",
+    "cloud_key_id": (any_of(KEY_ID_PREFIXES) + some_of("A-Z0-9", 16, 16), True, True),
+    "web_token": (WEB_TOKEN, True, False),
+    "source_host_token": (f"(?:{HOST_TOKEN})", True, True),
+    "chat_token": (any_of(CHAT_PREFIXES) + some_of("A-Za-z0-9-", 10), True, False),
+    "private_key_block": (KEY_HEADER, False, False),
+    "address_with_password": (ADDRESS, True, False),
 }
-BARE_KEY = "(?:^|[^A-Za-z0-9/+])([A-Za-z0-9/+]{40})(?:$|[^A-Za-z0-9/+=])"
-CONTEXT = "(?i)aws|secret_?access|secretaccesskey"
+#: A run of exactly 40 base64 characters that no padding follows.
+BARE_KEY = f"(?<![{B64}]){some_of(B64, 40, 40)}(?![{B64}=])"
+CONTEXT = "(?i)aws|secret[_ ]?access"
 CANDIDATE = "[A-Za-z0-9/+=_-]{16,}"
-#: Published example credentials, by digest of their canonical form.
-KNOWN = tuple(sorted(hashlib.sha256(x.upper().encode()).hexdigest() for x in ("AKIA" + "IOSFODNN7" + "EXAMPLE", "wJalrXUtnFEMI/" + "K7MDENG/bPxRfiCY" + "EXAMPLEKEY")))
+#: Digests of the canonical form of published example credentials.
+KNOWN = (EXAMPLE_KEY_ID.removeprefix("sha256:"), EXAMPLE_SECRET.removeprefix("sha256:"))
+
+
+def shape(name: str, edge_before: str = "(?<![A-Za-z0-9_])", edge_behind: str = "(?![A-Za-z0-9_])") -> str:
+    pattern, before, behind = SHAPES[name]
+    return (edge_before if before else "") + pattern + (edge_behind if behind else "")
 
 
 def _canonical_digest(x: Column) -> Column:
@@ -30,13 +42,13 @@ def _canonical_digest(x: Column) -> Column:
 def scan_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line, finding): each line's shapes; a bare 40-character key needs its provider named on the line."""
     lines = df.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line", "s")).withColumn("line", F.col("line") + 1)
-    bare = F.regexp_extract_all("s", F.lit(BARE_KEY), F.lit(1))
-    mixed = F.exists(bare, lambda x: x.rlike("[a-z]") & x.rlike("[A-Z]") & x.rlike("[0-9]")) & F.col("s").rlike(CONTEXT)
+    bare = F.regexp_extract_all("s", F.lit(BARE_KEY), F.lit(0))
+    mixed = F.col("s").rlike(CONTEXT) & F.exists(bare, lambda x: x.rlike("[a-z]") & x.rlike("[A-Z]") & x.rlike("[0-9]"))
     plain = F.regexp_extract_all("s", F.lit(CANDIDATE), F.lit(0))
     hidden = F.transform(F.regexp_extract_all("s", F.lit("b64:([A-Za-z0-9+/=]+)"), F.lit(1)), lambda x: F.try_to_binary(x, F.lit("base64")).cast("string"))
     hidden = F.filter(hidden, lambda x: x.isNotNull())
     inner = F.concat(hidden, F.flatten(F.transform(hidden, lambda x: F.regexp_extract_all(x, F.lit(CANDIDATE), F.lit(0)))))
     known = F.exists(F.concat(plain, inner), lambda x: _canonical_digest(x).isin(*KNOWN))
-    found = [F.when(F.col("s").rlike(p), F.lit(name)) for name, p in SHAPES.items()]
+    found = [F.when(F.col("s").rlike(shape(name)), F.lit(name)) for name in SHAPES]
     found += [F.when(mixed, F.lit("bare_secret_key")), F.when(known, F.lit("published_example"))]
     return lines.select(id_col, "line", F.explode(F.array_compact(F.array(*found))).alias("finding"))

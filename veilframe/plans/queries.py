@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import masks, text, validators
 from ..operators import inspect as ins
 from ..operators import policy, secrets, store
-from . import bundles, conditions
+from . import bundles, conditions, packs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,7 +67,7 @@ def norm_nfkc(spark, d):
 _CARD = r"\b[0-9](?:[ -]?[0-9]){12,18}\b"
 _NETWORK = " OR ".join(f"(left(d, {len(lo)}) BETWEEN '{lo}' AND '{hi}' AND length(d) IN ({', '.join(map(str, n))}))" for lo, hi, n in validators.CARD_RANGES)
 _LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(d, length(d) - i + 1, 1)::INT ELSE 2 * substr(d, length(d) - i + 1, 1)::INT - CASE WHEN substr(d, length(d) - i + 1, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
-_TESTS = ", ".join(f"'{x}'" for x in ("4111111111111111", "4242424242424242", "5555555555554444", "5105105105105100", "378282246310005", "371449635398431", "6011111111111117", "4012888888881881"))
+_TESTS = ", ".join(f"'{x}'" for x in packs.TEST_CARDS)
 
 
 def _card_rows(table: str, key: str, column: str) -> str:
@@ -91,7 +91,7 @@ def det_card_masked(spark, d):
     return found.select("doc_id", F.array_join(F.transform(F.slice("found", 1, 5), lambda m: masks.mask_card(m["m"])), ",").alias("masked"))
 
 
-_EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+_EMAIL = r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9]+(?:-+[A-Za-z0-9]+)*\.)+[A-Za-z]{2,}\b"
 
 
 def _emails(table: str, key: str, column: str) -> str:
@@ -105,7 +105,7 @@ e AS (SELECT {key}, m, i, s, lower(substr(t, greatest(s::BIGINT - 64, 0) + 1, (l
 f AS (SELECT {key}, replace(replace(m, ' ', ''), '-', '') AS k, arg_min(w, i) AS w FROM e GROUP BY ALL)"""
 
 
-_NEAR = "(contains(w, 'email') OR contains(w, 'e-mail') OR contains(w, 'contact') OR contains(w, 'mailto'))"
+_NEAR = "(" + " OR ".join(f"contains(w, '{x}')" for x in next(x for x in packs.BUILTIN.detectors if x.id == "email_address").keywords) + ")"
 
 
 @query(f"WITH {_emails('documents', 'doc_id', 'text')} SELECT doc_id, count(*) AS n_emails FROM f GROUP BY doc_id")
@@ -156,15 +156,52 @@ for _name, _column in (("hits_by_lang", "lang"), ("hits_by_source", "source")):
     query(_sql, _name)(_run)
 
 
-@query(rf"SELECT 'documents' AS source, doc_id AS id, i AS line, 'bare_secret_key' AS finding FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(s, '(?i)aws|secret_?access|secretaccesskey') AND len(list_filter(regexp_extract_all(s, '{secrets.BARE_KEY}', 1), lambda x: regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[0-9]'))) > 0"
-       + "".join(rf" UNION ALL SELECT 'documents', doc_id, i, '{n}' FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(s, '{p.replace(chr(39), chr(39) * 2)}')" for n, p in secrets.SHAPES.items())
-       + "".join(rf" UNION ALL SELECT 'pages', page_id, i, '{n}' FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS s, generate_subscripts(string_split(html, chr(10)), 1) AS i FROM pages) WHERE regexp_matches(s, '{p.replace(chr(39), chr(39) * 2)}')" for n, p in secrets.SHAPES.items()))
+def _secrets_sql(lines: str) -> str:
+    """Findings of (source, id, line, s) rows; a bare key is a whole run of base64 characters, 40 long."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    bare = r"len(list_filter(regexp_extract_all(s, '[A-Za-z0-9+/]+=?'), lambda x: length(x) = 40 AND NOT contains(x, '=') AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[0-9]'))) > 0"
+    tests = {n: f"regexp_matches(s, {quoted(secrets.shape(n, chr(92) + 'b', chr(92) + 'b'))})" for n in secrets.SHAPES} | {"bare_secret_key": f"regexp_matches(s, {quoted(secrets.CONTEXT)}) AND {bare}"}
+    return f"WITH l AS ({lines}) " + " UNION ALL ".join(f"SELECT source, id, line, '{n}' AS finding FROM l WHERE {t}" for n, t in tests.items())
+
+
+def _lines_sql(table: str, key: str, column: str) -> str:
+    return f"SELECT '{table}' AS source, {key} AS id, unnest(string_split({column}, chr(10))) AS s, generate_subscripts(string_split({column}, chr(10)), 1) AS line FROM {table}"
+
+
+@query(_secrets_sql(_lines_sql("documents", "doc_id", "text") + " UNION ALL " + _lines_sql("pages", "page_id", "html")))
 def line_secret_scan(spark, d):
     docs = secrets.scan_lines(read(spark, d, "documents"), "doc_id", "text").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.col("line").cast("long").alias("line"), "finding")
     pages = secrets.scan_lines(read(spark, d, "pages"), "page_id", "html").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.col("line").cast("long").alias("line"), "finding")
     return docs.unionByName(pages)
 
 
+#: Lines in the shape of credentials, made from the digest h of a customer's name: (SQL, Spark).
+_SHAPED = [
+    ("'id AKIA' || upper(left(h, 16)) || ' end'", lambda h: F.concat(F.lit("id AKIA"), F.upper(F.left(h, F.lit(16))), F.lit(" end"))),
+    ("'aws ' || lower(left(b, 40)) || ' ' || left(b, 40)", lambda h: F.concat(F.lit("aws "), F.lower(F.left(_b64(h), F.lit(40))), F.lit(" "), F.left(_b64(h), F.lit(40)))),
+    ("'plain ' || left(b, 40)", lambda h: F.concat(F.lit("plain "), F.left(_b64(h), F.lit(40)))),
+    ("'t=ghp_' || left(h, 36)", lambda h: F.concat(F.lit("t=ghp_"), F.left(h, F.lit(36)))),
+    ("'t=ghp_' || left(h, 37)", lambda h: F.concat(F.lit("t=ghp_"), F.left(h, F.lit(37)))),
+    ("'xoxb-' || left(h, 10 + k % 2)", lambda h: F.concat(F.lit("xoxb-"), F.left(h, (10 + F.col("k") % 2).cast("int")))),
+    ("'see mysql://joe:' || left(h, 8) || '@db.example'", lambda h: F.concat(F.lit("see mysql://joe:"), F.left(h, F.lit(8)), F.lit("@db.example"))),
+    ("'-----BEGIN EC PRIVATE' || ' KEY-----'", lambda h: F.lit("-----BEGIN EC PRIVATE KEY-----")),
+    ("'a.eyJ' || left(h, 20) || '.eyJ' || left(h, 12) || '.' || left(h, 20)", lambda h: F.concat(F.lit("a.eyJ"), F.left(h, F.lit(20)), F.lit(".eyJ"), F.left(h, F.lit(12)), F.lit("."), F.left(h, F.lit(20)))),
+]
+
+
+def _b64(h):
+    return F.base64(F.unhex(h))
+
+
+@query(_secrets_sql(f"SELECT 'customer' AS source, k AS id, i AS line, CASE i {' '.join(f'WHEN {i} THEN {q}' for i, (q, _) in enumerate(_SHAPED, 1))} END AS s FROM (SELECT c_custkey AS k, sha256(c_name) AS h, to_base64(unhex(sha256(c_name))) AS b FROM customer), range(1, {len(_SHAPED) + 1}) AS r(i)"))
+def line_secret_shapes(spark, d):
+    """Texts of nine lines, one of each shape, made from every customer's name."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.sha2("c_name", 256).alias("h"))
+    text = F.array_join(F.array(*[f(F.col("h")) for _, f in _SHAPED]), "\n")
+    found = secrets.scan_lines(c.select("k", text.alias("text")), "k", "text")
+    return found.select(F.lit("customer").alias("source"), F.col("k").alias("id"), F.col("line").cast("long").alias("line"), "finding")
+
+
 # --------------------------------------------------------------- checks and masks
 
 
