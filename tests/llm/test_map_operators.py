@@ -52,6 +52,38 @@ def test_contamination(spark, block_chars):
             assert WORD10.fullmatch(text[a].translate(FOLD)) and WORD10.fullmatch(text[b - 1].translate(FOLD))
 
 
+def test_contamination_memory():
+    """A benchmark of 4 million characters: its automaton and tables stay under 300 MB."""
+    import subprocess
+    import sys
+
+    told = """
+import random, resource
+from veilframe.llm.contamination import Windows
+r = random.Random(1)
+vocab = [f"w{i}".encode() for i in range(60000)]
+parts = [b" ".join(r.choices(vocab, k=400)) for _ in range(4_000_000 // 2500)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+x = Windows([str(k) for k in range(len(parts))], parts, 13)
+n, hits, items = x.scan((b"before it " + parts[7][:300] + b" after").decode())
+assert items == {"7"} and hits[0] == 2, (hits, items)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1000)
+"""
+    mb = float(subprocess.run([sys.executable, "-c", told], capture_output=True, text=True, check=True).stdout)
+    assert mb < 300, mb
+
+
+def test_contamination_long_items(spark, monkeypatch):
+    """Items longer than a part; many items with one window; a short item that is also a stretch of another."""
+    monkeypatch.setattr(contamination, "PART_WORDS", 9)
+    r = random.Random(5)
+    long = [f"v{r.randrange(30)}" for _ in range(60)]
+    items = [(1, " ".join(long)), (2, " ".join(long[10:40])), (3, " ".join(long[:3])), (4, " ".join(long[:5])), (4, "x " + " ".join(long[20:26]))]
+    docs = [(k, " ".join(long[a : a + n])) for k, (a, n) in enumerate([(0, 60), (3, 12), (17, 5), (17, 4), (0, 3), (22, 30)])]
+    got = contamination.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=5).collect()
+    assert sorted((g["doc_id"], g["n_words"], g["n_hit"], len(g["items"]), sorted(g["items"])) for g in got) == sorted(brute10(docs, items, 5))
+
+
 def test_contamination_query(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]

@@ -1,14 +1,19 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Every benchmark item (question or answer) is normalised to words and cut into
-windows of ``window`` words; all windows form one automaton over the normalised
-character stream.  Each document is normalised once, scanned once, and the hits
-are mapped back to words and to character offsets of the original text.
+Every benchmark item (question or answer) is normalised to words.  A window is
+``window`` consecutive words of one item; a shorter item is one window.  The
+symbols of the automaton are words, and its patterns are the items cut into
+stretches of (window + 1) / 2 words, laid end to end: every window holds a whole
+stretch, so each word of the benchmark is one node, not one for every window that
+covers it.  A document is normalised once and scanned once; around each stretch
+that occurs, the windows are looked up in a sorted table and compared word by
+word.  Hits are mapped back to words and to character offsets of the original.
 
 The benchmark side is the pattern set.  Its size is measured first and it is
-split into blocks of at most ``block_chars`` characters; each block is one
-broadcast automaton, and the blocks follow each other as narrow maps, so no
-document is shuffled whatever the size of either side.
+split into blocks of at most ``block_chars`` characters (a longer item into parts
+that overlap by a window less one word); each block is one broadcast automaton,
+and the blocks follow each other as narrow maps, so no document is shuffled
+whatever the size of either side.  Up to that size it is one automaton and one pass.
 
 Defined results: null or wordless documents have no words and no hits; null or
 wordless items have no windows; equal ids in ``items`` count once (null id:
@@ -27,57 +32,124 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import mixed, table
 
 #: Word bytes: digits, letters, and all bytes of non-ASCII characters.
 _WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 _TABLE = bytes((c + 32 if 0x41 <= c <= 0x5A else c) if 0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
-_automata: dict = {}
-
-
-def normalised_words(text: str | None) -> list[str]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).decode("utf-8", "surrogatepass").split(" ") if text else []
-
-
-def windows(text: str | None, window: int) -> set[str]:
-    """The windows of one item, each as ' w1 w2 ... ' ."""
-    w = [x for x in normalised_words(text) if x]
-    if not w:
-        return set()
-    return {f" {' '.join(w[i : i + window])} " for i in range(max(1, len(w) - window + 1))}
-
-
-def _automaton(key: str, patterns):
-    """The worker's automaton for a broadcast pattern set, built once; one is held at a time."""
-    import ahocorasick
-
-    if key not in _automata:
-        held = ahocorasick.Automaton()
-        for p, ids in patterns.value.items():
-            held.add_word(p, (len(p), p.count(" ") - 1, ids))
-        held.make_automaton()
-        _automata.clear()
-        _automata[key] = held
-    return _automata[key]
-
-
-def _scan(automaton, text: str | None) -> tuple[int, list[int], set[str]]:
-    """Words, hit words as [start, end) pairs laid flat, and items hit."""
-    if not text:
-        return 0, [], set()
-    w = text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
-    norm = b" %b " % b" ".join(w)
-    norm = norm.decode("utf-8", "surrogatepass")
-    found = [(end, x) for end, x in automaton.iter(norm)] if len(automaton) else []
-    if not found:
-        return len(w), [], set()
-    gaps = np.flatnonzero(np.frombuffer(norm.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-    items: set[str] = set()
-    spans = []
-    for end, (size, n, ids) in found:
-        first = int(np.searchsorted(gaps, end - size + 1))
-        spans.append((first, first + n))
-        items.update(ids)
-    return len(w), merged(spans), items
+PART_WORDS = 20_000
+_built: dict = {}
+
+
+def normalised_words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
+
+
+def item_parts(benchmark: DataFrame, text_col: str, id_col: str, window: int) -> DataFrame:
+    """(item, words): each different item as normalised words; long ones in parts that overlap by window - 1 words."""
+
+    step = PART_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, parts = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = normalised_words(t)
+                for at in range(0, max(len(w) - window + 1, 1) if w else 0, step):
+                    items.append(i)
+                    parts.append(b" ".join(w[at : at + step + window - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(parts, pa.binary())], names=["item", "words"])
+
+    item = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    return benchmark.select(item.alias("item"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "item string, words binary").distinct()
+
+
+class Windows:
+    """The windows of a block of items, and the automaton that finds where they can stand."""
+
+    def __init__(self, items: list[str], parts: list[bytes], window: int):
+        import ahocorasick
+
+        self.items, self.window, self.stretch = items, window, (window + 1) // 2
+        self.vocabulary: dict[bytes, int] = {}
+        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        short: dict[tuple, list[int]] = {}
+        told, owner, stretches = [], [], set()
+        for k, part in enumerate(parts):
+            w = tuple(map(number, part.split()))
+            if len(w) < window:
+                short.setdefault(w, []).append(k)
+                continue
+            told.append(np.array(w, np.int32))
+            owner.append(k)
+            for at in range(0, len(w) - self.stretch + 1, self.stretch):
+                stretches.add(w[at : at + self.stretch])
+        for w in stretches | short.keys():
+            self.automaton.add_word(w, (len(w), w in stretches, short.get(w, ())))
+        del short, stretches
+        self.automaton.make_automaton()
+        self.flat = np.concatenate([np.zeros(0, np.int32), *told])
+        size = np.array([len(w) for w in told], np.int64)
+        begin = np.cumsum(size) - size
+        n = size - window + 1
+        start = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        seed = 0
+        while True:  # equal hashes are equal windows, or another seed is taken
+            h = self.hashes(self.flat, start, seed)
+            order = np.argsort(h, kind="stable")
+            same = h[order[1:]] == h[order[:-1]]
+            x, y = start[order[1:][same]], start[order[:-1][same]]
+            if all((self.flat[x + j] == self.flat[y + j]).all() for j in range(window)):
+                break
+            seed += 1
+        first = np.ones(len(order), bool)
+        first[1:] = ~same
+        at = np.flatnonzero(first)
+        self.seed, self.hash, self.place = seed, h[order[at]], start[order[at]].astype(np.int32)
+        self.begin = np.append(at, len(order)).astype(np.int32)
+        self.owner = np.repeat(np.array(owner, np.int32), n)[order]
+
+    def hashes(self, flat: np.ndarray, start: np.ndarray, seed: int) -> np.ndarray:
+        h = np.full(len(start), seed, np.uint64)
+        for j in range(self.window):
+            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + flat[start + j].astype(np.uint64))
+        return h
+
+    def scan(self, text: str | None) -> tuple[int, list[int], set[str]]:
+        """Words, hit words as [start, end) pairs laid flat, and items hit."""
+        w = normalised_words(text)
+        if not w or not len(self.automaton):
+            return len(w), [], set()
+        get = self.vocabulary.get
+        ids = tuple([get(x, 0) for x in w])
+        spans, items, starts = [], set(), set()
+        for end, (n, whole, short) in self.automaton.iter(ids):
+            if whole:
+                starts.update(range(max(0, end + 1 - self.window), end + 2 - n))
+            if short:
+                spans.append((end + 1 - n, end + 1))
+                items.update(self.items[k] for k in short)
+        at = np.array(sorted(x for x in starts if x + self.window <= len(w)), np.int64)
+        if len(at):
+            flat = np.array(ids, np.int32)
+            h = self.hashes(flat, at, self.seed)
+            k = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            hit = self.hash[k] == h
+            for j in range(self.window):
+                hit &= flat[at + j] == self.flat[self.place[k] + j]
+            spans += [(x, x + self.window) for x in at[hit].tolist()]
+            for x in set(k[hit].tolist()):
+                items.update(self.items[y] for y in self.owner[self.begin[x] : self.begin[x + 1]])
+        return len(w), merged(spans), items
+
+
+def _windows(key: str, held, window: int) -> Windows:
+    """The worker's automaton for a broadcast block, built once; one is held at a time."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Windows(*held.value, window)
+    return _built[key]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[int]:
@@ -93,20 +165,16 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_id_col: str = "item_id", window: int = 13, block_chars: int = 4_000_000, offsets: bool = True) -> DataFrame:
     """One row per document: ``id_col``, n_words, n_hit, hits (word ranges), items, and spans (character ranges of the original text)."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t"))
-    size = items.agg(F.sum(F.length("t")).alias("s"), F.max(F.length("t")).alias("m")).first()
-    blocks = max(1, -(-int(size["s"] or 0) // block_chars))
+    parts = table(item_parts(benchmark, item_text_col, item_id_col, window), "items")
+    size = parts.agg(F.sum(F.length("words"))).first()[0]
+    blocks = max(1, -(-int(size or 0) // block_chars))
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
     schema = out.schema
     for b in range(blocks):
-        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        patterns: dict[str, list[str]] = {}
-        for r in block.toLocalIterator():
-            for p in windows(r["t"], window):
-                ids = patterns.setdefault(p, [])
-                if (i := "null" if r["i"] is None else r["i"]) not in ids:
-                    ids.append(i)
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(patterns)), schema)
+        block = parts if blocks == 1 else parts.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b)
+        rows = block.toArrow()  # block_chars at most, but for chance
+        held = spark.sparkContext.broadcast((rows.column("item").to_pylist(), rows.column("words").to_pylist()))
+        out = out.mapInArrow(_scanner(held, window), schema)
     out = out.withColumn("n_hit", F.aggregate(F.sequence(F.lit(0), (F.size("hits") / 2).cast("int")), F.lit(0).cast("long"), lambda n, i: n + F.coalesce(F.get("hits", 2 * i + 1) - F.get("hits", 2 * i), F.lit(0))))
     cols = [F.col("id").alias(id_col), "n_words", "n_hit", "hits", "items"]
     if offsets:
@@ -114,17 +182,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     return out.select(*cols)
 
 
-def _scanner(patterns):
+def _scanner(held, window: int):
     key = uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(key, patterns)
+        windows = _windows(key, held, window)
         for batch in batches:
             cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             had_hits, had_items = cols["hits"].to_pylist(), cols["items"].to_pylist()
             n, hits, items = [], [], []
             for k, text in enumerate(cols["text"]):
-                a, b, c = _scan(automaton, text.as_py())
+                a, b, c = windows.scan(text.as_py())
                 if had_hits[k]:
                     b = merged(list(zip(had_hits[k][::2], had_hits[k][1::2], strict=True)) + list(zip(b[::2], b[1::2], strict=True)))
                 n.append(a)
