@@ -287,6 +287,7 @@ def test_added_spans(spark):
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, spans int")
     out = {r["doc_id"]: r["spans"] for r in pii.find_pii(df).collect()}
     assert all([s["kind"] for s in out[k] if s["base"]] == ["email"] for k in range(60))
+    assert sum([s["kind"] for s in out[k] if not s["base"]] == ["phone"] for k in range(60)) >= 57
     assert out[100] == out[None] == [] and [s["kind"] for s in out[101]] == ["card"]
     for spans in out.values():
         for a, b in zip(spans, spans[1:], strict=False):
@@ -294,6 +295,43 @@ def test_added_spans(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+def test_planted_secrets(spark):
+    """Secrets of several shapes in prose are found; long words, versions, digests and numbers are left alone."""
+    r = random.Random(7)
+    prose = lambda n: " ".join("".join(r.choices("abcdefghilmnoprstu", k=r.randint(2, 9))) for _ in range(n))
+    hexed = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    mixed = lambda n: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    planted, rows = {}, []
+    shapes = [lambda: ('token = "', hexed(40), '"'), lambda: ("api_key: ", mixed(32), ""), lambda: ("password=", mixed(20), ""), lambda: ("Bearer token is ", mixed(43), "")]
+    clean = [lambda: "version 20240112abcdef3456789 of it", lambda: "commit " + hexed(40), lambda: "sha256 " + hexed(64), lambda: "Donaudampfschifffahrtsgesellschaftskapitän", lambda: "order 12345 678 90", lambda: "the secret of life", lambda: "page 123-456-789"]
+    for k in range(400):
+        lead, value, tail = shapes[k % 4]() if k % 2 else (clean[k // 2 % len(clean)](), "", "")
+        text = f"{prose(20)} {lead}"
+        if value:
+            planted[k] = f"secret:{len(text)}:{len(text) + len(value)}"
+        rows.append((k, f"{text}{value}{tail} {prose(15)}"))
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = {x["doc_id"]: [f"{s['kind']}:{s['start']}:{s['end']}" for s in x["spans"] if not s["base"]] for x in found}
+    assert sum(planted[k] in added[k] for k in planted) >= 0.95 * len(planted)
+    assert sum(bool(added[k]) for k in added if k not in planted) <= 0.02 * 200
+
+
+def test_candidates_are_linear():
+    import time
+
+    took = []
+    for n in (4000, 32000):
+        text = " ".join(f"{k % 90 + 10} 555 0{k % 90 + 10}" for k in range(n))
+        begun = time.perf_counter()
+        assert len(pii.candidates(text)) > n / 2
+        took.append(time.perf_counter() - begun)
+    assert took[1] < 20 * took[0]
+    for t in ("a" * 200_000, "1." * 100_000, "aA1" * 60_000, "token " * 40_000, "a@" * 50_000, "[at] " * 40_000, "AB12 " * 40_000, "-" * 100_000, "A1B2" * 50_000):
+        begun = time.perf_counter()
+        pii.candidates(t)
+        assert time.perf_counter() - begun < 20, t[:9]
+
+
 def test_em_finds_the_bad_labeler():
     g = np.random.default_rng(3)
     truth = g.random(4000) < 0.4
