@@ -215,7 +215,7 @@ def meet(many: DataFrame, one: DataFrame, keys: list[str] | str, spread: str, ho
     that no key can be hot; more are copied over salts, dealt by ``spread``, and merge-joined.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    if one.count() <= small_rows:
+    if small_rows and one.count() <= small_rows:
         return many.join(F.broadcast(one), keys, how)
     salts = one.withColumn("salt", every_salt()).hint("merge")
     return many.withColumn("salt", salted(F.col(spread))).join(salts, [*keys, "salt"], how).drop("salt")

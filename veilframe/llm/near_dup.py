@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     nodes = table(some.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("n").alias("n")), "nodes")
     each = nodes.select("node", "n", F.explode("bands").alias("key"))
     buckets = table(each.groupBy("key").agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("size"), F.min_by("n", "node").alias("n_m")).filter("size > 1"), "buckets")
-    inside = table(meet(each, buckets, "key", "node"), "bucket-members")
+    inside = table(meet(each, buckets, "key", "node", small_rows=0), "bucket-members")  # buckets grow with the corpus
     # Only nodes that share a bucket need their texts again.
     wanted = inside.select(F.col("node").alias("id")).distinct()
     texts = table(src.join(wanted, "id", "left_semi"), "candidate-texts")
