@@ -2,13 +2,15 @@
 
 Lines are normalised (trimmed, lower case, digits as 0, blanks joined), hashed,
 and counted by host: in how many different documents of the host does the line
-stand?  Exact copies of one text count as one document.  Lines above the limit
-are removed; a document that keeps less than ``min_left`` of its words is
-rejected as depleted, as are those that fail the base rules.
+stand?  A document is its id, so copies under several ids count; rows without an id
+are told apart by their texts.  Lines in more than ``limit`` documents, and in more
+than ``share`` of the host's, are removed; a document that keeps less than
+``min_left`` of its words is rejected as depleted, as are those that fail the base
+rules.
 
 Shuffles carry line hashes, never texts.  Counts are pre-aggregated in each
-task; frequent lines are joined back over salted keys, since one line or host
-may hold a third of all rows.
+task; frequent lines are counted before they are joined back: few are broadcast,
+many are dealt over salts, since one line or host may hold a third of all rows.
 
 Defined results: null text: all counts zero, base_failed; null host: one host of
 its own (with ''); repeated rows each get their own row; a document without
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, every_salt, table
+from .common import meet, table
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -63,24 +65,26 @@ def host_lines(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(F.lit(1), x).alias("h1"), F.xxhash64(F.lit(2), x).alias("h2"), F.size(F.split(F.trim(x), " ")).alias("n")))
 
 
-def frequent_lines(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", limit: int = 8) -> DataFrame:
-    """(host, h1, h2, n_docs) of the lines in more than ``limit`` different documents of one host."""
-    src = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(F.lit(3), text_col).alias("d"), F.explode(host_lines(F.col(text_col))).alias("x"))
+def frequent_lines(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", host_col: str = "source", limit: int = 8, share: float = 0.0005) -> DataFrame:
+    """(host, h1, h2, n_docs) of the lines in more than ``limit`` different documents, and ``share`` of all, of one host."""
+    document = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.lit(3), F.col(id_col).cast("string"))).otherwise(F.xxhash64(F.lit(4), text_col))
+    src = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), document.alias("d"), F.explode(host_lines(F.col(text_col))).alias("x"))
     each = src.select("host", "x.h1", "x.h2", "d").distinct()
-    return each.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > limit)
+    sizes = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), document.alias("d")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
+    counted = each.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > limit)
+    return counted.join(sizes, "host").filter(F.col("n_docs") > F.lit(share) * F.col("n_host")).drop("n_host")
 
 
-def apply_rules(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", host_col: str = "source", limit: int = 8, min_left: float = 0.5) -> DataFrame:
+def apply_rules(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", host_col: str = "source", limit: int = 8, share: float = 0.0005, min_left: float = 0.5) -> DataFrame:
     """One row per document: ``id_col``, the base counts, base_failed, n_removed_lines, n_removed_words, kept."""
-    frequent = table(frequent_lines(docs, text_col=text_col, host_col=host_col, limit=limit), "frequent-lines")
+    frequent = table(frequent_lines(docs, text_col=text_col, id_col=id_col, host_col=host_col, limit=limit, share=share).select("host", "h1", "h2", F.lit(True).alias("hit")), "frequent-lines")
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
     src = base_counts(src, "text").withColumn("lines", host_lines(F.col("text"))).drop("text")
     lines = src.select("row", "id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.posexplode_outer("lines").alias("k", "x"))
     first = F.coalesce(F.col("k"), F.lit(0)) == 0
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    lines = lines.select("row", F.when(first, F.col("id")).alias("id"), "host", "x.h1", "x.h2", "x.n", *[F.when(first, F.col(c)).alias(c) for c in counts], F.pmod(F.xxhash64("row", "k"), F.lit(SALTS)).cast("int").alias("salt"))
-    marks = frequent.select(F.col("host"), "h1", "h2", F.lit(True).alias("hit"), every_salt().alias("salt"))
-    joined = lines.join(marks, ["host", "h1", "h2", "salt"], "left")
+    lines = lines.select("row", F.when(first, F.col("id")).alias("id"), "host", "x.h1", "x.h2", "x.n", *[F.when(first, F.col(c)).alias(c) for c in counts])
+    joined = meet(lines, frequent, ["host", "h1", "h2"], "row", "left")
     out = joined.groupBy("row").agg(F.max("id").alias(id_col), *[F.max(c).alias(c) for c in counts], F.count_if("hit").alias("n_removed_lines"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).cast("long").alias("n_removed_words"))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     left = (F.col("n_words") - F.col("n_removed_words")) >= F.lit(min_left) * F.col("n_words")
@@ -99,9 +103,10 @@ w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lam
 g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS c
       FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
 r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE c > 1) GROUP BY rid),
-l AS (SELECT rid, host, text, regexp_replace(regexp_replace(trim(lower(x), ' '), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g') AS line
-      FROM (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
-f AS (SELECT host, line FROM l GROUP BY host, line HAVING count(DISTINCT text) > 8),
+l AS (SELECT rid, host, coalesce(doc_id::VARCHAR, md5(text)) AS doc, regexp_replace(regexp_replace(trim(lower(x), ' '), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g') AS line
+      FROM (SELECT rid, doc_id, host, text, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+h AS (SELECT host, count(DISTINCT coalesce(doc_id::VARCHAR, md5(text))) AS n_host FROM d GROUP BY host),
+f AS (SELECT host, line FROM l JOIN h USING (host) GROUP BY host, line, n_host HAVING count(DISTINCT doc) > greatest(8, 0.0005 * n_host)),
 m AS (SELECT rid, count(*) AS n_lines, sum(len(string_split(trim(line, ' '), ' '))) AS n_words FROM l JOIN f USING (host, line) GROUP BY rid),
 b AS (SELECT w.rid, doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
       length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
