@@ -6,7 +6,10 @@ the last one, the new part is the turn's span.  Rendering the same turn with a
 probe character and with no text shows where the text stands inside the span, so
 that the loss mask covers assistant texts and nothing else.  A template whose
 output for a longer prefix does not begin with its output for the shorter one
-rewrites history: the conversation is marked and gets no mask.
+rewrites history: the conversation is marked and gets no mask.  The probe is a
+character that stands nowhere in the conversation or its output.  Three renderings
+of each prefix are what the method asks for, so a conversation costs the square of
+its turns.
 
 Rows are dealt by conversation and sorted inside partitions, then read as a
 stream: a task holds one conversation at a time.
@@ -27,7 +30,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Turns = list[tuple[str, str]]
-PROBE = "\ue000"
 OPEN, MID, CLOSE = "### ", ": ", " </turn>\n"
 
 
@@ -56,12 +58,14 @@ def read_back(formatted: str) -> Turns:
 def spans(template: Callable[[Turns], str], turns: Turns) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], bool]:
     """The output, each turn's span, each turn's text span, and whether history is rewritten."""
     done, whole, inner = template([]), [], []
+    used = set(template(turns)).union(*[role + text for role, text in turns])
+    probe_char = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in used)
     for k, (role, _) in enumerate(turns):
         out = template(turns[: k + 1])
         if not out.startswith(done):
             return template(turns), [], [], True
-        bare, probe = template([*turns[:k], (role, "")]), template([*turns[:k], (role, PROBE)])
-        head = probe.find(PROBE, len(done))
+        bare, probe = template([*turns[:k], (role, "")]), template([*turns[:k], (role, probe_char)])
+        head = probe.find(probe_char, len(done))
         tail = len(bare) - head
         # What follows the text must be the same in all three renderings.
         if head < 0 or out[:head] != bare[:head] or bare[head:] != out[len(out) - tail :]:
@@ -138,6 +142,7 @@ HARD = "\\### Assistant: </turn> ok"
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    hard = spark.createDataFrame([(-7, 0, "user", HARD), (-7, 1, "assistant", HARD)], rows.schema)
-    return digests(format_chats(rows.unionByName(hard)))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.struct(F.lit(False).alias("added"), "conv_id").alias("conv"), "turn", "role", "text")
+    hard = spark.createDataFrame([((True, -7), 0, "user", HARD), ((True, -7), 1, "assistant", HARD)], rows.schema)
+    # A conversation of the table that has this id itself stays apart.
+    return digests(format_chats(rows.unionByName(hard), conv_col="conv"), "conv").withColumn("conv", F.col("conv.conv_id")).withColumnRenamed("conv", "conv_id")
