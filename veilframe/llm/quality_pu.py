@@ -9,7 +9,8 @@ between the two is cut at the score whose upper tail gives the lowest ratio of
 unlabelled to positive mass (with a deviation bound).
 
 ``max_rows`` bounds the sample of positives and of unlabelled rows that the fit
-sees (rows of lowest id hash); the driver holds only those feature vectors.
+sees (different rows, by a hash of id and text); the driver holds only those
+feature vectors.
 Scoring is one narrow map over every whole text.
 
 Defined results: null or empty text has all features zero and gets a score; a
@@ -155,14 +156,22 @@ def apply_arrays(model: dict, x: np.ndarray) -> np.ndarray:
     return _sigmoid(np.clip((x - model["mean"]) * model["scale"], -8, 8) @ model["w"] + model["b"])
 
 
-def _collect(rows: DataFrame) -> np.ndarray:
-    """Feature rows of a bounded sample."""
+def _sampled(rows: DataFrame, max_rows: int) -> np.ndarray:
+    """Feature rows of about ``max_rows`` different (id, text) rows at most, told by hash.
+
+    Which rows is decided before any text is read by Python, in every partition alone;
+    features, not texts, are exchanged, and repeated rows count once.
+    """
+    order = F.xxhash64(F.lit(17), "id", "text")
+    n = rows.agg(F.approx_count_distinct(order, 0.02)).first()[0]
+    some = rows.withColumn("order", order).filter(F.pmod("order", F.lit(1_000_003)) < -(-max_rows * 1_000_003 // max(n, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in features(batch.column(0))], pa.binary())], names=["f"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.tobytes() for x in features(batch.column(0))], pa.binary())], names=["order", "f"])
 
-    got = rows.select("text").mapInArrow(run, "f binary").toArrow().column("f")
+    told = some.select("text", "order").mapInArrow(run, "order long, f binary").groupBy("order").agg(F.first("f").alias("f"))
+    got = told.orderBy("order").toArrow().column("f")
     return np.frombuffer(b"".join(x.as_py() for x in got), np.float32).reshape(-1, N_FEATURES)
 
 
@@ -172,16 +181,12 @@ def held_out(id_: Column) -> Column:
 
 def fit(docs: DataFrame, positives: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", max_rows: int = 8000, prior: float | None = None) -> dict:
     """Fit on documents whose ids stand in ``positives`` (one id column) against all others as unlabelled."""
-    order = F.xxhash64(F.lit(17), F.col("id"))
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # At most max_rows ids, so this side of the join has a fixed bound.
-    trusted = positives.select(F.col(positives.columns[0]).alias("id")).dropna().distinct().orderBy(order, "id").limit(max_rows)
-    p = _collect(src.join(F.broadcast(trusted), "id", "left_semi"))
-    n = src.count()
-    # Rows of the lowest id hashes; the limit only binds where one id has very many rows.
-    u = src.filter(F.pmod(order, F.lit(1_000_003)) < -(-max_rows * 1_000_003 // max(n, 1)))
-    u = _collect(u.join(F.broadcast(trusted), "id", "left_anti").limit(2 * max_rows))
-    return fit_arrays(p[: 2 * max_rows], u, prior)
+    trusted = positives.select(F.col(positives.columns[0]).alias("id")).dropna().distinct().orderBy(F.xxhash64(F.lit(17), "id"), "id").limit(max_rows)
+    p = _sampled(src.join(F.broadcast(trusted), "id", "left_semi"), max_rows)
+    u = _sampled(src.join(F.broadcast(trusted), "id", "left_anti"), max_rows)
+    return fit_arrays(p, u, prior)
 
 
 def score(docs: DataFrame, model: dict, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
