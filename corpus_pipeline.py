@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.llm import contamination, line_templates, near_dup, quality_pu, tokens
-from veilframe.llm.common import shared_dir
+from veilframe.llm.common import remove, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +44,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``; each result is a Parquet table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to ``documents``; each result is a Parquet table in the shared folder, and the last one stays."""
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if done:  # the stage before is no longer read
+            remove(spark, done)
+        done = path
     return docs

@@ -192,7 +192,10 @@ def test_rules_remove_frequent_lines(spark):
     assert all(out[100 + k]["n_removed_words"] == 60 and not out[100 + k]["kept"] and not out[100 + k]["base_failed"] for k in range(12))
     assert out[200]["kept"] and out[203]["kept"] and out[201]["base_failed"] and not out[202]["kept"]
     copies = spark.createDataFrame([(k, body(1), "h") for k in range(30)], "doc_id long, text string, source string")
-    assert all(r["kept"] for r in rules.apply_rules(copies).collect())
+    # Documents are counted, not texts: the lines of 30 copies stand in 30 documents; of 8, in too few.
+    assert not any(r["kept"] for r in rules.apply_rules(copies).collect())
+    assert all(r["kept"] for r in rules.apply_rules(copies.filter("doc_id < 8")).collect())
+    assert all(r["kept"] for r in rules.apply_rules(copies, share=1.0).collect())
     assert rules.apply_rules(copies.limit(0)).count() == 0
 
 
@@ -239,6 +242,17 @@ def test_chat(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_probe_is_absent_from_the_conversation(spark):
+    turns = [("a\ue000", "x\ue000\ue001"), ("assistant", "\ue000"), ("user", "q")]
+    out, whole, inner, bad = chat.spans(chat.plain_template, turns)
+    assert not bad and [chat.unescape(out[a:b]) for a, b in inner] == [t for _, t in turns]
+
+
+def test_own_conversation_minus_seven(spark, tmp_path):
+    spark.createDataFrame([(-7, 0, "user", "mine"), (1, 0, "assistant", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted((r["conv_id"], r["n_turns"], r["loss_chars"]) for r in chat.op7_chat(spark, str(tmp_path)).collect()) == [(-7, 1, 0), (-7, 2, len(chat.HARD)), (1, 1, 0)]
+
+
 def test_rewriting_template():
     shout = lambda turns: f"{len(turns)} turns:" + chat.plain_template(turns)
     assert chat.spans(shout, [("user", "a"), ("assistant", "b")])[3]

@@ -43,7 +43,8 @@ from pyspark.sql import functions as F
 from . import near_dup
 from .common import every_salt, lists, mixed, signed, slices, table, text_key, words
 
-BITS = 22
+#: Least and most bits of a leaf hash that the bitmap tells apart (512 KB to 16 MB).
+BITS = (22, 27)
 STAR = np.uint64(0x5EED)
 TEXT_SALTS = 8
 #: Least shares of a leaf's texts that make a token constant.
@@ -97,26 +98,38 @@ def _lines(docs: DataFrame, bitmap, depth: int) -> DataFrame:
     """(leaf, line, k1, k2, number, tokens) of the lines whose leaf is marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).astype(bool)
+        marked = np.frombuffer(bitmap.value, np.uint8)
+        bits = 3 + len(marked).bit_length() - 1
         for batch in batches:
             k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             for lo, hi, data, offs in slices(batch.column(0)):
                 x = lines_of(data, offs, depth)
-                own = np.flatnonzero(marked[(x["leaf"] >> np.uint64(64 - BITS)).astype(np.int64)])
+                at = (x["leaf"] >> np.uint64(64 - bits)).astype(np.int64)
+                own = np.flatnonzero(marked[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
                 size, first, row = x["size"][own], x["first"][own], x["row"][own]
                 each = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(signed(x["leaf"][own])), pa.array(signed(x["hash"][own])), pa.array(k1[lo:hi][row]), pa.array(k2[lo:hi][row]), pa.array(x["number"][own].astype(np.int32)), lists(signed(x["tokens"][each]), size, pa.int64())], names=["leaf", "line", "k1", "k2", "number", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(x["leaf"][own])), pa.array(signed(x["hash"][own])), pa.array(k1[lo:hi][row]), pa.array(k2[lo:hi][row]), pa.array(x["number"][own].astype(np.int32)), lists(_short(x["tokens"][each]), size, pa.int32())], names=["leaf", "line", "k1", "k2", "number", "tokens"])
 
-    return docs.select("text", "k1", "k2").mapInArrow(run, "leaf long, line long, k1 long, k2 long, number int, tokens array<long>")
+    return docs.select("text", "k1", "k2").mapInArrow(run, "leaf long, line long, k1 long, k2 long, number int, tokens array<int>")
+
+
+def _short(tokens: np.ndarray) -> np.ndarray:
+    """32 bits of each token: inside one place of one leaf that is enough, and takes less room than the text."""
+    return np.where(tokens == STAR, STAR, tokens >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _bitmap(leaves: DataFrame) -> bytes:
-    """2^BITS bits, one for each leading-bits bucket that has a leaf; its size is fixed."""
-    bucket = F.expr(f"shiftrightunsigned(leaf, {64 - BITS})").cast("int")
-    at = leaves.select(bucket.alias("b")).distinct().toArrow().column("b").to_numpy()
-    bits = np.zeros(1 << BITS, bool)
-    bits[at] = True
-    return np.packbits(bits).tobytes()
+    """A bit for each bucket of leading bits that has a leaf: 8 to 16 buckets a leaf, between the sizes of BITS.
+
+    It only saves shuffling; where it is full, the join with the counted leaves does all the work.
+    """
+    n = leaves.count()
+    bits = min(max(BITS[0], (8 * n).bit_length()), BITS[1])
+    marks = leaves.select(F.expr(f"cast(shiftrightunsigned(leaf, {67 - bits}) as int)").alias("byte"), F.expr(f"shiftleft(1, 7 - cast(shiftrightunsigned(leaf, {64 - bits}) % 8 as int))").alias("bit"))
+    got = marks.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << bits - 3, np.uint8)
+    out[got.column("byte").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
+    return out.tobytes()
 
 
 def _salted_texts(docs: DataFrame) -> DataFrame:
