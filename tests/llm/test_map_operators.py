@@ -220,11 +220,26 @@ def test_licenses(spark):
     df = spark.createDataFrame([(a, b, "z") for a, b in rows], "doc_id long, text string, license string")
     out = {r["doc_id"]: (r["license"], list(r["line_licenses"]), r["n_license_lines"]) for r in licenses.scan_licenses(df).collect()}
     assert out[1][0] == "MIT" and out[5][0] is None
-    assert out[2] == (None, ["MIT", "reserved"], 3)
+    assert out[2] == (None, ["MIT"], 2)
     assert out[3] == out[None] == out[4] == (None, [], 0)
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_whole_license_files(spark):
+    """Texts as they stand in repositories: titles, copyright lines, other wrapping; and a caller's own table."""
+    import textwrap
+
+    texts = dict(licenses.KNOWN[:3] + [x for x in licenses.KNOWN if x[0] in ("BSD-3-Clause", "Unlicense", "BSL-1.0")])
+    wrap = lambda t: "\n\n".join(textwrap.fill(p, 60, break_on_hyphens=False) for p in t.split("\n\n"))
+    rows = [(n, f"{n} License\n\nCopyright (c) 2021 Jane Roe\n\n{wrap(t)}\n") for n, t in texts.items()] + [(f"{n}+", wrap(t)) for n, t in texts.items()]
+    out = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["license"] for r in out} == {n: n for n in texts} | {f"{n}+": n for n in texts}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= {n for _, n in licenses.listed()}
+    own = licenses.digests_of(spark.createDataFrame([("Own-1.0", "Own Licence\n\nDo as you like, always.")], "license string, text string"))
+    got = licenses.scan_licenses(spark.createDataFrame([(1, "own LICENSE\n(c) me\ndo as you like   always"), (2, "do as you like - always"), (3, "no")], "doc_id long, text string"), own).collect()
+    assert {r["doc_id"]: r["license"] for r in got} == {1: "Own-1.0", 2: "Own-1.0", 3: None}
+
+
 # ---------------------------------------------------------------------- chat
 
 
