@@ -2,32 +2,38 @@
 
 The pieces of a ``.model`` file form one Aho-Corasick automaton.  A text is read
 once; at each position the automaton's output links name the pieces that end
-there, and each relaxes the best score of that position.  Backtracking gives the
-segmentation with the highest total score.  Characters that no piece covers are
-written as byte pieces; decoding gives the very text back.
+there, longest first, and each is tried as the last piece of the text so far.
+Backtracking gives the ids.  Characters that no piece covers are written as byte
+pieces; decoding gives the very text back.
 
-Scores: a unigram model's scores are used as they are.  A BPE model stores only
-negative ranks, whose sums mean nothing; they are read as Zipf log-probabilities
-``-log(2 + rank)``.  The segmentation is the best one under these scores, not
-the one of BPE merges.
+What makes a piece the best one at a position depends on the model:
 
-No piece has the space mark after its first other character, so every best path
-has a cut before each run of space marks.  Texts are therefore cut there, and a
+* unigram: the highest sum of the model's scores;
+* BPE: merging gives every prefix of a text one last piece: the one that stays
+  beside the last piece of the rest when only those two are merged.  So a piece is
+  relaxed by that test on the pair, not by a sum, and the ids are those of the
+  library.  Tests on pairs are kept in a bounded memo.
+
+No piece has the space mark after its first other character, so no piece, and no
+merge, crosses into a run of space marks.  Texts are therefore cut there, and a
 worker segments each distinct chunk once (bounded memo).  The model file is read
 on the driver (path is a parameter) and broadcast: its size is that of a
 vocabulary file and doesn't grow with the data.
 
+Models that change texts first (a character map, dropped extra spaces, marks
+behind words, user-defined pieces), or that have no byte pieces, are refused.
+
 Defined results: null text: null ids; empty text: no ids; a literal U+2581 in a
-text is written as byte pieces, so that decoding stays exact.  Extra columns are
-ignored; repeated rows are encoded alike.
+text is written as byte pieces, so that decoding stays exact (the library takes it
+for a space).  Extra columns are ignored; repeated rows are encoded alike.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,33 +41,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
-NORMAL, BYTE = 1, 6
-BYTE_PENALTY = 10.0
+#: Types of pieces and of models in the file format, and the library's score below the least for unknown characters.
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+UNIGRAM, BPE = 1, 2
+UNKNOWN_PENALTY = 10.0
 MEMO = 400_000
 _CHUNK = re.compile("▁+[^▁]*|[^▁]+")
 _built: dict = {}
 
 
 def load_model(path: str) -> dict:
-    """Pieces, scores and options of a .model file (name or path), as plain values."""
+    """Pieces, scores and options of a .model file, as plain values."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     with open(path, "rb") as f:
-        proto = pb.ModelProto.FromString(f.read())
-    bpe = proto.trainer_spec.model_type == 2
-    pieces = {}
-    byte_ids = [-1] * 256
+        return read_model(pb.ModelProto.FromString(f.read()))
+
+
+def read_model(proto) -> dict:
+    norm, kind = proto.normalizer_spec, proto.trainer_spec.model_type
+    pieces, byte_ids = {}, [-1] * 256
     for i, p in enumerate(proto.pieces):
         if p.type == BYTE:
             byte_ids[int(p.piece[3:5], 16)] = i
         elif p.type == NORMAL:
-            rank = -p.score if p.score > -1e8 else len(proto.pieces)
-            pieces[p.piece] = (i, -math.log(2.0 + rank) if bpe else p.score)
-    if -1 in byte_ids:
-        raise ValueError("the model needs byte pieces")
-    if any(MARK in p.lstrip(MARK) for p in pieces):
-        raise ValueError("a piece has the space mark inside")
-    return {"pieces": pieces, "bytes": byte_ids, "prefix": proto.normalizer_spec.add_dummy_prefix, "unk": min((s for _, s in pieces.values()), default=0.0) - BYTE_PENALTY}
+            pieces[p.piece] = (i, p.score)
+    checks = {
+        "is neither unigram nor BPE": kind not in (UNIGRAM, BPE),
+        "has a character map": bool(norm.precompiled_charsmap),
+        "drops extra spaces": norm.remove_extra_whitespaces,
+        "does not mark spaces": not norm.escape_whitespaces,
+        "puts marks behind words": proto.trainer_spec.treat_whitespace_as_suffix,
+        "has user-defined or unused pieces": any(p.type not in (NORMAL, UNKNOWN, CONTROL, BYTE) for p in proto.pieces),
+        "has no byte pieces": -1 in byte_ids,
+        "has a piece with the space mark inside": any(MARK in p.lstrip(MARK) for p in pieces),
+    }
+    if wrong := [what for what, is_so in checks.items() if is_so]:
+        raise ValueError(f"the model {', and '.join(wrong)}")
+    return {"pieces": pieces, "bytes": byte_ids, "prefix": norm.add_dummy_prefix, "bpe": kind == BPE, "unk": min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY}
+
+
+_NONE = float("-inf")
+
+
+def merge(symbols: str | list[str], scores: dict[str, float]) -> list[str]:
+    """The neighbours with the highest score as one piece are joined, the leftmost of equals, until none are a piece."""
+    symbols, get = list(symbols), scores.get
+    pair = [get(a + b, _NONE) for a, b in pairwise(symbols)]
+    while pair and (best := max(pair)) > _NONE:
+        at = pair.index(best)
+        symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        del pair[at]
+        if at < len(pair):
+            pair[at] = get(symbols[at] + symbols[at + 1], _NONE)
+        if at:
+            pair[at - 1] = get(symbols[at - 1] + symbols[at], _NONE)
+    return symbols
 
 
 class _Memo(dict):
@@ -86,9 +121,11 @@ class Segmenter:
         self.model = model
         self.automaton = ahocorasick.Automaton()
         for piece, (i, score) in model["pieces"].items():
-            self.automaton.add_word(piece, (len(piece), i, score))
+            self.automaton.add_word(piece, (len(piece), piece if model["bpe"] else i, score))
         self.automaton.make_automaton()
-        self.memo = _Memo(self.best)
+        self.memo = _Memo(self.last_pieces if model["bpe"] else self.best)
+        self.scores = {p: score for p, (_, score) in model["pieces"].items()}
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.piece_of = {i: p for p, (i, _) in model["pieces"].items()}
         self.byte_of = {i: b for b, i in enumerate(model["bytes"])}
         self._table = None
@@ -125,6 +162,37 @@ class Segmenter:
             at = begin
         return out[::-1]
 
+    def stays(self, left: str, right: str) -> bool:
+        """Merging the characters of both pieces gives these two pieces (``left`` may be empty)."""
+        key = (left, right)
+        told = self.pairs.get(key)
+        if told is None:
+            if len(self.pairs) >= MEMO:
+                self.pairs.clear()
+            told = self.pairs[key] = merge(left + right, self.scores) == ([left, right] if left else [right])
+        return told
+
+    def last_pieces(self, s: str) -> list[int]:
+        """The same pass for BPE: the last piece of every prefix, told by the pair that it makes with the one before it."""
+        last, stays = [""], self.stays
+        for end, (size, piece, _) in self.automaton.iter(s):
+            while len(last) <= end:  # places where no piece ends: an unknown character
+                last.append(s[len(last) - 1])
+            if len(last) == end + 1 and stays(last[end + 1 - size], piece):
+                last.append(piece)
+        while len(last) <= len(s):
+            last.append(s[len(last) - 1])
+        out: list[int] = []
+        at = len(s)
+        while at:
+            told = self.model["pieces"].get(last[at])
+            if told is None:
+                out += [self.model["bytes"][b] for b in reversed(last[at].encode("utf-8", "surrogatepass"))]
+            else:
+                out.append(told[0])
+            at -= len(last[at])
+        return out[::-1]
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
