@@ -359,3 +359,80 @@ def test_sql_functions(spark):
 
     register(spark)
     assert spark.sql("SELECT luhn_ok('79927398713') a, mask_partial('abcdefgh') b, mask_secret('abcdefgh') c").first() == (True, "ab****gh", "ab…[8 chars]")
+
+
+# --------------------------------------------------------------- plans and packs
+
+
+def test_self_test_of_the_builtin_pack(spark):
+    rows = ins.self_test(spark).collect()
+    assert len(rows) >= 60 and all(r["ok"] for r in rows), [r for r in rows if not r["ok"]]
+
+
+def test_plans_stay_small(spark):
+    """No filter is pushed below the scan, and nothing is computed twice."""
+    import time
+
+    docs = spark.createDataFrame([(1, "card 4526 0181 5908 3012")], "doc_id long, text string")
+    begun = time.perf_counter()
+    plan = ins.long_hits(docs, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000 and time.perf_counter() - begun < 20
+    assert plan.count("told(text") == 1 and "ArrowEvalPython" in plan or plan.count("told(") <= 2
+    one = ins.detected(docs, "credit_card").filter("size(found) > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(one) < 40_000
+
+
+def test_patterns_are_linear():
+    import re
+    import time
+
+    texts = ["1 " * 50_000, "a" * 100_000, "a." * 50_000, "a@" * 50_000, "A1 " * 40_000, "eyJ" * 40_000, "mysql://a:" * 20_000, "9" * 100_000, "a-" * 50_000 + "@", "@" + "a." * 50_000, "AE12 3456 " * 10_000]
+    for d in packs.BUILTIN.detectors:
+        for t in texts:
+            begun = time.perf_counter()
+            for _ in re.compile(d.pattern).finditer(t):
+                pass
+            assert time.perf_counter() - begun < 2, (d.id, t[:10])
+
+
+def test_packs_that_are_refused():
+    good = {"id": "x", "name": "x", "category": "x", "pattern": "x"}
+    for change in ({"pattern": "(?=x)x"}, {"pattern": "(x"}, {"pattern": "x{1000}{1000}"}, {"test_values": ["sha256:nothex"]}, {"engine": "re"}, {"hint": "x"}):
+        with pytest.raises(packs.PackError):
+            packs.load_pack({"pack": "p", "version": "1", "detectors": [good | change]})
+
+
+def test_hostile_pattern_is_linear(spark):
+    import time
+
+    p = packs.load_pack({"pack": "p", "version": "1", "detectors": [{"id": "x", "name": "x", "category": "x", "pattern": "(a+)+b"}]})
+    begun = time.perf_counter()
+    assert not ins.scan(list(p.detectors), ins.Budget())(__import__("pyarrow").array(["a" * 100_000]))[0].as_py()["spans"]
+    assert time.perf_counter() - begun < 2
+
+
+def test_values_are_found_in_other_writings(spark):
+    """Full-width digits, zero-width characters, decomposed letters."""
+    texts = ["\uff14\uff15\uff12\uff16\uff10\uff11\uff18\uff11\uff15\uff19\uff10\uff18\uff13\uff10\uff11\uff12", "4526\u200b0181\u200b5908\u200b3012", "u\u0308 4526 0181 5908 3012"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r["inspection"] for r in ins.inspect(df).collect()]
+    assert [g["hits"][0]["samples"][0]["start"] for g in got] == [0, 0, 3] and all(g["hits"][0]["count"] == 1 for g in got)
+
+
+def test_stream_upsert_replaces_a_batch_that_runs_again(spark, tmp_path):
+    from veilframe.streaming import events as streams
+
+    rows = [("t", "k", "e1", "2024-01-01 00:00:00"), ("t", "k", "e2", "2024-01-01 00:05:00"), ("t", "q", "e3", "2024-01-01 00:01:00")]
+    df = spark.createDataFrame(rows, "tenant_id string, dedup_key string, event_id string, at string").selectExpr("tenant_id", "dedup_key", "event_id", "cast(at as timestamp) as occurred_at")
+    df.write.parquet(f"{tmp_path}/in")
+    for state in ("a", "b"):  # the second run knows nothing of the first one: batch 0 again
+        src = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        streams.upsert_incidents(src, f"{tmp_path}/out", f"{tmp_path}/{state}").awaitTermination()
+    got = streams.current_incidents(spark, f"{tmp_path}/out")
+    assert sorted((r["dedup_key"], r["occurrences"]) for r in got.collect()) == [("k", 2), ("q", 1)]
+
+
+def test_catalogue_has_sql_for_all_but_one():
+    from veilframe.plans import catalogue
+
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"det_all_long", "pol_explain_trace"}

@@ -263,14 +263,14 @@ def at_least(counts: Column, level: str) -> Column:
     return reduce(lambda a, b: a + b, [counts[x] for x in LEVELS[LEVELS.index(level) :]])
 
 
-def vectors(spark: SparkSession, packs: list[Pack] | None = None) -> DataFrame:
+def vector_rows(packs: list[Pack] | None = None) -> list[tuple[str, bool, str]]:
     """(detector, expected, text) of the packs' own test vectors."""
-    rows = [(d.id, kind == "match", decoded(v)) for d in merge(packs or [BUILTIN]) for kind in ("match", "no_match") for v in d.tests.get(kind, ())]
-    return spark.createDataFrame(rows, "detector string, expected boolean, text string")
+    return [(d.id, kind == "match", decoded(v)) for d in merge(packs or [BUILTIN]) for kind in ("match", "no_match") for v in d.tests.get(kind, ())]
 
 
 def self_test(spark: SparkSession, packs: list[Pack] | None = None) -> DataFrame:
     """One row per test vector: does it (not) show above low confidence, as its pack says?"""
-    out = inspect(vectors(spark, packs), packs=packs)
+    src = spark.createDataFrame(vector_rows(packs), "detector string, expected boolean, text string")
+    out = inspect(src, packs=packs)
     above = F.exists("inspection.hits", lambda h: (h["detector"] == F.col("detector")) & (h["max_confidence"] != "low"))
     return out.select("detector", "expected", above.alias("found"), (above == F.col("expected")).alias("ok"))

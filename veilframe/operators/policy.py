@@ -131,7 +131,7 @@ def evaluate(df: DataFrame, bundle: Bundle, *, facts_col: str = "facts", now: da
         shown(monitors).alias("monitor_matches"),
         kept.alias("side_effects"),
         explanation().alias("explanation"),
-        F.array_distinct(_present(notes, "array<string>")).alias("diagnostics"),
+        _without_repeats(_present(notes, "array<string>")).alias("diagnostics"),
     ]
     if trace:
         fields.append(_trace(bundle, c, at).alias("trace"))
@@ -139,6 +139,12 @@ def evaluate(df: DataFrame, bundle: Bundle, *, facts_col: str = "facts", now: da
     return out.drop(*[x for x in out.columns if x.startswith("__") and x not in df.columns])
 
 
+def _without_repeats(xs: Column) -> Column:
+    """Neighbours that are equal count once; a note that comes back later stays."""
+    before = F.concat(F.array(F.lit(None).cast("string")), xs)
+    return F.filter(F.zip_with(xs, before, lambda x, b: F.when(~x.eqNullSafe(b), x)), lambda x: x.isNotNull())
+
+
 def explanation() -> Column:
     """The decision in words."""
     by, ord_ = F.col("__by"), F.coalesce(F.col("__by.ord"), F.lit(-1))

@@ -23,6 +23,17 @@ def tenant_subtree(tenants: DataFrame, path: str | None, path_col: str = "path")
     return tenants.filter((F.col(path_col) == path) | F.startswith(F.col(path_col), F.lit(path.rstrip("/") + "/")))
 
 
+def visible_counts(tenants: DataFrame, path_col: str = "path") -> DataFrame:
+    """(path, n_below): how many tenants each one sees, itself included.
+
+    A tenant's ancestors are the prefixes of its own path, so this is one aggregate over
+    (depth) rows a tenant, not a join on a range.
+    """
+    parts = F.split(F.col(path_col), "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return tenants.select(F.explode(above).alias(path_col)).groupBy(path_col).agg(F.count(F.lit(1)).alias("n_below"))
+
+
 def foreign_rows(df: DataFrame, tenant: str | int | None, tenant_col: str = "tenant_id") -> DataFrame:
     """Rows that a write by this tenant must not hold."""
     return df.filter(~F.coalesce(F.col(tenant_col) == F.lit(tenant), F.lit(False)))
@@ -132,3 +143,14 @@ def latency_histogram(df: DataFrame, seconds_col: str, bounds: tuple[float, ...]
     counts = df.agg(*[F.count_if(F.col(seconds_col) <= b).alias(f"b{i}") for i, b in enumerate(bounds)], F.count(seconds_col).alias("all"))
     rows = [F.struct(F.lit(str(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)] + [F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("n"))]
     return counts.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def request_counts(df: DataFrame, by: list[str]) -> DataFrame:
+    """Requests by method, route, status or what else ``by`` names."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def metrics_text(counts: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """A line of the text form that scrapers read for each row of request_counts()."""
+    labels = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.col(c).cast("string"), F.lit('"')) for c in by])
+    return counts.select(F.concat(F.lit(name + "{"), labels, F.lit("} "), F.col("n").cast("string")).alias("line"))

@@ -33,7 +33,10 @@ def strict_json(raw: Column, schema: T.StructType) -> tuple[Column, Column]:
     value = F.from_json(raw, schema, {"mode": "PERMISSIVE"})
     keys = F.json_object_keys(raw)
     odd = F.array_except(keys, F.array(*[F.lit(f.name) for f in schema.fields]))
-    error = F.when(F.try_parse_json(raw).isNull() | keys.isNull(), F.lit("invalid_input: no JSON object")).when(F.size(odd) > 0, F.concat(F.lit("invalid_input: unknown field "), F.get(odd, F.lit(0))))
+    # Parsers stop behind the first value; inside an array whatever follows it is an error, or a second element.
+    alone = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    whole = alone.isNotNull() & F.try_variant_get(alone, "$[1]", "variant").isNull() & F.rtrim(raw).endswith("}")
+    error = F.when(F.try_parse_json(raw).isNull() | keys.isNull() | ~whole, F.lit("invalid_input: no JSON object")).when(F.size(odd) > 0, F.concat(F.lit("invalid_input: unknown field "), F.get(odd, F.lit(0))))
     return F.when(error.isNull(), value), error
 
 

@@ -58,5 +58,33 @@ def incident_counts(events: DataFrame, *, late: str = "1 hour", window: str = "1
     return events.withWatermark("occurred_at", late).groupBy("tenant_id", "dedup_key", F.session_window("occurred_at", window).alias("w")).agg(F.count(F.lit(1)).alias("occurrences"), F.min("occurred_at").alias("first_seen_at"), F.max("occurred_at").alias("last_seen_at"))
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("tenant_id", "dedup_key").agg(F.sum("occurrences").alias("occurrences"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
+
+
+def upsert_incidents(events: DataFrame, path: str, checkpoint: str):
+    """A running query that merges events (tenant_id, dedup_key, occurred_at) into one incident per tenant and key.
+
+    Each micro-batch is merged in itself and written under its own batch number, so a batch
+    that runs again after a failure replaces what it wrote; the parts merge when they are read.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        one = batch.select("tenant_id", "dedup_key", F.lit(1).cast("long").alias("occurrences"), F.col("occurred_at").alias("first_seen_at"), F.col("occurred_at").alias("last_seen_at"))
+        _merged(one).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_incidents(spark: SparkSession, path: str) -> DataFrame:
+    """The incidents that upsert_incidents() has merged so far."""
+    return _merged(spark.read.parquet(path))
+
+
+def compact_incidents(spark: SparkSession, path: str, to: str) -> None:
+    """The merged incidents as one new part, for folders of many batches."""
+    current_incidents(spark, path).write.mode("overwrite").parquet(f"{to}/batch=-1")
+
+
 def read_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
