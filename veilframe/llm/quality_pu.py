@@ -20,6 +20,7 @@ no positives at all: every score is 0.5; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,10 +119,16 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, steps: int = 150) -> float:
     return float(np.clip(qu[best] / max(qp[best], 1e-9), 0.02, 0.98))
 
 
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Rows in an order of their own, so that halves of them don't depend on how they came."""
+    return x[np.argsort([zlib.crc32(np.asarray(r, np.float32).tobytes()) for r in x], kind="stable")]
+
+
 def fit_arrays(p: np.ndarray, u: np.ndarray, prior: float | None = None, steps: int = 400, l2: float = 1e-3) -> dict:
     """The model (plain values) from feature rows of positives and unlabelled."""
     if not len(p) or not len(u):
         return {"w": np.zeros(N_FEATURES), "b": 0.0, "prior": 0.5}
+    p, u = _ordered(p), _ordered(u)
     both = np.concatenate([p, u]).astype(np.float32, copy=False)
     mean, std = both.mean(0, dtype=np.float64), both.std(0, dtype=np.float64)
     del both
