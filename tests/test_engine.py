@@ -3,6 +3,7 @@
 import base64
 import json
 import math
+import os
 from collections import Counter
 from datetime import UTC, datetime
 
@@ -436,3 +437,12 @@ def test_catalogue_has_sql_for_all_but_one():
     from veilframe.plans import catalogue
 
     assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"det_all_long", "pol_explain_trace"}
+
+
+def test_entry_can_be_imported_without_a_session():
+    import subprocess
+    import sys
+
+    told = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", told], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert out.returncode == 0 and int(out.stdout) > 100, out.stderr[-500:]

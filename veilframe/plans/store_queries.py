@@ -65,7 +65,7 @@ def pol_tenant_match(spark, d):
 
 # ------------------------------------------------------------------------ sources
 
-_BODY = T.StructType.fromDDL("id bigint, kind string, value double")
+_BODY = T.StructType([T.StructField("id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("value", T.DoubleType())])
 
 
 @query("SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'invalid_input: unknown field extra' WHEN 2 THEN 'invalid_input: no JSON object' WHEN 3 THEN 'invalid_input: no JSON object' WHEN 4 THEN 'invalid_input: no JSON object' END AS error, CASE WHEN event_id % 5 = 0 THEN event_type END AS kind FROM events")

@@ -6,18 +6,25 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.policy import evaluate
 from ..plans.bundles import Bundle
 
 #: Closed part of the envelope; actor and destination are open and stay VARIANT.
-ENVELOPE = T.StructType.fromDDL(
-    "event_id string, schema_version string, tenant_id string, source struct<type:string,id:string,version:string>, occurred_at timestamp, channel string, actor variant, destination variant, "
-    "object struct<name:string,sha256:string,size:bigint,type:string,labels:array<string>>, "
-    "inspection struct<hits:array<struct<detector:string,count_by_confidence:struct<low:bigint,medium:bigint,high:bigint>,samples:array<struct<masked:string>>>>>, "
-    "verdict struct<action:string,bundle_version:string,user_justification:string>, evidence_ref string"
-)
+ENVELOPE = {
+    "event_id": "string",
+    "schema_version": "string",
+    "tenant_id": "string",
+    "source": "struct<type:string,id:string,version:string>",
+    "occurred_at": "timestamp",
+    "channel": "string",
+    "actor": "variant",
+    "destination": "variant",
+    "object": "struct<name:string,sha256:string,size:bigint,type:string,labels:array<string>>",
+    "inspection": "struct<hits:array<struct<detector:string,count_by_confidence:struct<low:bigint,medium:bigint,high:bigint>,samples:array<struct<masked:string>>>>>",
+    "verdict": "struct<action:string,bundle_version:string,user_justification:string>",
+    "evidence_ref": "string",
+}
 #: An event id is a 26-character ULID.
 ULID = "^[0-9A-HJKMNP-TV-Z]{26}$"
 
@@ -25,8 +32,8 @@ ULID = "^[0-9A-HJKMNP-TV-Z]{26}$"
 def parse_envelopes(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Envelope columns and error (null if the envelope is well formed)."""
     text = F.col(value_col).cast("string")
-    e = F.from_json(text, ENVELOPE)
-    odd = F.array_except(F.json_object_keys(text), F.array(*[F.lit(f.name) for f in ENVELOPE.fields]))
+    e = F.from_json(text, ", ".join(f"{name} {kind}" for name, kind in ENVELOPE.items()))
+    odd = F.array_except(F.json_object_keys(text), F.array(*map(F.lit, ENVELOPE)))
     error = (
         F.when(F.try_parse_json(text).isNull(), F.lit("no JSON"))
         .when(F.size(odd) > 0, F.concat(F.lit("unknown field "), F.get(odd, F.lit(0))))
