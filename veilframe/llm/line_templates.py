@@ -140,7 +140,7 @@ def _salted_texts(docs: DataFrame) -> DataFrame:
 def _copy_groups(docs: DataFrame, seen: DataFrame) -> DataFrame:
     """(k1, unit): the group of near copies of each text that ``seen`` names; other texts hold no line that counts."""
     named = seen.select("k1").distinct().withColumn("salt", every_salt(TEXT_SALTS))
-    texts = _salted_texts(docs).join(named, ["k1", "salt"], "left_semi").groupBy("k1").agg(F.first("text").alias("text"))
+    texts = _salted_texts(docs).join(named.hint("merge"), ["k1", "salt"], "left_semi").groupBy("k1").agg(F.first("text").alias("text"))
     groups = near_dup.near_duplicates(table(texts, "line-texts"), id_col="k1")
     return table(groups.select("k1", F.col("component_id").alias("unit")), "copy-groups")
 

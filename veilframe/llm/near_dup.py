@@ -220,9 +220,9 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     each = nodes.select("node", "n", F.explode("bands").alias("key"))
     buckets = table(each.groupBy("key").agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("size"), F.min_by("n", "node").alias("n_m")).filter("size > 1"), "buckets")
     inside = table(meet(each, buckets, "key", "node", small_rows=0), "bucket-members")  # buckets grow with the corpus
-    # Only nodes that share a bucket need their texts again.
+    # Only nodes that share a bucket need their texts again; their number grows with the corpus, so they are never broadcast.
     wanted = inside.select(F.col("node").alias("id")).distinct()
-    texts = table(src.join(wanted, "id", "left_semi"), "candidate-texts")
+    texts = table(src.join(wanted.hint("merge"), "id", "left_semi"), "candidate-texts")
     # A set more than a fifth larger than another can't be similar enough: dropped exactly.
     fits = (F.lit(100) * F.least("n", "n_m") >= F.lit(percent) * F.greatest("n", "n_m")) & (F.col("node") != F.col("m"))
     pairs = inside.filter(fits).select("m", F.col("node").alias("id")).distinct()
