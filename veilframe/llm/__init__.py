@@ -1,5 +1,5 @@
 """Operators for preparing language-model training corpora.
 
-Ten stand-alone DataFrame operators.  Nothing outside this subpackage (and
+Thirteen stand-alone DataFrame operators.  Nothing outside this subpackage (and
 ``corpus_pipeline.py``) imports it.
 """
