@@ -9,14 +9,16 @@ pieces; decoding gives the very text back.
 What makes a piece the best one at a position depends on the model:
 
 * unigram: the highest sum of the model's scores;
-* BPE: merging gives every prefix of a text one last piece: the one that stays
-  beside the last piece of the rest when only those two are merged.  So a piece is
-  relaxed by that test on the pair, not by a sum, and the ids are those of the
-  library.  Tests on pairs are kept in a bounded memo.
+* BPE: the same pass over steps that are restricted: a piece may follow the best last
+  piece of the text before it only if merging the two alone leaves both as they are.
+  Merging gives every prefix one last piece, so one of the pieces that end at a
+  position passes, and the ids are those of the library.  The highest sum of BPE
+  scores, without the restriction, would give other ids.  Tests on pairs are memoised.
 
 No piece has the space mark after its first other character, so no piece, and no
 merge, crosses into a run of space marks.  Texts are therefore cut there, and a
-worker segments each distinct chunk once (bounded memo).  The model file is read
+worker segments each recent distinct chunk once (memos are bounded, and lose what
+is oldest first).  The model file is read
 on the driver (path is a parameter) and broadcast: its size is that of a
 vocabulary file and doesn't grow with the data.
 
@@ -45,7 +47,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-MEMO = 400_000
+#: Entries of a memo; half of them at least are the latest.
+MEMO = 120_000
 _CHUNK = re.compile("▁+[^▁]*|[^▁]+")
 _built: dict = {}
 
@@ -99,19 +102,21 @@ def merge(symbols: str | list[str], scores: dict[str, float]) -> list[str]:
     return symbols
 
 
-class _Memo(dict):
-    """Ids (bytes of int32) of each chunk seen, segmented when first asked for; bounded."""
+class _Recent(dict):
+    """What ``f`` gives for each key, kept for the latest keys: when half of MEMO are new, all that were not asked for since go."""
 
-    def __init__(self, best):
-        self.best = best
+    def __init__(self, f):
+        self.f, self.old = f, {}
 
-    def __missing__(self, s: str) -> bytes:
-        ids = np.array(self.best(s), np.int32).tobytes()
-        if len(s) <= 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[s] = ids
-        return ids
+    def __missing__(self, key):
+        told = self.old.get(key)
+        if told is None:
+            told = self.f(key)
+        if len(self) >= MEMO // 2:
+            self.old = dict(self)
+            self.clear()
+        self[key] = told
+        return told
 
 
 class Segmenter:
@@ -121,11 +126,11 @@ class Segmenter:
         self.model = model
         self.automaton = ahocorasick.Automaton()
         for piece, (i, score) in model["pieces"].items():
-            self.automaton.add_word(piece, (len(piece), piece if model["bpe"] else i, score))
+            self.automaton.add_word(piece, (len(piece), piece, i, score))
         self.automaton.make_automaton()
-        self.memo = _Memo(self.last_pieces if model["bpe"] else self.best)
+        self.memo = _Recent(lambda s: np.array(self.best(s), np.int32).tobytes())
         self.scores = {p: score for p, (_, score) in model["pieces"].items()}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs = _Recent(self._stays) if model["bpe"] else None
         self.piece_of = {i: p for p, (i, _) in model["pieces"].items()}
         self.byte_of = {i: b for b, i in enumerate(model["bytes"])}
         self._table = None
@@ -133,23 +138,31 @@ class Segmenter:
     def best(self, s: str) -> list[int]:
         """Single-pass Viterbi over the automaton's matches, in order of their ends; among equal scores the longest piece.
 
-        Matches that end at one place come longest first, along the output links.
+        Matches that end at one place come longest first, along the output links.  For BPE a
+        match is a step only if it stays beside the best last piece of the text before it.
         """
-        n, unk = len(s), self.model["unk"]
-        score, start, piece, done = [0.0], [0], [-1], 0
-        for last, (size, i, own) in self.automaton.iter(s):
-            while done <= last:  # a new place: at first, its character as bytes
-                score.append(score[done] + unk)
-                start.append(done)
-                piece.append(-1)
-                done += 1
-            x = score[done - size] + own
-            if x > score[done]:
-                score[done], start[done], piece[done] = x, done - size, i
-        while done < n:
+        n, unk, pairs = len(s), self.model["unk"], self.pairs
+        score, start, piece, last, done = [0.0], [0], [-1], [""], 0
+
+        def unknown() -> None:  # a new place: at first, its character as bytes
             score.append(score[done] + unk)
             start.append(done)
             piece.append(-1)
+            last.append(s[done])
+
+        for end, (size, own, i, gain) in self.automaton.iter(s):
+            while done <= end:
+                unknown()
+                done += 1
+            begin = done - size
+            if pairs is None:
+                step = score[begin] + gain > score[done]
+            else:  # one match passes; any other, once it has passed, is not tried
+                step = piece[done] < 0 and pairs[last[begin], own]
+            if step:
+                score[done], start[done], piece[done], last[done] = score[begin] + gain, begin, i, own
+        while done < n:
+            unknown()
             done += 1
         out: list[int] = []
         at = n
@@ -162,36 +175,10 @@ class Segmenter:
             at = begin
         return out[::-1]
 
-    def stays(self, left: str, right: str) -> bool:
-        """Merging the characters of both pieces gives these two pieces (``left`` may be empty)."""
-        key = (left, right)
-        told = self.pairs.get(key)
-        if told is None:
-            if len(self.pairs) >= MEMO:
-                self.pairs.clear()
-            told = self.pairs[key] = merge(left + right, self.scores) == ([left, right] if left else [right])
-        return told
-
-    def last_pieces(self, s: str) -> list[int]:
-        """The same pass for BPE: the last piece of every prefix, told by the pair that it makes with the one before it."""
-        last, stays = [""], self.stays
-        for end, (size, piece, _) in self.automaton.iter(s):
-            while len(last) <= end:  # places where no piece ends: an unknown character
-                last.append(s[len(last) - 1])
-            if len(last) == end + 1 and stays(last[end + 1 - size], piece):
-                last.append(piece)
-        while len(last) <= len(s):
-            last.append(s[len(last) - 1])
-        out: list[int] = []
-        at = len(s)
-        while at:
-            told = self.model["pieces"].get(last[at])
-            if told is None:
-                out += [self.model["bytes"][b] for b in reversed(last[at].encode("utf-8", "surrogatepass"))]
-            else:
-                out.append(told[0])
-            at -= len(last[at])
-        return out[::-1]
+    def _stays(self, pair: tuple[str, str]) -> bool:
+        """Merging the characters of both pieces gives these two pieces (the left one may be empty)."""
+        left, right = pair
+        return merge(left + right, self.scores) == ([left, right] if left else [right])
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -203,7 +190,8 @@ class Segmenter:
             s = part.replace(" ", MARK)
             if not k and self.model["prefix"]:
                 s = MARK + s
-            out.extend(map(self.memo.__getitem__, _CHUNK.findall(s)))
+            for chunk in _CHUNK.findall(s):
+                out.append(self.memo[chunk] if len(chunk) <= 64 else np.array(self.best(chunk), np.int32).tobytes())
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> str:
