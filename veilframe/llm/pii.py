@@ -14,7 +14,10 @@ length, randomness) and its neighbours (words before and behind, characters at
 both ends), hashed to 2^13 places.  It is fitted on at most ``max_rows`` different
 candidates of each kind, by hash; the bound is the only sample taken.  Strict
 matches always stay; other candidates are added when the classifier gives them at
-least ``threshold``.
+least ``threshold``; of those that overlap, the more probable ones, so that nothing
+that is rejected stands in the way of another.  Patterns bound no length: they only
+begin where a run of their characters begins and never give characters back, so
+they are linear on any text.
 
 The corpus is read once; the found candidates are written to the shared folder,
 then counted, then classified.
@@ -58,11 +61,11 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SECRET_WORDS = "password|passwd|passphrase|passwort|contraseña|pwd|secret|token|bearer|credential|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth[ _-]?key"
 #: Wide patterns of candidates beside the strict ones: (kind, pattern, group of the span, what a text must hold).
 _WIDE = [
-    ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9._+-]{2,64}+ ?[\[(] ?(?:at|AT|@) ?[\])] ?[A-Za-z0-9-]{2,63}+(?: ?(?:[\[(] ?(?:dot|DOT) ?[\])]|\.) ?[A-Za-z0-9-]{2,63}){1,4}"), 0, re.compile(r"[\[(] ?(?:at|AT|@)")),
+    ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9._+-]{2,}+ ?[\[(] ?(?:at|AT|@) ?[\])] ?[A-Za-z0-9-]{2,}+(?: ?(?:[\[(] ?(?:dot|DOT) ?[\])]|\.) ?[A-Za-z0-9-]{2,}+)+"), 0, re.compile(r"[\[(] ?(?:at|AT|@)")),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"), 0, re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), 0, re.compile("[A-Z]{2}[0-9]{2}")),
-    ("secret", re.compile(rf"(?i)(?<![^\W_])(?:{_SECRET_WORDS})(?![^\W_])[\"']?\s{{0,3}}(?:[:=]|is\b)\s{{0,3}}[\"']?([^\s\"'<>,;]{{6,512}}+)"), 1, re.compile("(?i)pass|secret|token|bearer|credential|key|contrase|pwd")),
-    ("secret", re.compile(r"(?<![\w+/=.-])(?=[A-Za-z_+/-]{0,40}[0-9])[A-Za-z0-9_+/-]{20,512}+={0,2}(?![\w+/=-])"), 0, re.compile("[0-9]")),
+    ("secret", re.compile(rf"(?i)(?<![^\W_])(?:{_SECRET_WORDS})(?![^\W_])[\"']?\s{{0,3}}(?:[:=]|is\b)\s{{0,3}}[\"']?([^\s\"'<>,;]{{6,}}+)"), 1, re.compile("(?i)pass|secret|token|bearer|credential|key|contrase|pwd")),
+    ("secret", re.compile(r"(?<![\w+/=.-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{20,}+={0,2}(?![\w+/=-])"), 0, re.compile("[0-9]")),
     ("card", re.compile(r"(?<![0-9.])[0-9]{4}(?:[. /]{1,2}[0-9]{4}){3}(?![0-9.])"), 0, re.compile("[0-9]{4}")),
     ("phone", re.compile(r"(?<![\w+().-])(?:00[0-9]{1,3}[ .-])?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])"), 0, re.compile("[0-9]{3}")),
 ]
@@ -167,10 +170,10 @@ _CLASSES = str.maketrans("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01
 def features(text: str, kind: str, start: int, end: int) -> list[int]:
     """Hashed features of the span's characters and of its neighbours; the votes are not among them."""
     s = text[start:end]
-    told = f"<{s[:64].translate(_CLASSES)}>"
+    told = f"<{s.translate(_CLASSES)}>"
     out = {f"{kind}|{told[i : i + 3]}" for i in range(len(told) - 2)}
     runs = re.sub(r"(.)\1+", r"\1+", told)
-    out |= {kind, f"{kind}~{runs[:24]}", f"{kind}#{min(len(s).bit_length(), 10)}", f"{kind}%{int(2 * randomness(s))}", f"{kind}^{len(set(s)) // 4}"}
+    out |= {kind, f"{kind}~{runs}", f"{kind}#{min(len(s).bit_length(), 10)}", f"{kind}%{int(2 * randomness(s))}", f"{kind}^{len(set(s)) // 4}"}
     before = [w.lower() for w in _WORDS.findall(text[max(0, start - 60) : start])[-3:]]
     behind = [w.lower() for w in _WORDS.findall(text[end : end + 40])[:2]]
     out |= {f"{kind}-{w}" for w in before} | {f"{kind}-1{w}" for w in before[-1:]} | {f"{kind}+{w}" for w in behind}
@@ -179,7 +182,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[int]:
 
 
 def candidates(text: str | None) -> list[dict]:
-    """Strict spans and wide candidates that overlap neither them nor each other, with votes and features."""
+    """Strict spans, and wide candidates that don't overlap them (but may overlap each other), with votes and features."""
     base = base_spans(text)
     if not text:
         return []
@@ -191,17 +194,16 @@ def candidates(text: str | None) -> list[dict]:
         else:
             starts.append(a)
             ends.append(b)
+    wide = set()
     for kind, pattern, group, quick in _WIDE:
         if not quick.search(text):
             continue
         for m in pattern.finditer(text):
             a, b = m.span(group)
             k = bisect_right(starts, a)
-            if k and ends[k - 1] > a or bisect_left(starts, b) > k:
-                continue
-            starts.insert(k, a)
-            ends.insert(k, b)
-            found.append((a, kind, b, False))
+            if not (k and ends[k - 1] > a or bisect_left(starts, b) > k):
+                wide.add((a, kind, b))
+    found += [(*x, False) for x in sorted(wide)]
     return [{"s": a, "k": k, "e": b, "base": own, "v": votes(text, k, a, b, own), "f": features(text, k, a, b)} for a, k, b, own in found]
 
 
@@ -307,6 +309,21 @@ def train(found: DataFrame, max_rows: int) -> tuple[np.ndarray, dict]:
     return fit_classifier([r["f"] for r in rows], q, np.array([r["n"] for r in rows], float)), reliability
 
 
+def accepted(spans: list[dict], score: list[float], threshold: float) -> list[bool]:
+    """Strict spans, and of the others those of at least ``threshold`` that overlap no more probable one (ties: the first, then the longest)."""
+    stays = [s["base"] for s in spans]
+    starts: list[int] = []
+    ends: list[int] = []
+    order = sorted((-score[i], s["start"], -s["end"], s["rank"], i) for i, s in enumerate(spans) if not s["base"] and score[i] >= threshold)
+    for _, a, b, _, i in order:
+        k = bisect_right(starts, a)
+        if not (k and ends[k - 1] > a or bisect_left(starts, -b) > k):
+            starts.insert(k, a)
+            ends.insert(k, -b)
+            stays[i] = True
+    return stays
+
+
 def find_pii(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.9, max_rows: int = 2000) -> DataFrame:
     """One row per document: ``id_col`` and spans, an array of (start, rank, kind, end, base, score) in order."""
     found = table(find_candidates(docs, text_col=text_col, id_col=id_col), "pii-candidates")
@@ -316,18 +333,20 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(held.value, np.float32)
         for batch in batches:
-            f = batch.column(1).to_pylist()
-            score = [[float(1 / (1 + np.exp(-np.clip(w[x].sum() + w[-1], -30, 30)))) for x in row] for row in f]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.list_(pa.float64()))], names=["c", "score"])
+            score, stays = [], []
+            for spans, f in zip(batch.column(0).field("spans").to_pylist(), batch.column(1).to_pylist(), strict=True):
+                score.append([float(1 / (1 + np.exp(-np.clip(w[x].sum() + w[-1], -30, 30)))) for x in f])
+                stays.append(accepted(spans, score[-1], threshold))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.list_(pa.float64())), pa.array(stays, pa.list_(pa.bool_()))], names=["c", "score", "stays"])
 
     kinds = F.array(*[F.lit(k) for k in (*KINDS, *ADDED_KINDS)])
     plain = F.transform("cands", lambda c: F.struct(c["s"].alias("start"), F.array_position(kinds, c["k"]).alias("rank"), c["k"].alias("kind"), c["e"].alias("end"), c["base"].alias("base")))
     span = "struct<start:bigint,rank:bigint,kind:string,end:bigint,base:boolean>"
     kind = found.schema["id"].dataType.simpleString()
     src = found.select(F.struct("id", plain.alias("spans")).alias("c"), F.transform("cands", lambda c: c["f"]).alias("f"))
-    scored = src.mapInArrow(run, f"c struct<id:{kind},spans:array<{span}>>, score array<double>")
+    scored = src.mapInArrow(run, f"c struct<id:{kind},spans:array<{span}>>, score array<double>, stays array<boolean>")
     both = F.zip_with("c.spans", "score", lambda c, p: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base"), p.alias("score")))
-    return scored.select(F.col("c.id").alias(id_col), F.sort_array(F.filter(both, lambda c: c["base"] | (c["score"] >= threshold))).alias("spans"))
+    return scored.select(F.col("c.id").alias(id_col), F.sort_array(F.filter(both, lambda c, i: F.get("stays", i))).alias("spans"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
