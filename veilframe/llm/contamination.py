@@ -11,9 +11,11 @@ word.  Hits are mapped back to words and to character offsets of the original.
 
 The benchmark side is the pattern set.  Its size is measured first and it is
 split into blocks of at most ``block_chars`` characters (a longer item into parts
-that overlap by a window less one word); each block is one broadcast automaton,
-and the blocks follow each other as narrow maps, so no document is shuffled
-whatever the size of either side.  Up to that size it is one automaton and one pass.
+that overlap by a window less one word), each a compressed broadcast.  Up to that
+size it is one automaton and one pass.  Beyond it, one map still does all blocks: a
+task keeps its documents in a file of its own while it runs, and goes over them
+once for each block, so that one automaton is held at a time and texts come to
+Python once.  No document is shuffled whatever the size of either side.
 
 Defined results: null or wordless documents have no words and no hits; null or
 wordless items have no windows; equal ids in ``items`` count once (null id:
@@ -22,8 +24,11 @@ wordless items have no windows; equal ids in ``items`` count once (null id:
 
 from __future__ import annotations
 
+import pickle
 import re
+import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,7 +153,7 @@ def _windows(key: str, held, window: int) -> Windows:
     """The worker's automaton for a broadcast block, built once; one is held at a time."""
     if key not in _built:
         _built.clear()
-        _built[key] = Windows(*held.value, window)
+        _built[key] = Windows(*pickle.loads(zlib.decompress(held.value)), window)
     return _built[key]
 
 
@@ -168,13 +173,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     parts = table(item_parts(benchmark, item_text_col, item_id_col, window), "items")
     size = parts.agg(F.sum(F.length("words"))).first()[0]
     blocks = max(1, -(-int(size or 0) // block_chars))
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    schema = out.schema
+    held = []
     for b in range(blocks):
         block = parts if blocks == 1 else parts.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b)
         rows = block.toArrow()  # block_chars at most, but for chance
-        held = spark.sparkContext.broadcast((rows.column("item").to_pylist(), rows.column("words").to_pylist()))
-        out = out.mapInArrow(_scanner(held, window), schema)
+        held.append(spark.sparkContext.broadcast(zlib.compress(pickle.dumps((rows.column("item").to_pylist(), rows.column("words").to_pylist())))))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kept = f"id {src.schema['id'].dataType.simpleString()}, {'text string, ' if offsets else ''}"
+    out = src.mapInArrow(_scanner(held, window, offsets), f"{kept}n_words long, hits array<int>, items array<string>")
     out = out.withColumn("n_hit", F.aggregate(F.sequence(F.lit(0), (F.size("hits") / 2).cast("int")), F.lit(0).cast("long"), lambda n, i: n + F.coalesce(F.get("hits", 2 * i + 1) - F.get("hits", 2 * i), F.lit(0))))
     cols = [F.col("id").alias(id_col), "n_words", "n_hit", "hits", "items"]
     if offsets:
@@ -182,25 +188,51 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     return out.select(*cols)
 
 
-def _scanner(held, window: int):
-    key = uuid.uuid4().hex
+def _scanner(held: list, window: int, offsets: bool):
+    keys = [uuid.uuid4().hex for _ in held]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = _windows(key, held, window)
+    def told(batch: pa.RecordBatch, n: list[int], hits: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
+        cols = [batch.column(0), *([batch.column(1)] if offsets else []), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(cols, names=["id", *(["text"] if offsets else []), "n_words", "hits", "items"])
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _windows(keys[0], held[0], window)
         for batch in batches:
-            cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            had_hits, had_items = cols["hits"].to_pylist(), cols["items"].to_pylist()
-            n, hits, items = [], [], []
-            for k, text in enumerate(cols["text"]):
-                a, b, c = windows.scan(text.as_py())
-                if had_hits[k]:
-                    b = merged(list(zip(had_hits[k][::2], had_hits[k][1::2], strict=True)) + list(zip(b[::2], b[1::2], strict=True)))
-                n.append(a)
-                hits.append(b)
-                items.append(sorted(c.union(had_items[k] or ())))
-            yield pa.RecordBatch.from_arrays([cols["id"], cols["text"], pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], schema=pa.schema([("id", cols["id"].type), ("text", cols["text"].type), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]))
-
-    return scan
+            found = [windows.scan(text.as_py()) for text in batch.column(1)]
+            yield told(batch, *([x[0] for x in found], [x[1] for x in found], [sorted(x[2]) for x in found]))
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        n: list[int] = []
+        found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}  # of rows with hits
+        with tempfile.TemporaryFile() as f:
+            with pa.ipc.new_file(f, first.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(first)
+                for batch in batches:
+                    out.write_batch(batch)
+            source = pa.ipc.open_file(pa.PythonFile(f, "r"))
+            for k, block in enumerate(held):
+                windows, row = _windows(keys[k], block, window), 0
+                for b in range(source.num_record_batches):
+                    for text in source.get_batch(b).column(1):
+                        size, flat, items = windows.scan(text.as_py())
+                        if k == 0:
+                            n.append(size)
+                        if flat:
+                            spans, own = found.setdefault(row, ([], set()))
+                            spans += zip(flat[::2], flat[1::2], strict=True)
+                            own |= items
+                        row += 1
+            row = 0
+            for b in range(source.num_record_batches):
+                batch = source.get_batch(b)
+                rows = range(row, row + batch.num_rows)
+                row += batch.num_rows
+                yield told(batch, n[rows.start : rows.stop], [merged(found[i][0]) if i in found else [] for i in rows], [sorted(found[i][1]) if i in found else [] for i in rows])
+
+    return one if len(held) == 1 else several
 
 
 def original_offsets(texts: Column | str, hits: Column | str) -> Column:
