@@ -412,3 +412,42 @@ def test_pii_query(spark, sf):
         assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[1] == k for x in want) for k in pii.KINDS]
         assert set(filter(None, told.split(","))) <= set(r["spans"].split(","))
+
+
+def test_pii_has_no_caps(spark):
+    """Values of 900 and 10,000 characters are covered to their end, and a token may have its first digit late."""
+    r = random.Random(12)
+    token = lambda n: "".join(r.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ", k=n - 12)) + "7" + "".join(r.choices("23456789XYZqrs", k=11))
+    texts = [f"the password: {token(n)} is set" for n in (20, 900, 10_000)] + [f"use {token(n)} here" for n in (60, 800, 10_000)]
+    for t in texts:
+        (want,) = re.findall(r"\S{20,}", t)
+        spans = [(c["s"], c["e"]) for c in pii.candidates(t) if c["k"] == "secret"]
+        assert (t.index(want), t.index(want) + len(want)) in spans, t[:60]
+    local, host = "x" * 90, "y" * 80
+    mail = f"write to {local} [at] {host} [dot] example [dot] co [dot] a-b [dot] c-d [dot] org now"
+    assert mail[9:-4] in [mail[c["s"] : c["e"]] for c in pii.candidates(mail) if c["k"] == "email"]
+    rows = [(k, f"note {k}: my password is {token(24)} and token = {token(40)}") for k in range(300)] + [(900, texts[1]), (901, texts[2])]
+    found = {x["doc_id"]: [(s["start"], s["end"]) for s in x["spans"]] for x in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (14, 914) in found[900] and (14, 10_014) in found[901]
+
+
+def test_pii_overlaps_are_settled_after_scoring():
+    span = lambda a, b, base=False: {"start": a, "rank": 1, "kind": "x", "end": b, "base": base}
+    spans = [span(0, 5, True), span(10, 30), span(20, 25), span(24, 40), span(30, 32)]
+    assert pii.accepted(spans, [0, 0.2, 0.95, 0.93, 0.91], 0.9) == [True, False, True, False, True]
+    assert pii.accepted(spans, [0, 0.99, 0.95, 0.93, 0.91], 0.9) == [True, True, False, False, True]
+    assert pii.accepted(spans, [0, 0.9, 0.9, 0.5, 0.9], 0.9) == [True, True, False, False, True]
+
+
+def test_contamination_blocks_share_one_map(spark):
+    """Many blocks: one Python map, texts cross once, and the same result as with one block."""
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(r.choices(words, k=30))) for k in range(80)]
+    docs = [(k, " ".join(r.choices(words, k=20) + items[k % 80][1].split()[3:25] + r.choices(words, k=9))) for k in range(300)] + [(999, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (contamination.find_contamination(df, bench, block_chars=n, offsets=False) for n in (4_000_000, 500))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    told = lambda x: sorted((a["doc_id"], a["n_words"], a["n_hit"], tuple(a["hits"]), tuple(a["items"])) for a in x.collect())
+    assert told(one) == told(many) and sum(x[2] > 0 for x in told(one)) == 300

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from veilframe.llm import near_dup
 from veilframe.llm.near_dup import components, near_duplicates, op8_near_duplicates
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -141,3 +142,35 @@ def test_stage_keeps_one_row_of_a_group(spark):
     from veilframe.llm.near_dup import stage
 
     assert sorted(map(str, map(tuple, stage(spark, docs, "").collect()))) == sorted(map(str, [rows[0], *rows[3:]]))
+
+
+def test_template_pages_are_not_all_compared(spark, monkeypatch):
+    """1,500 pages of one template a little below the threshold, some of them similar enough: all links, few copies of each set."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrst", k=8))
+    menu = [word() for _ in range(172)]
+    docs = [(k, " ".join(menu + [word() for _ in range(23)])) for k in range(1500)]
+    for k in range(0, 60, 2):  # 30 pairs that differ by their last words only
+        w = docs[k][1].split()
+        docs[k + 1] = (k + 1, " ".join(w[:-3] + [word() for _ in range(3)]))
+    told = {}
+    of = near_dup._block_links
+    monkeypatch.setattr(near_dup, "_block_links", lambda rows, percent: told.update(rows=rows.count(), sets=rows.select("id").distinct().count()) or of(rows, percent))
+    monkeypatch.setattr(near_dup, "BLOCK", 64)
+    # Few and short bands: all pages of the template share buckets.
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(df, shingle=3, percent=85, perms=4, rows=1).collect()}
+    sets = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, w in ((k, t.split()) for k, t in docs)}
+    assert 0.75 < len(sets[100] & sets[101]) / len(sets[100] | sets[101]) < 0.85
+    assert got == {k: k - 1 if k < 60 and k % 2 else k for k, _ in docs}
+    assert told["rows"] < 3 * len(docs), told
+
+
+def test_size_classes():
+    """Each pair that is similar enough has a class pair in common, and a rare shingle in both prefixes."""
+    for percent in (80, 85):
+        for n in (1, 2, 5, 19, 64, 333, 1000):
+            for m in range(-(-percent * n // 100), 100 * n // percent + 1):
+                of_n, of_m = dict(near_dup.size_classes(n, percent)), dict(near_dup.size_classes(m, percent))
+                both = -(-percent * (n + m) // (100 + percent))
+                assert of_n[near_dup.size_class(m)] >= n - both + 1 and of_m[near_dup.size_class(n)] >= m - both + 1

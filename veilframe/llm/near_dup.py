@@ -16,9 +16,11 @@ with probability 1.2e-5 (at 0.8: 7e-4), while a pair at 0.5 meets in one in thre
    link per pair of components.  A bucket with more than BLOCK nodes outside its
    largest component is split first: two sets that are similar enough share one of
    the rarest n - ceil(t n) + 1 shingles of either, so only nodes that share such a
-   shingle are compared.  Shingles that a template gives to many unlike texts are
-   not rare, and bring no pairs together.  Nothing is capped, and the order of
-   shingles (a count of fixed size) changes only the cost.
+   shingle are compared.  What stays that large is split by size too: sets of n and m
+   shingles share one of the rarest n - ceil(t (n + m) / (1 + t)) + 1 of either, about
+   half as many if they are equally large, so a shingle of a template that many unlike
+   texts share brings no pairs together.  Nothing is capped, and the order of shingles
+   (a count of fixed size) changes only the cost.
 4. Components over both kinds of links, by alternating stars whose hubs are
    dealt over salts; each round is written to the shared folder.
 
@@ -33,6 +35,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -286,56 +289,124 @@ def _cell_counts(sets: DataFrame) -> bytes:
 
 
 def _open(told: DataFrame) -> DataFrame:
-    """Groups of (key, node, label) that hold several components: key, main (the largest), n_main, size, members (a digest)."""
-    kinds = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("members"))
-    groups = kinds.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("size"), F.sum("members").alias("members"))
-    return table(groups.filter("size > n_main"), "open-groups")
+    """Groups of rows (key, node, label, part) that hold several parts and components: key, main (the largest part), n_main, size, members (a digest).
 
+    Only nodes of different parts are compared: parts are components, or the two classes of sizes of a group.
+    """
+    labels = [F.min("label").alias("low"), F.max("label").alias("high")]
+    kinds = told.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("members"), *labels)
+    groups = kinds.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("size"), F.sum("members").alias("members"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return table(groups.filter("size > n_main AND low < high").drop("low", "high"), "open-groups")
+
+
+def size_classes(n: int, percent: int) -> list[tuple[int, int]]:
+    """(class, prefix) of each class of sizes that a set of n shingles can be similar enough to.
+
+    A class is a range of sizes that differ by a fiftieth at most; with any set of it that is
+    similar enough, the set shares one of its ``prefix`` rarest shingles, as the other does of its own.
+    """
+    out = []
+    least, most = -(-percent * n // 100), 100 * n // percent
+    c = size_class(least)
+    while (low := first_size(c)) <= most:
+        low = max(low, least)
+        # Sets of n and m shingles need a common part of percent * (n + m) / (100 + percent) at least.
+        both = -(-percent * (n + low) // (100 + percent))
+        out.append((c, max(1, n - both + 1)))
+        c += 1
+    return out
+
+
+def size_class(n: int) -> int:
+    c = int(math.log(max(n, 1)) / math.log(1.02))
+    while first_size(c + 1) <= n:
+        c += 1
+    while first_size(c) > n:
+        c -= 1
+    return c
+
+
+def first_size(c: int) -> int:
+    return math.ceil(1.02**c - 1e-9)
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, node, label): each set with its rarest shingles, one of which it shares with any set that is similar enough."""
+
+def _prefixes(sets: DataFrame, percent: int, by_size: bool) -> DataFrame:
+    """(key, node, label, part, cross): each set with its rarest shingles, one of which it shares with any set that is similar enough.
+
+    ``by_size``: with those rarest shingles that it shares with sets of each class of sizes; the
+    closer two sizes are, the fewer.  So shingles of a template that many sets share by a little
+    less than is needed bring them together no more.  A group of two classes is ``cross``: its
+    parts are the two classes, and no two sets of one class are compared.
+    """
     cells = sets.sparkSession.sparkContext.broadcast(_cell_counts(sets))
 
+    def keys_of(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, and for each the part: 0 below, 1 above, 2 neither (parts are components)."""
+        n = len(own)
+        if not by_size:
+            keys = own[: n + percent * -n // 100 + 1]
+            return keys, np.full(len(keys), 2)
+        c, keys, parts = size_class(n), [], []
+        for d, k in size_classes(n, percent):
+            salt = np.uint64((min(c, d) * 100_003 + max(c, d)) * 0x9E3779B97F4A7C15 % (1 << 64))
+            keys.append(mixed(own[:k] + salt))
+            parts.append(np.full(min(k, n), 2 if c == d else int(c > d)))
+        return np.concatenate(keys), np.concatenate(parts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.frombuffer(cells.value, np.uint8)
         for big in batches:
             for lo in range(0, big.num_rows, 256):
                 batch = big.slice(lo, 256)
-                keys = []
+                keys, parts = [], []
                 for s in batch.column(2):
                     own = s.values.to_numpy(zero_copy_only=False).view(np.uint64)
                     order = np.lexsort((own, count[(own >> np.uint64(64 - CELLS)).astype(np.int64)]))
-                    keys.append(own[order[: len(own) + percent * -len(own) // 100 + 1]])
+                    k, part = keys_of(own[order])
+                    keys.append(k)
+                    parts.append(part)
                 each = np.repeat(np.arange(batch.num_rows), [len(k) for k in keys])
-                own = [batch.column(i).to_numpy(zero_copy_only=False)[each] for i in range(2)]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), *map(pa.array, own)], names=["key", "node", "label"])
+                node, label = (batch.column(i).to_numpy(zero_copy_only=False)[each] for i in range(2))
+                part = np.concatenate(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(node), pa.array(label), pa.array(np.where(part == 2, label, part)), pa.array(part != 2)], names=["key", "node", "label", "part", "cross"])
 
-    return sets.select("id", "label", "s").mapInArrow(run, "key long, node long, label long")
+    return sets.select("id", "label", "s").mapInArrow(run, "key long, node long, label long, part long, cross boolean")
+
+
+def _split(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (key, node, label, part, cross, and the group's counts) of open groups: large groups are split by shared rare shingles, and what stays large by size as well."""
+    large = F.col("size") - F.col("n_main") > BLOCK
+    out = members.filter(~large)
+    for by_size in (False, True):
+        hot = table(members.filter(large).select(F.col("node").alias("id")).distinct(), "hot")
+        if hot.isEmpty():
+            return out
+        own = table(sets.join(hot.hint("merge"), "id", "left_semi"), "hot-sets")
+        rare = table(_prefixes(own, percent, by_size), "prefixes")
+        members = table(meet(rare, _open(rare), "key", "node"), "split")
+        drop(hot, own, rare)
+        out = out.unionByName(members if by_size else members.filter(~large))
+    return out
 
 
 def _cross_links(told: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links between nodes of different components that share a bucket, beyond those with the bucket's smallest id.
 
-    The largest component of a group is its main one.  Its members are dealt into
-    blocks, the others ("outsiders") into blocks of their own; each main block meets
-    each outsider block, and outsider blocks meet each other.  Members of the main
-    component are never compared among themselves.
+    The largest part of a group (a component, or a class of sizes) is its main one.  Its
+    members are dealt into blocks, the others ("outsiders") into blocks of their own; each
+    main block meets each outsider block, and outsider blocks of components meet each
+    other.  Members of the main part are never compared among themselves.
     """
+    told = told.withColumns({"part": F.col("label"), "cross": F.lit(False)})
     open_ = _open(told)
     members = meet(told, open_, "key", "node")
     sets = table(_sets(members.select(F.col("node").alias("id"), "label").distinct().join(texts.dropDuplicates(["id"]), "id"), shingle), "open-sets")
-    large = F.col("size") - F.col("n_main") > BLOCK
-    if open_.filter(large).isEmpty():
-        members = table(members, "members")
-    else:
-        hot = members.filter(large).select(F.col("node").alias("id")).distinct()
-        rare = table(_prefixes(table(sets.join(hot, "id", "left_semi"), "hot-sets"), percent), "prefixes")
-        members = table(members.filter(~large).unionByName(meet(rare, _open(rare), "key", "node")), "members")
+    members = table(_split(members, sets, percent), "members")
     # Groups with the same members are one group.
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-    one = members.groupBy("members", "size", "main", "n_main").agg(F.min("key").alias("key"))
+    one = members.groupBy("members", "size", "main", "n_main", "cross").agg(F.min("key").alias("key"))
     one = table(one.select("key", "main", blocks(F.col("n_main")).alias("mains"), blocks(F.col("size") - F.col("n_main")).alias("others")), "groups")
-    rows = meet(members.select("key", "node", "label"), one, "key", "node").withColumn("inner", F.col("label") == F.col("main"))
+    rows = meet(members.select("key", "node", "part", "cross"), one, "key", "node").withColumn("inner", F.col("part") == F.col("main"))
     own = F.pmod(F.xxhash64(F.lit(5), "node"), F.when(F.col("inner"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     rows = rows.withColumn("own", own)
     task = lambda kind, a, b: F.concat_ws(":", F.lit(kind), "key", a, b)
@@ -344,7 +415,7 @@ def _cross_links(told: DataFrame, texts: DataFrame, shingle: int, percent: int)
     as_main = F.transform(upto("others"), lambda j: to(task("m", F.col("own"), j), F.lit(True)))
     as_other = F.transform(upto("mains"), lambda i: to(task("m", i, F.col("own")), F.lit(False)))
     among = F.transform(upto("others"), lambda j: to(task("o", F.least(F.col("own"), j), F.greatest(F.col("own"), j)), F.col("own") > j))
-    rows = rows.select("node", F.explode(F.when(F.col("inner"), as_main).otherwise(F.concat(as_other, among))).alias("t"))
+    rows = rows.select("node", F.explode(F.when(F.col("inner"), as_main).when(F.col("cross"), as_other).otherwise(F.concat(as_other, among))).alias("t"))
     rows = rows.select("t.task", "t.side", F.col("node").alias("id"))
     rows = rows.join(sets, "id").repartition("task").sortWithinPartitions("task")
     out = table(_block_links(rows, percent), "cross-links")
@@ -358,8 +429,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group, unchanged: that of the smallest id; rows with a repeated id or none count as themselves."""
-    rows = table(docs.withColumn("row_", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(rows, id_col="row_").select("row_", "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_")
-    first = rows.select("row_", "doc_id").join(found, "row_").groupBy("component_id").agg(F.min(order)["row_"].alias("row_"))
-    return rows.join(first, "row_", "left_semi").select(docs.columns)
+    row = "row"
+    while row in docs.columns or row == "component_id":
+        row += "_"
+    rows = table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows, id_col=row).select(row, "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    first = rows.select(row, "doc_id").join(found, row).groupBy("component_id").agg(F.min(order)[row].alias(row))
+    return rows.join(first, row, "left_semi").select(docs.columns)
