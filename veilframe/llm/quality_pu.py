@@ -6,7 +6,9 @@ risk is  pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)])  with logistic
 loss; where the second part goes below zero its gradient is reversed.  The class
 prior pi is estimated from positives and unlabelled text alone: a discriminator
 between the two is cut at the score whose upper tail gives the lowest ratio of
-unlabelled to positive mass (with a deviation bound).
+unlabelled to positive mass (with a deviation bound).  One split into halves gives
+0.78 to 0.82 where 0.80 is right, and a prior that is too high costs more than one
+that is too low; so the estimate is the mean over SPLITS splits, less their deviation.
 
 ``max_rows`` bounds the sample of positives and of unlabelled rows that the fit
 sees (different rows, by a hash of id and text); the driver holds only those
@@ -99,11 +101,21 @@ def _adam(grad, size: int, steps: int, rate: float = 0.05) -> np.ndarray:
     return w
 
 
+#: Splits into halves over which the class prior is averaged.
+SPLITS = 4
+
+
 def estimate_prior(p: np.ndarray, u: np.ndarray, steps: int = 150) -> float:
-    """Share of positives among the unlabelled, from a discriminator's upper tails."""
-    ptrain, phold, utrain, uhold = p[::2], p[1::2], u[::2], u[1::2]
-    if not len(phold) or not len(uhold):
+    """Share of positives among the unlabelled: mean less deviation of the estimates of several splits."""
+    if len(p) < 2 or len(u) < 2:
         return 0.5
+    each = [_split_prior(p[_order(p, k)], u[_order(u, k)], steps) for k in range(SPLITS)]
+    return float(np.clip(np.mean(each) - np.std(each), 0.02, 0.98))
+
+
+def _split_prior(p: np.ndarray, u: np.ndarray, steps: int) -> float:
+    """The share from the upper tails of a discriminator that is fitted on one half of each."""
+    ptrain, phold, utrain, uhold = p[::2], p[1::2], u[::2], u[1::2]
 
     def grad(w):
         w = w.astype(np.float32)
@@ -119,16 +131,16 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, steps: int = 150) -> float:
     return float(np.clip(qu[best] / max(qp[best], 1e-9), 0.02, 0.98))
 
 
-def _ordered(x: np.ndarray) -> np.ndarray:
-    """Rows in an order of their own, so that halves of them don't depend on how they came."""
-    return x[np.argsort([zlib.crc32(np.asarray(r, np.float32).tobytes()) for r in x], kind="stable")]
+def _order(x: np.ndarray, seed: int = 0) -> np.ndarray:
+    """An order of the rows by their values, so that halves of them don't depend on how they came."""
+    return np.argsort([zlib.crc32(np.asarray(r, np.float32).tobytes(), seed) for r in x], kind="stable")
 
 
 def fit_arrays(p: np.ndarray, u: np.ndarray, prior: float | None = None, steps: int = 400, l2: float = 1e-3) -> dict:
     """The model (plain values) from feature rows of positives and unlabelled."""
     if not len(p) or not len(u):
         return {"w": np.zeros(N_FEATURES), "b": 0.0, "prior": 0.5}
-    p, u = _ordered(p), _ordered(u)
+    p, u = p[_order(p)], u[_order(u)]
     both = np.concatenate([p, u]).astype(np.float32, copy=False)
     mean, std = both.mean(0, dtype=np.float64), both.std(0, dtype=np.float64)
     del both
