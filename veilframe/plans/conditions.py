@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What a field may begin with, operators, and limits.
@@ -120,7 +120,14 @@ def leaves(tree: Leaf | Node) -> list[Leaf]:
 
 def lookup(facts: Column, path: str) -> Column:
     """The fact at a dotted path, as VARIANT; null where missing, null, or behind an array."""
-    v = F.try_variant_get(facts, "$" + "".join(f"['{k}']" for k in path.split(".")), "variant")
+    return _there(_value(facts, path))
+
+
+def _value(facts: Column, path: str) -> Column:
+    return F.try_variant_get(facts, "$" + "".join(f"['{k}']" for k in path.split(".")), "variant")
+
+
+def _there(v: Column) -> Column:
     return F.when(~F.is_variant_null(v), v)
 
 
@@ -134,48 +141,68 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _text(v: Column) -> Column:
-    """The value if it is a string."""
-    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+class Fact:
+    """A VARIANT value and what it is as each type (null where it is another), as Columns."""
+
+    #: What a value is read as, from itself and its kind.
+    READINGS = {
+        "text": lambda v, k: F.when(k == "STRING", F.try_variant_get(v, "$", "string")),
+        "number": lambda v, k: F.when(k.rlike(NUMBER), F.try_variant_get(v, "$", "double")),
+        "truth": lambda v, k: F.when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean")),
+        "items": lambda v, k: F.when(k.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")),
+    }
+
+    def __init__(self, v: Column, kind: Column | None = None, named: dict[str, Column] | None = None):
+        self.v, self._kind, self._named = v, kind, named or {}
 
+    @property
+    def kind(self) -> Column:
+        return _kind(self.v) if self._kind is None else self._kind
 
-def _number(v: Column) -> Column:
-    return F.when(_kind(v).rlike(NUMBER), F.try_variant_get(v, "$", "double"))
+    def __getattr__(self, reading: str) -> Column:
+        if reading not in self.READINGS:
+            raise AttributeError(reading)
+        return self._named[reading] if reading in self._named else self.READINGS[reading](self.v, self.kind)
+
+
+def _text(v: Column) -> Column:
+    """The value if it is a string."""
+    return Fact(v).text
 
 
 def _items(v: Column) -> Column:
-    return F.when(_kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    return Fact(v).items
 
 
 def _is_number(x: Any) -> bool:
     return isinstance(x, int | float) and not isinstance(x, bool)
 
 
-def equal(v: Column, literal: Any) -> Column:
+def equal(f: Fact, literal: Any) -> Column:
     """Equality with a JSON literal: ASCII case folded for strings, numbers as doubles, else by structure."""
     if isinstance(literal, str):
-        return F.coalesce(_fold(_text(v)) == _fold(literal), F.lit(False))
+        return F.coalesce(_fold(f.text) == _fold(literal), F.lit(False))
     if isinstance(literal, bool):
-        return F.coalesce(F.when(_kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean")) == literal, F.lit(False))
+        return F.coalesce(f.truth == literal, F.lit(False))
     if _is_number(literal):
-        return F.coalesce(_number(v) == float(literal), F.lit(False))
+        return F.coalesce(f.number == float(literal), F.lit(False))
     if literal is None:
-        return F.coalesce(F.is_variant_null(v), F.lit(False))
+        return F.coalesce(F.is_variant_null(f.v), F.lit(False))
     # Objects are stored by key, so their text doesn't depend on key order.
     told = json.dumps(literal, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    return F.coalesce(F.to_json(v) == F.to_json(F.parse_json(F.lit(told))), F.lit(False))
+    return F.coalesce(F.to_json(f.v) == F.to_json(F.parse_json(F.lit(told))), F.lit(False))
 
 
-def any_equal(v: Column, literals: list) -> Column:
+def any_equal(f: Fact, literals: list) -> Column:
     """Is the value, or any element of an array, equal to one of the literals?"""
     texts = sorted({_fold(x) for x in literals if isinstance(x, str)})
     others = [x for x in literals if not isinstance(x, str)]
 
-    def one(x: Column) -> Column:
-        tests = [F.coalesce(_fold(_text(x)).isin(texts), F.lit(False))] if texts else []
+    def one(x: Fact) -> Column:
+        tests = [F.coalesce(_fold(x.text).isin(texts), F.lit(False))] if texts else []
         return reduce(lambda a, b: a | b, tests + [equal(x, y) for y in others], F.lit(False))
 
-    return F.when(_kind(v).startswith("ARRAY"), F.coalesce(F.exists(_items(v), one), F.lit(False))).otherwise(one(v))
+    return F.when(f.kind.startswith("ARRAY"), F.coalesce(F.exists(f.items, lambda x: one(Fact(x))), F.lit(False))).otherwise(one(f))
 
 
 def sit_count(facts: Column, name: str, confidence: int) -> Column:
@@ -188,53 +215,62 @@ def sit_count(facts: Column, name: str, confidence: int) -> Column:
 
 
 class Compiler:
-    """Columns for the leaves of one bundle's conditions."""
+    """Columns for the leaves of one bundle's conditions.
 
-    def __init__(self, facts: Column, labels: list[str]):
-        self.facts, self.labels = facts, [x.lower() for x in labels]
+    ``known`` names Columns that already hold a path's Fact, or a leaf's outcome (see Graph);
+    without it each leaf reads its own.
+    """
 
-    def rank(self, v: Column) -> Column:
+    def __init__(self, facts: Column, labels: list[str], known: Graph | None = None):
+        self.facts, self.labels, self.known = facts, [x.lower() for x in labels], known
+
+    def fact(self, path: str) -> Fact:
+        return self.known.fact(path) if self.known else Fact(lookup(self.facts, path))
+
+    def rank(self, f: Fact) -> Column:
         """Place of a classification label, null if it has none."""
-        at = F.array_position(F.array(*map(F.lit, self.labels)), F.lower(_text(v)))
+        at = F.array_position(F.array(*map(F.lit, self.labels)), F.lower(f.text))
         return F.when(at > 0, at - 1)
 
     def ordering(self, leaf: Leaf) -> tuple[Column, Column]:
         """(sign of fact against literal, or null; diagnostic where there is none)."""
-        v, want = lookup(self.facts, leaf.field), leaf.value
+        f, want = self.fact(leaf.field), leaf.value
         sign = F.lit(None).cast("int")
         if leaf.field.split(".")[-1] == "classification":
             place = self.labels.index(want.lower()) if isinstance(want, str) and want.lower() in self.labels else None
-            sign = F.lit(None).cast("int") if place is None else F.signum(self.rank(v) - place).cast("int")
+            sign = F.lit(None).cast("int") if place is None else F.signum(self.rank(f) - place).cast("int")
             why = f"{leaf.field}: a label is not one of the bundle's"
         else:
             why = f"{leaf.field}: the fact and the value have no order"
         if _is_number(want):
-            sign = F.when(_number(v).isNotNull(), F.signum(_number(v) - float(want)).cast("int")).otherwise(sign)
-        return sign, F.when(v.isNotNull() & sign.isNull(), F.lit(why))
+            sign = F.when(f.number.isNotNull(), F.signum(f.number - float(want)).cast("int")).otherwise(sign)
+        return sign, F.when(f.v.isNotNull() & sign.isNull(), F.lit(why))
 
     def leaf(self, x: Leaf) -> Column:
+        if self.known and (told := self.known.outcome(x)) is not None:
+            return told
         if x.field.startswith("sit."):
             return sit_count(self.facts, x.field, x.confidence) >= F.lit(x.value if x.op == "count_gte" else 1)
-        v, want = lookup(self.facts, x.field), x.value
+        f, want = self.fact(x.field), x.value
         if x.op == "exists":
-            return v.isNotNull()
+            return f.v.isNotNull()
         if x.op in ("eq", "ne"):
-            told = equal(v, want)
+            told = equal(f, want)
         elif x.op in ("in", "not_in"):
-            told = any_equal(v, want)
+            told = any_equal(f, want)
         elif x.op in ("gt", "gte", "lt", "lte"):
             sign, _ = self.ordering(x)
             told = {"gt": sign > 0, "gte": sign >= 0, "lt": sign < 0, "lte": sign <= 0}[x.op]
         elif x.op == "contains":
-            told = F.contains(F.lower(_text(v)), F.lit(want.lower())) if isinstance(want, str) else F.lit(False)
-            told = F.when(_kind(v).startswith("ARRAY"), F.exists(_items(v), lambda y: equal(y, want))).otherwise(told)
+            told = F.contains(F.lower(f.text), F.lit(want.lower())) if isinstance(want, str) else F.lit(False)
+            told = F.when(f.kind.startswith("ARRAY"), F.exists(f.items, lambda y: equal(Fact(y), want))).otherwise(told)
         elif isinstance(want, str):
             test = F.startswith if x.op == "starts_with" else F.endswith
-            told = test(F.lower(_text(v)), F.lit(want.lower()))
+            told = test(F.lower(f.text), F.lit(want.lower()))
         else:
             told = F.lit(False)
         told = F.coalesce(told, F.lit(False))
-        return v.isNotNull() & (~told if x.op in ("ne", "not_in") else told)
+        return f.v.isNotNull() & (~told if x.op in ("ne", "not_in") else told)
 
     def tree(self, t: Leaf | Node) -> Column:
         if isinstance(t, Leaf):
@@ -255,3 +291,45 @@ class Compiler:
             actual = sit_count(self.facts, x.field, x.confidence).cast("string") if sit else F.to_json(lookup(self.facts, x.field))
             rows.append(F.struct(F.lit(x.path).alias("path"), F.lit(x.field).alias("field"), F.lit(x.op).alias("op"), F.lit(json.dumps(x.value)).alias("expected"), F.lit(x.list_name).cast("string").alias("list"), F.coalesce(actual, F.lit("null")).alias("actual"), self.leaf(x).alias("result")))
         return F.array(*rows)
+
+
+class Graph:
+    """The conditions of a bundle as one graph: each path is read once, each different leaf is decided once.
+
+    read() adds projections to a DataFrame: the paths' values, their kinds, their typed readings,
+    then the leaves' outcomes.  Each is used several times by the next one, so Catalyst keeps them
+    apart, and what nothing uses goes.
+    """
+
+    def __init__(self, trees: list[Leaf | Node], labels: list[str], prefix: str, paths: tuple[str, ...] = ()):
+        self.labels, self.prefix = labels, prefix
+        self.leaves: dict[str, tuple[int, Leaf]] = {}
+        for x in (x for t in trees for x in leaves(t)):
+            self.leaves.setdefault(self._key(x), (len(self.leaves), x))
+        fields = dict.fromkeys([*paths, *(x.field for _, x in self.leaves.values() if not x.field.startswith("sit."))])
+        self.paths = {path: i for i, path in enumerate(fields)}
+        self.decided = False
+
+    @staticmethod
+    def _key(x: Leaf) -> str:
+        return json.dumps([x.field, x.op, x.value, x.confidence], sort_keys=True)
+
+    def fact(self, path: str) -> Fact:
+        if (i := self.paths.get(path)) is None:  # of a policy that can't apply now
+            return Fact(lookup(self.facts, path))
+        return Fact(F.col(f"{self.prefix}v{i}"), F.col(f"{self.prefix}k{i}"), {r: F.col(f"{self.prefix}{r}{i}") for r in Fact.READINGS})
+
+    def outcome(self, x: Leaf) -> Column | None:
+        at = self.leaves.get(self._key(x)) if self.decided else None
+        return None if at is None else F.col(f"{self.prefix}l{at[0]}")
+
+    def read(self, df: DataFrame, facts: Column) -> DataFrame:
+        p, self.facts = self.prefix, facts
+        df = df.select("*", *[_value(facts, path).alias(f"{p}raw{i}") for path, i in self.paths.items()])
+        df = df.select("*", *[_there(F.col(f"{p}raw{i}")).alias(f"{p}v{i}") for i in self.paths.values()])
+        df = df.select("*", *[_kind(F.col(f"{p}v{i}")).alias(f"{p}k{i}") for i in self.paths.values()])
+        df = df.select("*", *[of(F.col(f"{p}v{i}"), F.col(f"{p}k{i}")).alias(f"{p}{name}{i}") for i in self.paths.values() for name, of in Fact.READINGS.items()])
+        c = Compiler(facts, self.labels, self)
+        df = df.select("*", *[c.leaf(x).alias(f"{p}l{i}") for i, x in self.leaves.values()])
+        self.decided = True
+        return df

@@ -59,9 +59,9 @@ MADE = {
     "github_token": ("so", lambda k: F.concat(F.element_at(F.array(*map(F.lit, packs.HOST_TOKEN_PREFIXES)), (k % 5 + 1).cast("int")), F.left(_hexed(k), F.when(k % 7 == 0, 35).when(k % 7 == 1, 37).otherwise(36))), "list_extract([" + ", ".join(f"'{x}'" for x in packs.HOST_TOKEN_PREFIXES) + f"], (k % 5 + 1)::INT) || left({_H}, CASE k % 7 WHEN 0 THEN 35 WHEN 1 THEN 37 ELSE 36 END)", "k % 7 > 1", "'high'", _SECRET),
     "db_connection_string": ("so", lambda k: F.concat(F.element_at(F.array(*map(F.lit, packs.SCHEMES)), (k % len(packs.SCHEMES) + 1).cast("int")), F.lit("://joe"), F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(":"), F.left(_hexed(k), F.lit(9)))), F.lit("@db.example")), f"{_SCHEME} || '://joe' || CASE WHEN k % 4 = 0 THEN '' ELSE ':' || left({_H}, 9) END || '@db.example'", "k % 4 <> 0", "'high'", _SECRET),
     "email_address": ("contact", lambda k: F.concat(F.lit("c.roe+"), k.cast("string"), F.when(k % 6 <= 1, F.lit("@")).otherwise(F.lit("@mail-1.")), F.lit("example"), F.when(k % 6 == 1, F.lit(".x")).otherwise(F.lit(".org"))), "'c.roe+' || k || CASE WHEN k % 6 <= 1 THEN '@' ELSE '@mail-1.' END || 'example' || CASE WHEN k % 6 = 1 THEN '.x' ELSE '.org' END", "k % 6 <> 1", "CASE WHEN k % 2 = 0 THEN 'medium' ELSE 'low' END", _PARTIAL),
-    "uae_emirates_id": ("identity", lambda k: F.concat(F.lit("784-"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("-"), F.lpad((k * 7919 % 10000000).cast("string"), 7, "0"), F.lit("-"), (k % 10).cast("string")), "'784-' || lpad((k % 10000)::VARCHAR, 4, '0') || '-' || lpad((k * 7919 % 10000000)::VARCHAR, 7, '0') || '-' || (k % 10)", _luhn_sql("replace(x, '-', '')"), _KEYED.format("medium"), _PARTIAL),
+    "uae_emirates_id": ("id number", lambda k: F.concat(F.lit("784-"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("-"), F.lpad((k * 7919 % 10000000).cast("string"), 7, "0"), F.lit("-"), (k % 10).cast("string")), "'784-' || lpad((k % 10000)::VARCHAR, 4, '0') || '-' || lpad((k * 7919 % 10000000)::VARCHAR, 7, '0') || '-' || (k % 10)", _luhn_sql("replace(x, '-', '')"), _KEYED.format("medium"), _PARTIAL),
     "india_aadhaar": ("aadhaar", lambda k: F.concat_ws(" ", F.lpad((k * 13 % 9000 + 1000).cast("string"), 4, "0"), F.lpad((k * 7 % 10000).cast("string"), 4, "0"), F.lpad((k * 31 % 10000).cast("string"), 4, "0")), "(k * 13 % 9000 + 1000) || ' ' || lpad((k * 7 % 10000)::VARCHAR, 4, '0') || ' ' || lpad((k * 31 % 10000)::VARCHAR, 4, '0')", f"left(x, 1) <> '1' AND {queries._verhoeff_sql().replace('substr(x,', 'substr(y,')} = 0", _KEYED.format("low"), _PARTIAL),
-    "india_pan": ("tax number", lambda k: F.concat(F.lit("ABC"), F.char(65 + k % 26), F.lit("K"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("Q")), "'ABC' || chr((65 + k % 26)::INT) || 'K' || lpad((k % 10000)::VARCHAR, 4, '0') || 'Q'", "substr(x, 4, 1) IN ('A', 'B', 'C', 'F', 'G', 'H', 'J', 'L', 'P', 'T')", _KEYED.format("low"), _PARTIAL),
+    "india_pan": ("income tax", lambda k: F.concat(F.lit("ABC"), F.char(65 + k % 26), F.lit("K"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("Q")), "'ABC' || chr((65 + k % 26)::INT) || 'K' || lpad((k % 10000)::VARCHAR, 4, '0') || 'Q'", "substr(x, 4, 1) IN ('A', 'B', 'C', 'F', 'G', 'H', 'J', 'L', 'P', 'T')", _KEYED.format("low"), _PARTIAL),
 }
 for _id, (_word, _value, _value_sql, _valid, _level, _mask) in MADE.items():
 
@@ -112,9 +112,10 @@ def insp_many_matches(spark, d):
 
 @query("WITH i AS (SELECT unnest([" + ", ".join(f"'{d.id}'" for d in packs.BUILTIN.detectors) + "]) AS detector) SELECT n_regionkey, detector, count(*) AS n FROM nation, i GROUP BY ALL")
 def insp_detector_ids(spark, d):
-    """The pack's ids, for every nation of a region."""
-    ids = F.array(*[F.lit(d.id) for d in packs.BUILTIN.detectors])
-    return read(spark, d, "nation").select("n_regionkey", F.explode(ids).alias("detector")).groupBy("n_regionkey", "detector").agg(F.count(F.lit(1)).alias("n"))
+    """The pack's ids as detector_ids() tells them, for every nation of a region."""
+    ids = ins.detector_ids(spark)
+    places = F.explode(F.sequence(F.lit(0), F.lit(len(packs.BUILTIN.detectors) - 1))).alias("ordinal")
+    return read(spark, d, "nation").select("n_regionkey", places).join(ids, "ordinal").groupBy("n_regionkey", "detector").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT detector, n_vectors * n AS n_ok, 0::HUGEINT AS n_wrong FROM (SELECT unnest([" + ", ".join(f"'{d.id}'" for d in packs.BUILTIN.detectors) + "]) AS detector, unnest([" + ", ".join(str(sum(len(x) for x in d.tests.values())) for d in packs.BUILTIN.detectors) + "]) AS n_vectors), (SELECT count(*) AS n FROM nation)")

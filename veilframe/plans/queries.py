@@ -164,7 +164,11 @@ def _secrets_sql(lines: str) -> str:
     """Findings of (source, id, line, s) rows; a bare key is a whole run of base64 characters, 40 long."""
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     bare = r"len(list_filter(regexp_extract_all(s, '[A-Za-z0-9+/]+=?'), lambda x: length(x) = 40 AND NOT contains(x, '=') AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[0-9]'))) > 0"
-    tests = {n: f"regexp_matches(s, {quoted(secrets.shape(n, chr(92) + 'b', chr(92) + 'b'))})" for n in secrets.SHAPES} | {"bare_secret_key": f"regexp_matches(s, {quoted(secrets.CONTEXT)}) AND {bare}"}
+    tests = {n: f"regexp_matches(s, {quoted(secrets.shape(n, chr(92) + 'b', chr(92) + 'b'))})" for n in secrets.SHAPES} | {"bare_secret_key": f"regexp_matches(s, {quoted(secrets.PROVIDER)}) AND {bare}"}
+    told = "CASE WHEN contains(s, 'b64:') THEN decode(from_base64(regexp_extract(s, 'b64:([A-Za-z0-9+/]+={0,2})', 1))) ELSE s END"
+    edge = r"\b"
+    ids = f"regexp_extract_all({told}, {quoted(edge + secrets._KEY_ID + edge)})"
+    tests["published_example"] = f"list_has_any(list_transform({ids}, lambda x: sha256(x)), [{', '.join(map(quoted, secrets.PUBLISHED))}])"
     return f"WITH l AS ({lines}) " + " UNION ALL ".join(f"SELECT source, id, line, '{n}' AS finding FROM l WHERE {t}" for n, t in tests.items())
 
 
@@ -189,6 +193,8 @@ _SHAPED = [
     ("'xoxb-' || left(h, 10 + k % 2)", lambda h: F.concat(F.lit("xoxb-"), F.left(h, (10 + F.col("k") % 2).cast("int")))),
     ("'see mysql://joe:' || left(h, 8) || '@db.example'", lambda h: F.concat(F.lit("see mysql://joe:"), F.left(h, F.lit(8)), F.lit("@db.example"))),
     ("'-----BEGIN EC PRIVATE' || ' KEY-----'", lambda h: F.lit("-----BEGIN EC PRIVATE KEY-----")),
+    ("'id AKIA' || 'IOSFODNN7' || CASE WHEN k % 2 = 0 THEN 'EXAMPLE' ELSE 'EXAMPLF' END", lambda h: F.concat(F.lit("id AKIA"), F.lit("IOSFODNN7"), F.when(F.col("k") % 2 == 0, "EXAMPLE").otherwise("EXAMPLF"))),
+    ("'b64:' || to_base64(encode('x AKIA' || 'IOSFODNN7' || CASE WHEN k % 3 = 0 THEN 'EXAMPLE' ELSE 'EXAMPLF' END))", lambda h: F.concat(F.lit("b64:"), F.base64(F.encode(F.concat(F.lit("x AKIA"), F.lit("IOSFODNN7"), F.when(F.col("k") % 3 == 0, "EXAMPLE").otherwise("EXAMPLF")), "utf-8")))),
     ("'a.eyJ' || left(h, 20) || '.eyJ' || left(h, 12) || '.' || left(h, 20)", lambda h: F.concat(F.lit("a.eyJ"), F.left(h, F.lit(20)), F.lit(".eyJ"), F.left(h, F.lit(12)), F.lit("."), F.left(h, F.lit(20)))),
 ]
 
@@ -199,7 +205,7 @@ def _b64(h):
 
 @query(_secrets_sql(f"SELECT 'customer' AS source, k AS id, i AS line, CASE i {' '.join(f'WHEN {i} THEN {q}' for i, (q, _) in enumerate(_SHAPED, 1))} END AS s FROM (SELECT c_custkey AS k, sha256(c_name) AS h, to_base64(unhex(sha256(c_name))) AS b FROM customer), range(1, {len(_SHAPED) + 1}) AS r(i)"))
 def line_secret_shapes(spark, d):
-    """Texts of nine lines, one of each shape, made from every customer's name."""
+    """Texts of eleven lines made from every customer's name: each shape, and published examples in the open and in test vectors."""
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.sha2("c_name", 256).alias("h"))
     text = F.array_join(F.array(*[f(F.col("h")) for _, f in _SHAPED]), "\n")
     found = secrets.scan_lines(c.select("k", text.alias("text")), "k", "text")
@@ -381,6 +387,15 @@ def pol_winner(spark, d):
     return _verdicts(spark, d).select("event_id", "verdict.action", F.concat_ws("/", "verdict.decided_by.policy", "verdict.decided_by.rule").alias("decided")).withColumn("decided", F.when(F.col("decided") != "", F.col("decided")))
 
 
+@query(f"""WITH {_POLICY} SELECT event_id, action, decided, CASE decided WHEN 'p2/r1' THEN 60 WHEN 'p3/x1' THEN 55 ELSE CASE WHEN decided IS NOT NULL THEN 50 END END AS priority, concat_ws(',', CASE WHEN a1s THEN 'create_incident' END, CASE WHEN a2s AND NOT a1s THEN 'create_incident' END,
+CASE WHEN a2s THEN 'notify_user' END, CASE WHEN b1 THEN 'tag' END, CASE WHEN x1 THEN 'tag' END) AS effects FROM v""")
+def pol_fast(spark, d):
+    """The decision alone, by bit sets."""
+    v = policy.evaluate_fast(facts(spark, d), BUNDLE, now=NOW)
+    decided = F.when(F.col("verdict.decided_by").isNotNull(), F.concat_ws("/", "verdict.decided_by.policy", "verdict.decided_by.rule"))
+    return v.select("event_id", "verdict.action", decided.alias("decided"), "verdict.decided_by.priority", F.array_join(F.transform("verdict.side_effects", lambda e: e["action"]), ",").alias("effects"))
+
+
 @query(f"WITH {_POLICY} SELECT event_id, (a1 AND x1)::BIGINT + (a2 AND x1)::BIGINT AS n_overridden FROM v WHERE x1")
 def pol_exception(spark, d):
     v = _verdicts(spark, d).filter(F.exists("verdict.matched", lambda m: m["exception"]))

@@ -29,8 +29,8 @@ ENVELOPE = {
 ULID = "^[0-9A-HJKMNP-TV-Z]{26}$"
 
 
-def parse_envelopes(raw: DataFrame, value_col: str = "value") -> DataFrame:
-    """Envelope columns and error (null if the envelope is well formed)."""
+def parse_envelopes(raw: DataFrame, value_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Envelope columns, the columns ``keep`` and error (null if the envelope is well formed)."""
     text = F.col(value_col).cast("string")
     e = F.from_json(text, ", ".join(f"{name} {kind}" for name, kind in ENVELOPE.items()))
     odd = F.array_except(F.json_object_keys(text), F.array(*map(F.lit, ENVELOPE)))
@@ -40,7 +40,7 @@ def parse_envelopes(raw: DataFrame, value_col: str = "value") -> DataFrame:
         .when(~F.coalesce(e["event_id"].rlike(ULID), F.lit(False)), F.lit("event_id is no ULID"))
         .when(e["tenant_id"].isNull() | e["occurred_at"].isNull(), F.lit("tenant_id and occurred_at are needed"))
     )
-    return raw.select(e.alias("e"), error.alias("error")).select("e.*", "error")
+    return raw.select(e.alias("e"), error.alias("error"), *keep).select("e.*", *keep, "error")
 
 
 def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
