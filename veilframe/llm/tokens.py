@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -48,7 +49,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 #: Entries of a memo; half of them at least are the latest.
-MEMO = 120_000
+MEMO = 200_000
 _CHUNK = re.compile("▁+[^▁]*|[^▁]+")
 _built: dict = {}
 
@@ -126,9 +127,9 @@ class Segmenter:
         self.model = model
         self.automaton = ahocorasick.Automaton()
         for piece, (i, score) in model["pieces"].items():
-            self.automaton.add_word(piece, (len(piece), piece, i, score))
+            self.automaton.add_word(piece, (len(piece), i, score))
         self.automaton.make_automaton()
-        self.memo = _Recent(lambda s: np.array(self.best(s), np.int32).tobytes())
+        self.memo = _Recent(lambda s: array("i", self.best(s)).tobytes())
         self.scores = {p: score for p, (_, score) in model["pieces"].items()}
         self.pairs = _Recent(self._stays) if model["bpe"] else None
         self.piece_of = {i: p for p, (i, _) in model["pieces"].items()}
@@ -138,46 +139,49 @@ class Segmenter:
     def best(self, s: str) -> list[int]:
         """Single-pass Viterbi over the automaton's matches, in order of their ends; among equal scores the longest piece.
 
-        Matches that end at one place come longest first, along the output links.  For BPE a
-        match is a step only if it stays beside the best last piece of the text before it.
+        Matches that end at one place come longest first, along the output links.  A place that no
+        match relaxes has its last character alone, as bytes.
         """
-        n, unk, pairs = len(s), self.model["unk"], self.pairs
-        score, start, piece, last, done = [0.0], [0], [-1], [""], 0
-
-        def unknown() -> None:  # a new place: at first, its character as bytes
-            score.append(score[done] + unk)
-            start.append(done)
-            piece.append(-1)
-            last.append(s[done])
-
-        for end, (size, own, i, gain) in self.automaton.iter(s):
-            while done <= end:
-                unknown()
-                done += 1
-            begin = done - size
-            if pairs is None:
-                step = score[begin] + gain > score[done]
-            else:  # one match passes; any other, once it has passed, is not tried
-                step = piece[done] < 0 and pairs[last[begin], own]
-            if step:
-                score[done], start[done], piece[done], last[done] = score[begin] + gain, begin, i, own
-        while done < n:
-            unknown()
-            done += 1
+        n = len(s)
+        size, piece = ([1] * (n + 1), [-1] * (n + 1))  # of the best last piece of each prefix
+        relax = self._by_score if self.pairs is None else self._by_pair
+        relax(s, size, piece)
         out: list[int] = []
         at = n
         while at:
-            begin = start[at]
-            if piece[at] >= 0:
-                out.append(piece[at])
+            if (i := piece[at]) >= 0:
+                out.append(i)
             else:
-                out += [self.model["bytes"][b] for b in reversed(s[begin:at].encode("utf-8", "surrogatepass"))]
-            at = begin
+                out += [self.model["bytes"][b] for b in reversed(s[at - 1].encode("utf-8", "surrogatepass"))]
+            at -= size[at]
         return out[::-1]
 
-    def _stays(self, pair: tuple[str, str]) -> bool:
+    def _by_score(self, s: str, size: list[int], piece: list[int]) -> None:
+        """Unigram: the highest sum of scores."""
+        unk, score, done = self.model["unk"], [0.0], 0
+        for end, (k, i, gain) in self.automaton.iter(s):
+            while done <= end:  # a new place: at first, its character alone
+                score.append(score[done] + unk)
+                done += 1
+            if (x := score[done - k] + gain) > score[done]:
+                score[done], size[done], piece[done] = x, k, i
+
+    def _by_pair(self, s: str, size: list[int], piece: list[int]) -> None:
+        """BPE: a match is a step only if it stays beside the best last piece of the text before it; then no other one at its end does."""
+        pairs = self.pairs
+        for end, (k, i, _) in self.automaton.iter(s):
+            if piece[end + 1] < 0:
+                begin = end + 1 - k
+                left = piece[begin]
+                if left < 0 and begin:  # a character alone
+                    left = -2 - ord(s[begin - 1])
+                if pairs[left << 32 | i]:
+                    size[end + 1], piece[end + 1] = k, i
+
+    def _stays(self, pair: int) -> bool:
         """Merging the characters of both pieces gives these two pieces (the left one may be empty)."""
-        left, right = pair
+        left, right = pair >> 32, self.piece_of[pair & 0xFFFFFFFF]
+        left = self.piece_of[left] if left >= 0 else chr(-2 - left) if left < -1 else ""
         return merge(left + right, self.scores) == ([left, right] if left else [right])
 
     def encode(self, text: str) -> np.ndarray:
@@ -191,7 +195,7 @@ class Segmenter:
             if not k and self.model["prefix"]:
                 s = MARK + s
             for chunk in _CHUNK.findall(s):
-                out.append(self.memo[chunk] if len(chunk) <= 64 else np.array(self.best(chunk), np.int32).tobytes())
+                out.append(self.memo[chunk] if len(chunk) <= 64 else array("i", self.best(chunk)).tobytes())
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> str:
