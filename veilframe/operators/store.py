@@ -5,9 +5,13 @@ Isolation here is a filter that callers keep to, not a security boundary.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 GENESIS = "0" * 64
 
 
@@ -34,6 +38,68 @@ def visible_counts(tenants: DataFrame, path_col: str = "path") -> DataFrame:
     return tenants.select(F.explode(above).alias(path_col)).groupBy(path_col).agg(F.count(F.lit(1)).alias("n_below"))
 
 
+#: Blocks of a level that make one of the next, in the labels of a tree.
+FAN = 16
+
+
+def tree_labels(tenants: DataFrame, path_col: str = "path") -> DataFrame:
+    """``tenants`` with low and high: a tenant's place in the order of paths, and the last place below it.
+
+    So "sees" is a range of whole numbers.  Places are counted by sorted ranges of paths, each a
+    partition of its own, with the sizes of the ranges before it added: no task holds all tenants.
+    The sorted paths are written to the shared folder, as each further step must see the same ranges.
+    """
+    key = F.concat(F.col(path_col), F.lit("/"))
+    rows = tenants.withColumn("__key", key)
+    placed = rows.repartitionByRange("__key").sortWithinPartitions("__key")
+    placed = written(placed.withColumn("__id", F.monotonically_increasing_id()), "places")
+    part, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, total = [], 0
+    for k in range(max(sizes, default=-1) + 1):
+        starts.append(total)
+        total += sizes.get(k, 0)
+    before = F.get(F.array(*[F.lit(x).cast("long") for x in starts or [0]]), part.cast("int"))
+    placed = placed.withColumn("low", before + at)
+    parts = F.split(F.col(path_col), "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    last = placed.select("low", F.explode(above).alias(path_col)).groupBy(path_col).agg(F.max("low").alias("high"))
+    return placed.select(*tenants.columns, "low").join(last, path_col).select(*tenants.columns, "low", "high")
+
+
+def _at_level(level: int) -> Callable[[Column], Column]:
+    return lambda i: F.struct(F.lit(level).alias("level"), i.alias("block"))
+
+
+def _levels(top: int) -> int:
+    n = 1
+    while FAN**n <= top:
+        n += 1
+    return n
+
+
+def visible_rows(viewers: DataFrame, rows: DataFrame, top: int) -> DataFrame:
+    """Each row (place, ...) with each viewer (low, high, ...) that sees it; ``top``: the highest place.
+
+    A range of places is cut into the fewest blocks of FAN to the power of 0, 1, 2, ... places that
+    begin at their multiples; a place lies in one block of each size.  So the join is on equal blocks,
+    exact without another test, and a viewer of all places is a few blocks.
+    """
+    levels, blocks = _levels(top), []
+    low, high = F.col("low"), F.col("high")
+    first = lambda k: F.ceil(low / F.lit(FAN**k)).cast("long")
+    last = lambda k: F.floor((high + 1) / F.lit(FAN**k)).cast("long") - 1
+    upto = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    for level in range(levels):
+        a, b, c, d = first(level), last(level), first(level + 1), last(level + 1)
+        own = F.when(c <= d, F.concat(upto(a, F.least(b, c * FAN - 1)), upto(F.greatest(a, (d + 1) * FAN), b))).otherwise(upto(a, b))
+        blocks.append(F.transform(own, _at_level(level)))
+    seen = viewers.withColumn("__b", F.explode(F.concat(*blocks))).select(*[c for c in viewers.columns if c not in ("low", "high")], "__b.level", "__b.block")
+    at = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("place") / F.lit(FAN**k)).cast("long").alias("block")) for k in range(levels)])
+    placed = rows.withColumn("__b", F.explode(at)).select(*[c for c in rows.columns if c != "place"], "__b.level", "__b.block")
+    return placed.join(seen, ["level", "block"]).drop("level", "block")
+
+
 def foreign_rows(df: DataFrame, tenant: str | int | None, tenant_col: str = "tenant_id") -> DataFrame:
     """Rows that a write by this tenant must not hold."""
     return df.filter(~F.coalesce(F.col(tenant_col) == F.lit(tenant), F.lit(False)))
@@ -50,8 +116,8 @@ def audit_digest(prev_hash: Column, tenant: Column, seq: Column, ts: Column, act
 _FIELDS = ("actor", "source_ip", "action", "object_type", "object_id", "old_value", "new_value", "result")
 
 
-def build_audit_chain(rows: DataFrame, *, tenant_col: str = "tenant_id", ts_col: str = "ts", order_cols: tuple[str, ...] = ()) -> DataFrame:
-    """``rows`` with seq, prev_hash and hash.
+def build_audit_chain(rows: DataFrame, *, tenant_col: str = "tenant_id", ts_col: str = "ts", order_cols: tuple[str, ...] = (), heads: DataFrame | None = None) -> DataFrame:
+    """``rows`` with seq, prev_hash and hash; behind the stored ``heads`` (see chain_heads()) where a tenant has one.
 
     A hash depends on the one before it, so each tenant's chain is one sequence.
     Rows are dealt by tenant, sorted, and read as a stream that keeps one hash.
@@ -62,16 +128,21 @@ def build_audit_chain(rows: DataFrame, *, tenant_col: str = "tenant_id", ts_col:
 
     order = [ts_col, *order_cols]
     src = rows.withColumn("__told", F.date_format(ts_col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).withColumn("__tenant", F.col(tenant_col).cast("string"))
-    dealt = src.repartition(tenant_col).sortWithinPartitions(tenant_col, *order)
+    if heads is None:
+        src = src.withColumn("__seq", F.lit(0).cast("long")).withColumn("__hash", F.lit(GENESIS))
+    else:
+        last = heads.select(tenant_col, F.col("seq").alias("__seq"), F.col("hash").alias("__hash"))
+        src = src.join(last, tenant_col, "left").withColumn("__seq", F.coalesce("__seq", F.lit(0).cast("long"))).withColumn("__hash", F.coalesce("__hash", F.lit(GENESIS)))
+    dealt = src.select(*rows.columns, "__told", "__tenant", "__seq", "__hash").repartition(tenant_col).sortWithinPartitions(tenant_col, *order)
 
     def chain(batches):
         now, seq, last = None, 0, GENESIS
         for batch in batches:
-            cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n in (*_FIELDS, "__told", "__tenant")}
+            cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n in (*_FIELDS, "__told", "__tenant", "__seq", "__hash")}
             seqs, prevs, hashes = [], [], []
             for k in range(batch.num_rows):
                 if cols["__tenant"][k] != now:
-                    now, seq, last = cols["__tenant"][k], 0, GENESIS
+                    now, seq, last = cols["__tenant"][k], cols["__seq"][k], cols["__hash"][k]
                 seq += 1
                 told = [last, now, str(seq), cols["__told"][k], *[cols[f][k] or "" for f in _FIELDS]]
                 prevs.append(last)
@@ -81,15 +152,40 @@ def build_audit_chain(rows: DataFrame, *, tenant_col: str = "tenant_id", ts_col:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seqs, pa.int64()), pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=[*batch.schema.names, "seq", "prev_hash", "hash"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
-    return dealt.mapInArrow(chain, f"{schema}, seq long, prev_hash string, hash string").drop("__told", "__tenant")
+    return dealt.mapInArrow(chain, f"{schema}, seq long, prev_hash string, hash string").drop("__told", "__tenant", "__seq", "__hash")
 
 
-def verify_audit_chain(chain: DataFrame, tenant_col: str = "tenant_id") -> DataFrame:
-    """One row per tenant: n_rows and first_bad_seq (null if the chain holds): gap, link or digest."""
-    w = Window.partitionBy(tenant_col).orderBy("seq")
+def chain_heads(chain: DataFrame, tenant_col: str = "tenant_id") -> DataFrame:
+    """(tenant, seq, hash): the last row of each chain, from which it goes on."""
+    return chain.groupBy(tenant_col).agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash"))
+
+
+def chain_faults(chain: DataFrame, tenant_col: str = "tenant_id") -> DataFrame:
+    """(tenant, seq, fault) of each row that breaks its chain: repeated, gap, link or digest (the first that holds).
+
+    A row meets the row before it by tenant and number, so a chain is dealt over all tasks, however
+    long it is; a number that comes twice is one row of the other side, so nothing is doubled.
+    """
     digest = audit_digest(F.col("prev_hash"), F.col(tenant_col), F.col("seq"), F.col("ts"), *[F.col(f) for f in _FIELDS])
-    wrong = (F.col("seq") != F.row_number().over(w)) | (F.col("prev_hash") != F.coalesce(F.lag("hash").over(w), F.lit(GENESIS))) | (F.col("hash") != digest)
-    return chain.withColumn("__bad", F.coalesce(wrong, F.lit(True))).groupBy(tenant_col).agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.when(F.col("__bad"), F.col("seq"))).alias("first_bad_seq"))
+    rows = chain.select(tenant_col, "seq", "prev_hash", (F.col("hash") == digest).alias("__whole"), "hash")
+    each = rows.groupBy(tenant_col, "seq").agg(F.count(F.lit(1)).alias("__n"), F.min("prev_hash").alias("__prev"), F.bool_and(F.coalesce("__whole", F.lit(False))).alias("__whole"), F.max("hash").alias("__hash"))
+    before = each.select(tenant_col, (F.col("seq") + 1).alias("seq"), F.col("__hash").alias("__last"), F.lit(True).alias("__there"))
+    both = each.join(before, [tenant_col, "seq"], "left")
+    first = F.col("seq") == 1
+    fault = (
+        F.when(F.col("__n") > 1, F.lit("repeated"))
+        .when(F.col("seq").isNull() | (~first & F.col("__there").isNull()), F.lit("gap"))
+        .when(~F.coalesce(F.col("__prev") == F.when(first, F.lit(GENESIS)).otherwise(F.col("__last")), F.lit(False)), F.lit("link"))
+        .when(~F.col("__whole"), F.lit("digest"))
+    )
+    return both.select(tenant_col, "seq", fault.alias("fault")).filter("fault IS NOT NULL")
+
+
+def verify_audit_chain(chain: DataFrame, tenant_col: str = "tenant_id") -> DataFrame:
+    """One row per tenant: n_rows and first_bad_seq (null if the chain holds)."""
+    n = chain.groupBy(tenant_col).agg(F.count(F.lit(1)).alias("n_rows"))
+    bad = chain_faults(chain, tenant_col).groupBy(tenant_col).agg(F.min("seq").alias("first_bad_seq"))
+    return n.join(bad, tenant_col, "left")
 
 
 def version_violations(before: DataFrame, after: DataFrame, key: list[str], frozen: list[str], once: list[str]) -> DataFrame:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,32 +10,12 @@ from ..functions import sql as names
 from ..functions import text
 from ..operators import policy, store
 from ..sources import readers
+from ..sources.scratch import scratch
 from ..streaming import events as streams
 from . import queries
 from .queries import BUNDLE, NOW, facts, query, read
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share; in local mode a temporary one will do."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        at = "file://" + tempfile.mkdtemp(prefix="spark-veil-")
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    """At the end of the driver's process, if the JVM is still there."""
-    with contextlib.suppress(Exception):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 # -------------------------------------------------------------- verdicts in words
 
 

@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import tenancy
+from ..operators import store, tenancy
 from ..streaming import incidents as keyed
 from ..streaming import whole
 from . import bundles
@@ -57,6 +57,46 @@ def pol_compiled_bundles(spark: SparkSession, d: str) -> DataFrame:
     return compiled.select("tenant_id", "error", F.size("rules").alias("n_rules")).join(n, "tenant_id").withColumn("n_rules", F.when(F.col("error").isNull(), F.col("n_rules")))
 
 
+# --------------------------------------------------------------------------- store
+
+
+@query("""WITH t AS (SELECT '/all' AS path UNION ALL SELECT '/all/r' || r_regionkey FROM region UNION ALL SELECT '/all/r' || n_regionkey || '/n' || n_nationkey FROM nation),
+c AS (SELECT c_custkey, '/all/r' || n_regionkey || '/n' || n_nationkey AS path FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT t.path AS viewer, c_custkey FROM t JOIN c ON c.path = t.path OR starts_with(c.path, t.path || '/')""")
+def tenant_visible_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer with every tenant of a tree of three levels that sees it: a join on blocks of pre-order places."""
+    r = F.concat(F.lit("/all/r"), F.col("r_regionkey").cast("string"))
+    n = F.concat(F.lit("/all/r"), F.col("n_regionkey").cast("string"), F.lit("/n"), F.col("n_nationkey").cast("string"))
+    nations = read(spark, d, "nation")
+    tree = spark.range(1).select(F.lit("/all").alias("path")).union(read(spark, d, "region").select(r)).union(nations.select(n))
+    labels = store.tree_labels(tree)
+    places = labels.select("path", F.col("low").alias("place")).join(nations.select(n.alias("path"), "n_nationkey"), "path")
+    rows = read(spark, d, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "place")
+    top = labels.agg(F.max("high")).first()[0]
+    return store.visible_rows(labels.select(F.col("path").alias("viewer"), "low", "high"), rows, top)
+
+
+@query("SELECT user_id, count(*) AS n_rows, CASE WHEN count(*) < 3 OR user_id % 5 = 0 THEN NULL ELSE 3 END AS seq, CASE WHEN count(*) < 3 OR user_id % 5 = 0 THEN NULL ELSE ['', 'digest', 'link', CASE WHEN count(*) > 3 THEN 'gap' END, 'repeated'][(user_id % 5 + 1)::INT] END AS fault FROM events GROUP BY user_id")
+def audit_chain_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Chains over the events of each user, the second half appended to the stored heads; each fault is made in a fifth of them, and found first."""
+    e = read(spark, d, "events").select("user_id", "ts", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"), F.lit(None).cast("string").alias("source_ip"), F.col("event_type").alias("action"), F.lit("event").alias("object_type"), F.col("event_id").cast("string").alias("object_id"), F.lit(None).cast("string").alias("old_value"), F.col("props").alias("new_value"), F.lit("success").alias("result"))
+    at = scratch(spark, "chain")
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    store.build_audit_chain(e.filter(early), tenant_col="user_id", order_cols=("object_id",)).write.parquet(f"{at}/a")
+    first = spark.read.parquet(f"{at}/a")
+    store.build_audit_chain(e.filter(~early), tenant_col="user_id", order_cols=("object_id",), heads=store.chain_heads(first, "user_id")).write.parquet(f"{at}/b")
+    chain = first.union(spark.read.parquet(f"{at}/b"))
+    third, kind = F.col("seq") == 3, F.col("user_id") % 5
+    spoilt = chain.withColumns({"action": F.when(third & (kind == 1), "forged").otherwise(F.col("action")), "prev_hash": F.when(third & (kind == 2), F.lit(store.GENESIS)).otherwise(F.col("prev_hash"))})
+    spoilt = spoilt.filter(~(third & (kind == 3)) | third.isNull())
+    spoilt = spoilt.withColumn("copies", F.explode(F.sequence(F.lit(1), F.when(third & (kind == 4), 2).otherwise(1)))).drop("copies")
+    bad = store.chain_faults(spoilt, "user_id").groupBy("user_id").agg(F.min_by("fault", "seq").alias("fault"), F.min("seq").alias("seq"))
+    n = chain.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    gap = F.when((F.col("user_id") % 5 == 3) & F.col("seq").isNotNull(), F.col("seq") - 1).otherwise(F.col("seq"))  # the row behind the one that is missing
+    out = n.join(bad, "user_id", "left").withColumn("seq", gap)
+    return out.withColumn("seq", F.when((F.col("user_id") % 5 == 3) & (F.col("n_rows") == 3), 3).otherwise(F.col("seq")).cast("int"))
+
+
 # ------------------------------------------------------------------------ streams
 
 #: A later event of its own key, which lets the watermark pass all others.
