@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from ..functions.masks import MASKS, canonical, distinct_key
 from ..functions.text import collapse_array, fold_array
 from ..functions.validators import VALIDATORS, entropy
+from ..plans.literals import required
 from ..plans.packs import BUILTIN, LEVELS, Detector, Pack, decoded, merge
+from .names import free_prefix
 
 
 @dataclass(frozen=True)
@@ -89,6 +91,45 @@ def _cut(texts: pa.Array, max_bytes: int) -> tuple[pa.Array, pa.Array]:
     return texts, over
 
 
+#: Fewer detectors with required texts are tried on all texts: that is as fast.
+FEW = 16
+
+
+def naming(detectors: list[Detector]) -> Callable[[pa.Array], dict[int, list[int]]]:
+    """A function from texts to the rows that each detector with required texts is worth running on.
+
+    One automaton over all required texts reads each text once, whatever the number of
+    detectors.
+    """
+    texts_of = {i: told for i, d in enumerate(detectors) if (told := required(d.pattern))}
+    if len(texts_of) < FEW:
+        return lambda texts: {}
+    owners: dict[str, list[int]] = {}
+    for i, told in texts_of.items():
+        for x in told:
+            owners.setdefault(x, []).append(i)
+    built: list = []
+
+    def run(texts: pa.Array) -> dict[int, list[int]]:
+        if not built:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for x, own in owners.items():
+                automaton.add_word(x, tuple(own))
+            automaton.make_automaton()
+            built.append(automaton)
+        out: dict[int, list[int]] = {i: [] for i in texts_of}
+        for row, text in enumerate(texts.to_pylist()):
+            if text:
+                own = {i for _, names in built[0].iter(text) for i in names}
+                for i in own:
+                    out[i].append(row)
+        return out
+
+    return run
+
+
 def scan(detectors: list[Detector], budget: Budget, compose: bool = True) -> Callable[[pa.Array], pa.Array]:
     """A function from texts to (bytes, cut, spans): the raw matches of every detector, in order."""
     keywords = [[k.lower() for k in d.keywords] for d in detectors]
@@ -101,12 +142,22 @@ def scan(detectors: list[Detector], budget: Budget, compose: bool = True) -> Cal
         for t in texts:
             yield [m.span() for _, m in zip(range(budget.max_matches), compiled.finditer(t), strict=False) if m.end() > m.start()]
 
+    named = naming(detectors)
+
     def run(texts: pa.Array) -> pa.Array:
         norm, over = _cut(collapse_array(fold_array(texts) if compose else texts), budget.max_bytes)
         found: dict[int, list[dict]] = {}
+        worth = named(norm)
         for i, d in enumerate(detectors):
-            rows = np.flatnonzero(pc.fill_null(pc.match_substring_regex(norm, d.hint or d.pattern), False).to_numpy(zero_copy_only=False))
-            held = norm.take(pa.array(rows)).to_pylist()
+            rows, some = None, norm
+            if i in worth:
+                rows = np.array(worth[i], np.int64)
+                if not len(rows):
+                    continue
+                some = norm.take(pa.array(rows))
+            hit = np.flatnonzero(pc.fill_null(pc.match_substring_regex(some, d.hint or d.pattern), False).to_numpy(zero_copy_only=False))
+            held = some.take(pa.array(hit)).to_pylist()
+            rows = hit if rows is None else rows[hit]
             for row, text, spans in zip(rows.tolist(), held, matches(d, held), strict=True):
                 raw = text.encode() if spans else b""
                 at = last = 0  # bytes up to the character ``last``
@@ -121,14 +172,14 @@ def scan(detectors: list[Detector], budget: Budget, compose: bool = True) -> Cal
     return run
 
 
-def _scanned(df: DataFrame, text_col: str, detectors: list[Detector], budget: Budget, compose: bool) -> DataFrame:
-    """``df`` with ``__scan``; not deterministic for the optimizer, so that no filter is pushed below and makes it run twice."""
+def _scanned(df: DataFrame, name: str, text_col: str, detectors: list[Detector], budget: Budget, compose: bool) -> DataFrame:
+    """``df`` with the scan as ``name``; not deterministic for the optimizer, so that no filter is pushed below and makes it run twice."""
     run = scan(detectors, budget, compose)
 
     def told(texts: pa.Array) -> pa.Array:
         return run(texts)
 
-    return df.withColumn("__scan", F.arrow_udf(told, _SCAN).asNondeterministic()(F.col(text_col)))
+    return df.withColumn(name, F.arrow_udf(told, _SCAN).asNondeterministic()(F.col(text_col)))
 
 
 # --------------------------------------------------------------- what they are worth
@@ -183,13 +234,13 @@ def _distinct(ordered: Column) -> Column:
     return F.sort_array(F.filter(first, lambda m: m.isNotNull()))
 
 
-def _found(df: DataFrame, text_col: str, detectors: list[Detector], budget: Budget, compose: bool) -> DataFrame:
-    """``df`` with ``__scan`` and ``found``: the distinct accepted matches (d, s, e, m, c), by detector and place."""
-    out = _scanned(df, text_col, detectors, budget, compose)
-    spans = F.col("__scan.spans")
-    out = out.withColumn("__sorted", F.when(F.size(spans) > 0, F.sort_array(_accepted(detectors, spans))))
-    empty = F.array().cast(_FOUND)
-    return out.withColumn("found", F.when(F.col("__scan").isNotNull(), F.when(F.size("__sorted") > 0, _distinct(F.col("__sorted"))).otherwise(empty))).drop("__sorted")
+def _found(df: DataFrame, p: str, text_col: str, detectors: list[Detector], budget: Budget, compose: bool) -> DataFrame:
+    """``df`` with ``p`` + scan and ``p`` + found: the distinct accepted matches (d, s, e, m, c), by detector and place."""
+    out = _scanned(df, f"{p}scan", text_col, detectors, budget, compose)
+    spans = F.col(f"{p}scan.spans")
+    out = out.withColumn(f"{p}sorted", F.when(F.size(spans) > 0, F.sort_array(_accepted(detectors, spans))))
+    told = F.when(F.size(f"{p}sorted") > 0, _distinct(F.col(f"{p}sorted"))).otherwise(F.array().cast(_FOUND))
+    return out.withColumn(f"{p}found", F.when(F.col(f"{p}scan").isNotNull(), told)).drop(f"{p}sorted")
 
 
 def hits(found: Column, detectors: list[Detector], budget: Budget) -> Column:
@@ -229,11 +280,12 @@ def inspect(df: DataFrame, text_col: str = "text", packs: list[Pack] | None = No
     """``df`` with an inspection struct; null texts have none."""
     packs = packs or [BUILTIN]
     detectors = merge(packs)
-    out = _found(df, text_col, detectors, budget, compose)
-    told = F.when(F.size("found") > 0, hits(F.col("found"), detectors, budget)).otherwise(F.array().cast(HIT_SCHEMA))
-    labels = F.array(*[F.lit(p.label) for p in packs])
-    whole = F.struct(labels.alias("packs"), F.col("__scan.bytes").alias("bytes_inspected"), F.col("__scan.cut").alias("truncated"), F.lit(False).alias("timed_out"), told.alias("hits"))
-    return out.withColumn(out_col, F.when(F.col("__scan").isNotNull(), whole)).drop("__scan", "found")
+    p = free_prefix(df)
+    out = _found(df, p, text_col, detectors, budget, compose)
+    told = F.when(F.size(f"{p}found") > 0, hits(F.col(f"{p}found"), detectors, budget)).otherwise(F.array().cast(HIT_SCHEMA))
+    labels = F.array(*[F.lit(x.label) for x in packs])
+    whole = F.struct(labels.alias("packs"), F.col(f"{p}scan.bytes").alias("bytes_inspected"), F.col(f"{p}scan.cut").alias("truncated"), F.lit(False).alias("timed_out"), told.alias("hits"))
+    return out.withColumn(out_col, F.when(F.col(f"{p}scan").isNotNull(), whole)).drop(f"{p}scan", f"{p}found")
 
 
 def inspect_custom(df: DataFrame, packs: list[Pack], text_col: str = "text", **options) -> DataFrame:
@@ -241,10 +293,13 @@ def inspect_custom(df: DataFrame, packs: list[Pack], text_col: str = "text", **o
     return inspect(df, text_col, packs, **options)
 
 
-def detected(df: DataFrame, detector: str, text_col: str = "text", *, packs: list[Pack] | None = None, budget: Budget = Budget(), compose: bool = True) -> DataFrame:
-    """``df`` with ``found``: the distinct accepted matches (s, e, m, c) of one detector; c: confidence rank."""
+def detected(df: DataFrame, detector: str, text_col: str = "text", *, packs: list[Pack] | None = None, budget: Budget = Budget(), compose: bool = True, out_col: str = "found") -> DataFrame:
+    """``df`` with ``out_col``: the distinct accepted matches (s, e, m, c) of one detector; c: confidence rank."""
     d = next(x for x in merge(packs or [BUILTIN]) if x.id == detector)
-    return _found(df, text_col, [d], budget, compose).drop("__scan")
+    if out_col in df.columns:
+        raise ValueError(f"the frame has a column {out_col}; name another with out_col")
+    p = free_prefix(df)
+    return _found(df, p, text_col, [d], budget, compose).drop(f"{p}scan").withColumnRenamed(f"{p}found", out_col)
 
 
 def long_hits(df: DataFrame, *keys: str, text_col: str = "text", packs: list[Pack] | None = None, **options) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans.bundles import ENFORCEMENT, Bundle, Policy, Rule
 from ..plans.conditions import Compiler, Graph, _fold, _text
+from .names import free_prefix
 
 _MATCH = "array<struct<ord:int,policy:string,policy_name:string,rule:string,priority:int,exception:boolean,enforcement:int>>"
 _EFFECT = "array<struct<action:string,params:string,policy:string,rule:string>>"
@@ -78,13 +79,6 @@ def _array(items: list[Column], kind: str) -> Column:
     return F.array(*items) if items else F.array().cast(kind)
 
 
-def free_prefix(df: DataFrame, base: str = "__p") -> str:
-    """A beginning of column names that no column of the frame has."""
-    while any(c.startswith(base) for c in df.columns):
-        base += "_"
-    return base
-
-
 def held(c: Column) -> Column:
     """``c``, as a value that no filter is pushed below: else a filter on a verdict would be spelt out down to the facts."""
     return F.when(F.spark_partition_id() >= 0, c)

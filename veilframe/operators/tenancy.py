@@ -33,7 +33,8 @@ from pyspark.sql.types import StructType
 
 from ..plans.bundles import Bundle, BundleError, load_bundle
 from ..plans.conditions import HITS, LEVELS, NUMBER, Leaf, Node, _fold
-from .policy import decide, free_prefix, held
+from .names import free_prefix
+from .policy import decide, held
 
 SALTS = 16
 SMALL_ROWS, SMALL_BYTES = 10_000, 8 << 20
