@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..sources.scratch import written
 
@@ -234,8 +235,9 @@ def merge_incidents(events: DataFrame, *, tenant_col: str = "tenant_id", key_col
     return numbered.groupBy(tenant_col, key_col, "incident_no").agg(F.count(F.lit(1)).alias("occurrences"), F.min(time_col).alias("first_seen_at"), F.max(time_col).alias("last_seen_at"))
 
 
-def latency_histogram(df: DataFrame, seconds_col: str, bounds: tuple[float, ...] = (0.005, 0.025, 0.1, 0.25, 1.0, 2.5, 10.0)) -> DataFrame:
+def latency_histogram(df: DataFrame, seconds_col: str, bounds: tuple[float, ...] | None = None) -> DataFrame:
     """Cumulative counts by upper bound, and all: one row per bound."""
+    bounds = bounds or LATENCY_BOUNDS
     counts = df.agg(*[F.count_if(F.col(seconds_col) <= b).alias(f"b{i}") for i, b in enumerate(bounds)], F.count(seconds_col).alias("all"))
     rows = [F.struct(F.lit(str(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)] + [F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("n"))]
     return counts.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
@@ -250,3 +252,48 @@ def metrics_text(counts: DataFrame, name: str, by: list[str]) -> DataFrame:
     """A line of the text form that scrapers read for each row of request_counts()."""
     labels = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.col(c).cast("string"), F.lit('"')) for c in by])
     return counts.select(F.concat(F.lit(name + "{"), labels, F.lit("} "), F.col("n").cast("string")).alias("line"))
+
+
+#: Upper bounds of the latency histogram, in seconds.
+LATENCY_BOUNDS = (0.005, 0.025, 0.1, 0.25, 1.0, 2.5, 10.0)
+
+
+def observed(df: DataFrame, name: str, seconds_col: str, status: Column, statuses: tuple[str, ...]) -> tuple[DataFrame, Observation]:
+    """``df``, whose next run also counts requests by status and by latency bound, and where the figures will be: no second pass."""
+    o = Observation(name)
+    s = F.col(seconds_col)
+    counts = [F.count_if(status == x).alias(f"status:{x}") for x in statuses]
+    bounds = [F.count_if(s <= b).alias(f"le:{b}") for b in LATENCY_BOUNDS]
+    return df.observe(o, *counts, *bounds, F.count(s).alias("le:+Inf"), F.sum(s).alias("sum")), o
+
+
+def metrics_lines(figures: dict, name: str) -> list[str]:
+    """The text form that scrapers read, of figures that observed() gathered: a counter by status, and a cumulative histogram with sum and count."""
+    of = lambda kind: [(k.removeprefix(f"{kind}:"), v) for k, v in figures.items() if k.startswith(f"{kind}:")]
+    out = [f"# TYPE {name}_total counter"]
+    out += [f'{name}_total{{status="{status}"}} {n}' for status, n in of("status")]
+    out += [f"# TYPE {name}_seconds histogram"]
+    out += [f'{name}_seconds_bucket{{le="{bound}"}} {n}' for bound, n in of("le")]
+    return [*out, f"{name}_seconds_sum {figures['sum'] or 0:.3f}", f"{name}_seconds_count {figures['le:+Inf']}"]
+
+
+class Figures(StreamingQueryListener):
+    """What observed() counts in each batch of the streams of a session, added up by the observation's name."""
+
+    def __init__(self) -> None:
+        self.total: dict[str, dict] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for name, row in event.progress.observedMetrics.items():
+            own = self.total.setdefault(name, {})
+            for k, v in row.asDict().items():
+                own[k] = own.get(k, 0) + (v or 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

@@ -8,11 +8,11 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import store, tenancy
+from ..operators import inspect, store, tenancy
 from ..streaming import incidents as keyed
 from ..streaming import whole
 from . import bundles
-from .packs import luhn_number
+from .packs import Detector, Pack, luhn_number
 from .queries import _FACTS, LABELS, NOW, facts, query, read
 from .store_queries import scratch
 
@@ -97,6 +97,35 @@ def audit_chain_faults(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("seq", F.when((F.col("user_id") % 5 == 3) & (F.col("n_rows") == 3), 3).otherwise(F.col("seq")).cast("int"))
 
 
+_LE = ", ".join(f"'observed_seconds_bucket{{le=\"{b}\"}} ' || count(*) FILTER (s <= {b})" for b in store.LATENCY_BOUNDS)
+
+
+@query(f"""WITH e AS (SELECT event_type, value / 10 AS s FROM events), t AS (SELECT unnest(['click', 'error', 'purchase', 'view', 'none']) AS x)
+SELECT unnest(['# TYPE observed_seconds histogram', '# TYPE observed_total counter', {_LE}, 'observed_seconds_bucket{{le="+Inf"}} ' || count(s), 'observed_seconds_count ' || count(s)]) AS line FROM e
+UNION ALL SELECT 'observed_total{{status="' || x || '"}} ' || (SELECT count(*) FROM e WHERE event_type = x) FROM t""")
+def metrics_observed(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of a run, gathered while it wrote its result: counter and histogram in text form (the sum left out, as it is no whole number)."""
+    e = read(spark, d, "events").withColumn("s", F.col("value") / 10)
+    seen, figures = store.observed(e, "requests", "s", F.col("event_type"), ("click", "error", "purchase", "view", "none"))
+    seen.write.parquet(scratch(spark, "observed"))
+    lines = [x for x in store.metrics_lines(figures.get, "observed") if "_sum" not in x]
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+def _many_detectors() -> list[Pack]:
+    return [Pack(f"names{j}", "1", tuple(Detector(id=f"n{k}", name=f"N{k}", category="x", pattern=rf"\bCustomer#{k:09d}\b", base_confidence="high") for k in range(100 * j, 100 * j + 100))) for j in range(3)]
+
+
+@query("""WITH x AS (SELECT c_custkey, c_custkey AS k FROM customer UNION SELECT c_custkey, c_custkey * 7 % 400 FROM customer)
+SELECT 'n' || k AS detector, count(*) AS n_texts FROM x WHERE k BETWEEN 0 AND 299 GROUP BY k""")
+def insp_many_detectors(spark: SparkSession, d: str) -> DataFrame:
+    """300 detectors of three packs over texts made from every customer, by one automaton of their required texts."""
+    name = lambda k: F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0"))
+    text = F.concat(name(F.col("c_custkey")), F.lit(" met "), name(F.col("c_custkey") * 7 % 400), F.lit(", twice "), name(F.col("c_custkey")))
+    rows = read(spark, d, "customer").select("c_custkey", text.alias("text"))
+    return inspect.long_hits(rows, "c_custkey", packs=_many_detectors()).groupBy("detector").agg(F.count(F.lit(1)).alias("n_texts"))
+
+
 # ------------------------------------------------------------------------ streams
 
 #: A later event of its own key, which lets the watermark pass all others.
