@@ -451,3 +451,21 @@ def test_contamination_blocks_share_one_map(spark):
     assert plan.count("MapInArrow") == 1
     told = lambda x: sorted((a["doc_id"], a["n_words"], a["n_hit"], tuple(a["hits"]), tuple(a["items"])) for a in x.collect())
     assert told(one) == told(many) and sum(x[2] > 0 for x in told(one)) == 300
+
+
+def test_pairs_of_pieces_stay_as_merging_says():
+    """Undoing last merges tells the same as merging, for pieces cut anywhere and for any two pieces."""
+    model = tokens.load_model(tokens.default_model())
+    merges, r, pieces = tokens.Merges(model["pieces"]), random.Random(5), list(model["pieces"])
+    assert len(merges.plain) > 0.99 * len(pieces)
+    seen = 0
+    for k in range(20_000):
+        a, b = r.choice(pieces), r.choice(pieces)
+        if k % 2:
+            at = r.randint(1, len(a + b) - 1)
+            a, b = (a + b)[:at], (a + b)[at:]
+        if a in merges.scores and b in merges.scores:
+            stays = tokens.merge(a + b, merges.scores) == [a, b]
+            assert merges.stays(a, b) == stays, (a, b)
+            seen += stays
+    assert seen > 5000 and all(merges.stays("", p) == (tokens.merge(p, merges.scores) == [p]) for p in pieces[:5000])

@@ -35,6 +35,7 @@ from __future__ import annotations
 import re
 import uuid
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -48,8 +49,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-#: Entries of a memo; half of them at least are the latest.
-MEMO = 200_000
+#: Entries of the memos of chunks (some 200 bytes each) and of pairs; half of them at least are the latest.
+MEMO, PAIRS = 320_000, 100_000
 _CHUNK = re.compile("▁+[^▁]*|[^▁]+")
 _built: dict = {}
 
@@ -104,22 +105,73 @@ def merge(symbols: str | list[str], scores: dict[str, float]) -> list[str]:
 
 
 class _Recent(dict):
-    """What ``f`` gives for each key, kept for the latest keys: when half of MEMO are new, all that were not asked for since go."""
+    """What ``f`` gives for each key, kept for the latest keys: when half of ``most`` are new, all that were not asked for since go."""
 
-    def __init__(self, f):
-        self.f, self.old = f, {}
+    def __init__(self, f, most: int):
+        self.f, self.half, self.old = f, most // 2, {}
 
     def __missing__(self, key):
         told = self.old.get(key)
         if told is None:
             told = self.f(key)
-        if len(self) >= MEMO // 2:
+        if len(self) >= self.half:
             self.old = dict(self)
             self.clear()
         self[key] = told
         return told
 
 
+class _Chunks(_Recent):
+    """Ids (bytes of int32) of each chunk; long ones are not kept."""
+
+    def __missing__(self, key):
+        return self.f(key) if len(key) > 64 else super().__missing__(key)
+
+
+class Merges:
+    """How merging makes each piece, and which pairs of pieces it leaves as they are.
+
+    ``rank``: a piece's place by falling score, -1 for a single character.  ``halves``: what a piece's
+    last merge joins.  Where every merge inside a piece comes before its last one (``plain``), two
+    pieces are tested by undoing their last merges one by one, the later one first: if what then
+    meets at the border makes a piece that would have been merged before, the pair doesn't stay.
+    """
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]):
+        self.scores = {p: score for p, (_, score) in pieces.items()}
+        by_score = sorted((p for p in pieces if len(p) > 1), key=lambda p: -self.scores[p])
+        self.rank = {p: k for k, p in enumerate(by_score)} | {p: -1 for p in pieces if len(p) == 1}
+        alike = Counter(self.scores[p] for p in by_score)  # of equal scores the place decides, not the rank
+        self.halves: dict[str, tuple[str, str]] = {}
+        self.plain = {p for p, r in self.rank.items() if r < 0}
+        for p in by_score:  # parts that come later are no parts of a plain piece
+            cuts = [(a, b) for a, b in ((p[:k], p[k:]) for k in range(1, len(p))) if a in self.plain and b in self.plain and self.rank[a] < self.rank[p] > self.rank[b] and self.apart(a, b, self.rank[p])]
+            if alike[self.scores[p]] == 1 and len(cuts) == 1:
+                self.halves[p] = cuts[0]
+                self.plain.add(p)
+
+    def apart(self, left: str, right: str, limit: int) -> bool:
+        """Do two plain pieces stay apart until merges of rank ``limit``?"""
+        rank, halves = self.rank, self.halves
+        while True:
+            both = rank.get(left + right)
+            if both is not None and both < limit:
+                return False
+            a, b = rank[left], rank[right]
+            if a > b:
+                limit, left = a, halves[left][1]
+            elif b < 0:
+                return True
+            else:  # of equal pieces the left one is merged first
+                limit, right = b + 1, halves[right][0]
+
+    def stays(self, left: str, right: str) -> bool:
+        """Merging the characters of both gives these two (``left`` may be empty)."""
+        if right in self.plain and (left in self.plain or not left):
+            return not left or self.apart(left, right, len(self.rank))
+        return merge(left + right, self.scores) == ([left, right] if left else [right])
+
+
 class Segmenter:
     def __init__(self, model: dict):
         import ahocorasick
@@ -129,9 +181,9 @@ class Segmenter:
         for piece, (i, score) in model["pieces"].items():
             self.automaton.add_word(piece, (len(piece), i, score))
         self.automaton.make_automaton()
-        self.memo = _Recent(lambda s: array("i", self.best(s)).tobytes())
-        self.scores = {p: score for p, (_, score) in model["pieces"].items()}
-        self.pairs = _Recent(self._stays) if model["bpe"] else None
+        self.memo = _Chunks(lambda s: array("i", self.best(s)).tobytes(), MEMO)
+        self.merges = Merges(model["pieces"]) if model["bpe"] else None
+        self.pairs = _Recent(self._stays, PAIRS) if model["bpe"] else None
         self.piece_of = {i: p for p, (i, _) in model["pieces"].items()}
         self.byte_of = {i: b for b, i in enumerate(model["bytes"])}
         self._table = None
@@ -179,10 +231,8 @@ class Segmenter:
                     size[end + 1], piece[end + 1] = k, i
 
     def _stays(self, pair: int) -> bool:
-        """Merging the characters of both pieces gives these two pieces (the left one may be empty)."""
-        left, right = pair >> 32, self.piece_of[pair & 0xFFFFFFFF]
-        left = self.piece_of[left] if left >= 0 else chr(-2 - left) if left < -1 else ""
-        return merge(left + right, self.scores) == ([left, right] if left else [right])
+        left = pair >> 32
+        return self.merges.stays(self.piece_of[left] if left >= 0 else chr(-2 - left) if left < -1 else "", self.piece_of[pair & 0xFFFFFFFF])
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -194,8 +244,7 @@ class Segmenter:
             s = part.replace(" ", MARK)
             if not k and self.model["prefix"]:
                 s = MARK + s
-            for chunk in _CHUNK.findall(s):
-                out.append(self.memo[chunk] if len(chunk) <= 64 else array("i", self.best(chunk)).tobytes())
+            out.extend(map(self.memo.__getitem__, _CHUNK.findall(s)))
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> str:
