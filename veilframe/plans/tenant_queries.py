@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inspect, store, tenancy
 from ..streaming import incidents as keyed
-from ..streaming import whole
+from ..streaming import seen, whole
 from . import bundles
 from .packs import Detector, Pack, luhn_number
 from .queries import _FACTS, LABELS, NOW, facts, query, read
@@ -218,3 +218,15 @@ def stream_whole(spark: SparkSession, d: str) -> DataFrame:
     judged = judged.groupBy("action").agg(F.count(F.lit(1)).alias("n")).select(F.lit("verdict").alias("kind"), F.col("action").alias("name"), none, "n")
     bad = spark.read.schema("value string, error string").parquet(f"{at}/rejected").groupBy("error").agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("kind"), F.col("error").alias("name"), none, "n")
     return found.unionByName(judged).unionByName(bad)
+
+
+@query("SELECT 't' || user_id % 3 AS tenant_id, count(*) AS n_events, count(DISTINCT event_type)::BIGINT AS n_kinds FROM events GROUP BY ALL")
+def stream_each_once(spark: SparkSession, d: str) -> DataFrame:
+    """Events as files, each three times and in any order, without a watermark: ids that were seen are remembered."""
+    at = scratch(spark, "once")
+    e = read(spark, d, "events").select(F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("tenant_id"), F.col("event_id").cast("string").alias("event_id"), "event_type")
+    e.union(e).union(e).repartition(3).write.parquet(f"{at}/in")
+    src = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    seen.each_once(src, f"{at}/seen", f"{at}/out", f"{at}/state").awaitTermination()
+    out = spark.read.parquet(f"{at}/out")
+    return out.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct("event_type").alias("n_kinds"))
