@@ -125,7 +125,15 @@ class _Chunks(_Recent):
     """Ids (bytes of int32) of each chunk; long ones are not kept."""
 
     def __missing__(self, key):
-        return self.f(key) if len(key) > 64 else super().__missing__(key)
+        told = self.old.get(key)
+        if told is None:
+            told = array("i", self.f(key)).tobytes()
+        if len(key) <= 64:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[key] = told
+        return told
 
 
 class Merges:
@@ -179,9 +187,9 @@ class Segmenter:
         self.model = model
         self.automaton = ahocorasick.Automaton()
         for piece, (i, score) in model["pieces"].items():
-            self.automaton.add_word(piece, (len(piece), i, score))
+            self.automaton.add_word(piece, (len(piece), i) if model["bpe"] else (len(piece), i, score))
         self.automaton.make_automaton()
-        self.memo = _Chunks(lambda s: array("i", self.best(s)).tobytes(), MEMO)
+        self.memo = _Chunks(self.best, MEMO)
         self.merges = Merges(model["pieces"]) if model["bpe"] else None
         self.pairs = _Recent(self._stays, PAIRS) if model["bpe"] else None
         self.piece_of = {i: p for p, (i, _) in model["pieces"].items()}
@@ -194,22 +202,22 @@ class Segmenter:
         Matches that end at one place come longest first, along the output links.  A place that no
         match relaxes has its last character alone, as bytes.
         """
-        n = len(s)
-        size, piece = ([1] * (n + 1), [-1] * (n + 1))  # of the best last piece of each prefix
-        relax = self._by_score if self.pairs is None else self._by_pair
-        relax(s, size, piece)
+        size, piece = self._by_score(s) if self.pairs is None else self._by_pair(s)
         out: list[int] = []
-        at = n
+        at = len(s)
         while at:
             if (i := piece[at]) >= 0:
                 out.append(i)
+                at -= size[at]
             else:
                 out += [self.model["bytes"][b] for b in reversed(s[at - 1].encode("utf-8", "surrogatepass"))]
-            at -= size[at]
-        return out[::-1]
+                at -= 1
+        out.reverse()
+        return out
 
-    def _by_score(self, s: str, size: list[int], piece: list[int]) -> None:
-        """Unigram: the highest sum of scores."""
+    def _by_score(self, s: str) -> tuple[list[int], list[int]]:
+        """Unigram, the highest sum of scores: size and number (-1: none) of the best last piece of each prefix."""
+        size, piece = [1] * (len(s) + 1), [-1] * (len(s) + 1)
         unk, score, done = self.model["unk"], [0.0], 0
         for end, (k, i, gain) in self.automaton.iter(s):
             while done <= end:  # a new place: at first, its character alone
@@ -217,18 +225,23 @@ class Segmenter:
                 done += 1
             if (x := score[done - k] + gain) > score[done]:
                 score[done], size[done], piece[done] = x, k, i
-
-    def _by_pair(self, s: str, size: list[int], piece: list[int]) -> None:
-        """BPE: a match is a step only if it stays beside the best last piece of the text before it; then no other one at its end does."""
-        pairs = self.pairs
-        for end, (k, i, _) in self.automaton.iter(s):
-            if piece[end + 1] < 0:
-                begin = end + 1 - k
-                left = piece[begin]
-                if left < 0 and begin:  # a character alone
-                    left = -2 - ord(s[begin - 1])
-                if pairs[left << 32 | i]:
-                    size[end + 1], piece[end + 1] = k, i
+        return size, piece
+
+    def _by_pair(self, s: str) -> tuple[list[int], list[int]]:
+        """BPE, the same: a match is a step only if it stays beside the best last piece of the text before it; then no other one at its end does."""
+        n, pairs = len(s), self.pairs
+        size, piece = [1] * (n + 1), [-1] * (n + 1)
+        left: list[int | None] = [None] * (n + 1)  # the first half of a pair's key
+        left[0] = -1 << 32
+        for end, (k, i) in self.automaton.iter(s):
+            end += 1
+            if piece[end] < 0:
+                key = left[end - k]
+                if key is None:  # a character alone
+                    key = left[end - k] = -2 - ord(s[end - k - 1]) << 32
+                if pairs[key | i]:
+                    size[end], piece[end], left[end] = k, i, i << 32
+        return size, piece
 
     def _stays(self, pair: int) -> bool:
         left = pair >> 32
