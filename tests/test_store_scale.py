@@ -56,3 +56,18 @@ def test_chain_faults(spark):
     assert got == {0: (19, 6), 1: (19, 2), 2: (21, 9)}
     assert "Window" not in store.verify_audit_chain(chain)._jdf.queryExecution().executedPlan().toString()
     chain.unpersist()
+
+
+def test_chains_stay_whole_whatever_the_adaptive_plan_does(spark):
+    """Many rows and few heads: the join that brought the heads was turned into a broadcast while it ran, and read its rows by mapper."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        first = store.build_audit_chain(_rows(spark, 200)).localCheckpoint()
+        second = store.build_audit_chain(_rows(spark, 400, start=200).repartition(4), heads=store.chain_heads(first)).localCheckpoint()
+        assert second.count() == 400 and store.chain_faults(first.union(second)).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

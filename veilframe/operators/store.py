@@ -121,7 +121,10 @@ def build_audit_chain(rows: DataFrame, *, tenant_col: str = "tenant_id", ts_col:
     """``rows`` with seq, prev_hash and hash; behind the stored ``heads`` (see chain_heads()) where a tenant has one.
 
     A hash depends on the one before it, so each tenant's chain is one sequence.
-    Rows are dealt by tenant, sorted, and read as a stream that keeps one hash.
+    Rows are dealt by tenant, sorted, and read as a stream that keeps one hash; a stored head
+    comes as a row in front of its tenant's.  They are dealt by a hash of the tenant: were it the
+    tenant itself, Spark would leave the exchange out behind a join or grouping by tenant, and
+    its adaptive plan may then read that one by mapper, which tears chains apart.
     """
     import hashlib
 
@@ -129,27 +132,31 @@ def build_audit_chain(rows: DataFrame, *, tenant_col: str = "tenant_id", ts_col:
 
     order = [ts_col, *order_cols]
     src = rows.withColumn("__told", F.date_format(ts_col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).withColumn("__tenant", F.col(tenant_col).cast("string"))
-    if heads is None:
-        src = src.withColumn("__seq", F.lit(0).cast("long")).withColumn("__hash", F.lit(GENESIS))
-    else:
-        last = heads.select(tenant_col, F.col("seq").alias("__seq"), F.col("hash").alias("__hash"))
-        src = src.join(last, tenant_col, "left").withColumn("__seq", F.coalesce("__seq", F.lit(0).cast("long"))).withColumn("__hash", F.coalesce("__hash", F.lit(GENESIS)))
-    dealt = src.select(*rows.columns, "__told", "__tenant", "__seq", "__hash").repartition(tenant_col).sortWithinPartitions(tenant_col, *order)
+    src = src.withColumn("__seq", F.lit(None).cast("long")).withColumn("__hash", F.lit(None).cast("string"))
+    if heads is not None:
+        last = heads.select(F.col(tenant_col), F.col(tenant_col).cast("string").alias("__tenant"), F.col("seq").alias("__seq"), F.col("hash").alias("__hash"))
+        src = src.unionByName(last.dropna(subset=[tenant_col, "__seq"]), allowMissingColumns=True)
+    dealt = src.select(*rows.columns, "__told", "__tenant", "__seq", "__hash").repartition(F.xxhash64(tenant_col)).sortWithinPartitions(tenant_col, F.asc_nulls_last("__seq"), *order)
 
     def chain(batches):
         now, seq, last = None, 0, GENESIS
         for batch in batches:
             cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n in (*_FIELDS, "__told", "__tenant", "__seq", "__hash")}
-            seqs, prevs, hashes = [], [], []
+            seqs, prevs, hashes, own = [], [], [], []
             for k in range(batch.num_rows):
-                if cols["__tenant"][k] != now:
+                if cols["__seq"][k] is not None:
                     now, seq, last = cols["__tenant"][k], cols["__seq"][k], cols["__hash"][k]
+                    continue
+                if cols["__tenant"][k] != now:
+                    now, seq, last = cols["__tenant"][k], 0, GENESIS
+                own.append(k)
                 seq += 1
                 told = [last, now, str(seq), cols["__told"][k], *[cols[f][k] or "" for f in _FIELDS]]
                 prevs.append(last)
                 last = hashlib.sha256("|".join(told).encode()).hexdigest()
                 seqs.append(seq)
                 hashes.append(last)
+            batch = batch if len(own) == batch.num_rows else batch.take(pa.array(own, pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seqs, pa.int64()), pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=[*batch.schema.names, "seq", "prev_hash", "hash"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
