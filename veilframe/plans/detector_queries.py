@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inspect as ins
 from . import packs, queries
-from .queries import query, read
+from .queries import query, read, spread
 
 
 def _lead(k: Column, keyword: str) -> Column:
@@ -67,7 +67,7 @@ for _id, (_word, _value, _value_sql, _valid, _level, _mask) in MADE.items():
 
     def _run(spark, d, name=_id, word=_word, value=_value):
         k = F.col("k")
-        rows = read(spark, d, "customer").select(F.col("c_custkey").alias("k")).select("k", F.concat(_lead(k, word), value(k), F.lit(" end")).alias("text"))
+        rows = spread(read(spark, d, "customer").select(F.col("c_custkey").alias("k"))).select("k", F.concat(_lead(k, word), value(k), F.lit(" end")).alias("text"))
         hits = ins.long_hits(rows, "k").filter(F.col("detector") == name)
         first = F.get("samples", F.lit(0))
         return hits.select("k", "count", "max_confidence", first["start"].alias("start"), first["end"].alias("end"), first["masked"].alias("masked"))
@@ -81,9 +81,9 @@ u AS (SELECT k, s, strlen(s) > 1000 AS truncated FROM t)
 SELECT k, CASE WHEN NOT truncated THEN strlen(s) WHEN k % 700 >= 500 THEN 1000 ELSE 1000 END::BIGINT AS bytes_inspected, truncated, CASE WHEN 2 * (k % 700) + 17 <= 1000 THEN 1 ELSE 0 END AS n_hits FROM u""")
 def insp_truncated(spark, d):
     """A byte budget that cuts texts, in some before the card, in others behind it."""
-    k = F.col("c_custkey")
+    k = F.col("k")
     text = F.concat(F.repeat(F.lit("é"), (k % 700).cast("int")), F.lit(" 4242424242424242 "), F.repeat(F.lit("x "), (k % 900).cast("int")))
-    seen = ins.inspect(read(spark, d, "customer").select(k.alias("k"), text.alias("text")), budget=ins.Budget(max_bytes=1000))
+    seen = ins.inspect(spread(read(spark, d, "customer").select(F.col("c_custkey").alias("k"))).select("k", text.alias("text")), budget=ins.Budget(max_bytes=1000))
     hits = F.filter("inspection.hits", lambda h: h["detector"] == "credit_card")
     return seen.select("k", "inspection.bytes_inspected", "inspection.truncated", F.size(hits).alias("n_hits"))
 
@@ -96,7 +96,7 @@ SELECT o_orderkey, 'order_code' AS detector, 1::BIGINT AS count, 'high' AS max_c
 UNION ALL SELECT o_orderkey, 'segment', count(DISTINCT w)::BIGINT, 'low', string_agg('[' || length(w) || ' chars]', ',' ORDER BY i) FROM (SELECT o_orderkey, i, w FROM (SELECT o_orderkey, unnest(string_split(p, ' ')) AS w, generate_subscripts(string_split(p, ' '), 1) AS i FROM t) WHERE regexp_full_match(w, '[A-Z]{4,}')) GROUP BY o_orderkey""")
 def insp_custom(spark, d):
     """A tenant's own pack on RE2: a required keyword, and words of capitals."""
-    o = read(spark, d, "orders")
+    o = spread(read(spark, d, "orders").select("o_orderkey", "o_orderpriority"))
     text = F.concat(F.when(F.col("o_orderkey") % 3 == 0, F.lit("order")).otherwise(F.lit("code")), F.lit(" ORD-"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"), F.lit(" "), F.col("o_orderpriority"))
     hits = ins.long_hits(o.select("o_orderkey", text.alias("text")), "o_orderkey", packs=[_TENANT])
     return hits.select("o_orderkey", "detector", "count", "max_confidence", F.array_join(F.transform("samples", lambda s: s["masked"]), ",").alias("samples"))
