@@ -13,7 +13,7 @@ from ..streaming import incidents as keyed
 from ..streaming import seen, whole
 from . import bundles
 from .packs import Detector, Pack, luhn_number
-from .queries import _FACTS, LABELS, NOW, facts, query, read
+from .queries import _FACTS, LABELS, NOW, facts, query, read, spread
 from .store_queries import scratch
 
 
@@ -122,7 +122,7 @@ def insp_many_detectors(spark: SparkSession, d: str) -> DataFrame:
     """300 detectors of three packs over texts made from every customer, by one automaton of their required texts."""
     name = lambda k: F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0"))
     text = F.concat(name(F.col("c_custkey")), F.lit(" met "), name(F.col("c_custkey") * 7 % 400), F.lit(", twice "), name(F.col("c_custkey")))
-    rows = read(spark, d, "customer").select("c_custkey", text.alias("text"))
+    rows = spread(read(spark, d, "customer").select("c_custkey")).select("c_custkey", text.alias("text"))
     return inspect.long_hits(rows, "c_custkey", packs=_many_detectors()).groupBy("detector").agg(F.count(F.lit(1)).alias("n_texts"))
 
 
