@@ -16,17 +16,15 @@ class InspectText:
     """inspect_text(text): a row per raw match of the built-in pack; offsets are bytes of the normalised text."""
 
     def __init__(self):
-        from ..operators.inspect import Budget, scan
+        from ..operators.inspect import Budget, scan_one
         from ..plans.packs import BUILTIN
 
         self.ids = [d.id for d in BUILTIN.detectors]
-        self.run = scan(list(BUILTIN.detectors), Budget())
+        self.run = scan_one(list(BUILTIN.detectors), Budget())
 
     def eval(self, text: str) -> Iterator[tuple]:
-        import pyarrow as pa
-
         if text is not None:
-            for m in self.run(pa.array([text], pa.string()))[0].as_py()["spans"]:
+            for m in self.run(text):
                 yield self.ids[m["d"]], m["s"], m["e"], m["m"], m["k"]
 
 

@@ -13,7 +13,7 @@ from ..sources import readers
 from ..sources.scratch import scratch
 from ..streaming import events as streams
 from . import queries
-from .queries import BUNDLE, NOW, facts, query, read
+from .queries import BUNDLE, NOW, facts, query, read, spread
 
 
 # -------------------------------------------------------------- verdicts in words
@@ -186,10 +186,10 @@ UNION ALL SELECT k, 'email_address', CASE WHEN keyed THEN 31 ELSE 26 END, CASE W
 def udtf_inspect_text(spark, d):
     """The table function inspect_text(text) in a lateral join, its values checked by a SQL function."""
     names.register(spark)
-    k = F.col("c_custkey")
+    k = F.col("k")
     value = F.concat(F.lit("DE"), F.lpad((k % 97).cast("string"), 2, "0"), F.lpad((k * 104729).cast("string"), 18, "0"))
     t = F.concat(F.when(k % 2 == 0, F.lit("bank ü ")).otherwise(F.lit("ü ")), value, F.lit(" c"), k.cast("string"), F.lit("@ml.example.org"))
-    read(spark, d, "customer").select(k.alias("k"), t.alias("t")).createOrReplaceTempView("veil_contacts")
+    spread(read(spark, d, "customer").select(F.col("c_custkey").alias("k"))).select("k", t.alias("t")).createOrReplaceTempView("veil_contacts")
     return spark.sql("SELECT k, m.detector, m.start, m.end, m.keyword FROM veil_contacts, LATERAL inspect_text(t) AS m WHERE value_ok(m.detector, m.value)")
 
 
