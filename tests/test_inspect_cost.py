@@ -65,3 +65,10 @@ def test_a_batch_is_scanned_in_parts():
 
     assert ins.in_parts(run, 5000)(texts).equals(whole(texts))
     assert len(seen) > 10 and all(len(p) == 1 or sum(len((t or "").encode()) for t in p.to_pylist()) < 5000 + 9000 for p in seen)
+
+
+@pytest.mark.parametrize("query,most", [("pol_trace", 40_000), ("det_made_jwt", 60_000)])
+def test_tests_for_empty_arrays_are_not_spelt_out(spark, sf, query, most):
+    """explode() asks whether its array is empty; pushed down, that would compute all of it a second time, with nothing shared."""
+    plan = _plan(entry.queries()[query](spark, sf))
+    assert len(plan) < most, len(plan)

@@ -35,7 +35,7 @@ CASE policy || coalesce(rule, '') WHEN 'p1r1' THEN coalesce({queries._RANK}, 0)
 SELECT event_id, policy, skipped, CASE WHEN skipped IS NULL THEN rule END AS rule, CASE WHEN skipped IS NULL THEN field END AS field, CASE WHEN skipped IS NULL THEN op END AS op, CASE WHEN skipped IS NULL THEN result END AS result FROM t WHERE skipped IS NULL OR coalesce(rule, 'r1') <> 'r2'""")
 def pol_trace(spark, d):
     """The full trace, a row per leaf; skipped policies tell why."""
-    v = policy.evaluate(facts(spark, d), BUNDLE, now=NOW, trace=True)
+    v = policy.evaluate(facts(spark, d, spread), BUNDLE, now=NOW, trace=True)
     p = v.select("event_id", F.explode("verdict.trace").alias("p"))
     r = p.select("event_id", "p.policy", F.col("p.skipped_reason").alias("skipped"), F.explode_outer("p.rules").alias("r"))
     c = r.select("event_id", "policy", "skipped", F.col("r.rule").alias("rule"), F.explode_outer("r.conditions").alias("c"))
