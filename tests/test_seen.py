@@ -39,3 +39,9 @@ def test_stream_goes_on(spark, tmp_path):
         src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
         seen.each_once(src, f"{tmp_path}/seen", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(f"e{k}" for k in range(30))
+
+
+def test_an_id_is_one_row_of_the_filter(spark):
+    rows = seen._bucketed(spark.createDataFrame([("t", f"e{k}") for k in range(300)], "tenant_id string, event_id string"))
+    told = seen._probes(rows).collect()
+    assert len(told) == 300 and all(0 <= r["word"] < seen.WORDS and 1 <= (r["mask"] & (1 << 64) - 1).bit_count() <= seen.PROBES for r in told)

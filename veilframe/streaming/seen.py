@@ -16,6 +16,8 @@ Null tenants or ids are no events and are dropped.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,23 +40,21 @@ def _bucketed(rows: DataFrame) -> DataFrame:
 
 
 def _probes(rows: DataFrame) -> DataFrame:
-    """A row for each bit of the filter that an id stands for."""
-    bits = [F.pmod(F.xxhash64(F.lit(2 + k), *KEY), F.lit(WORDS * 64)) for k in range(PROBES)]
-    each = rows.select(*KEY, "bucket", F.explode(F.array(*bits)).alias("at"))
-    return each.select(*KEY, "bucket", F.floor(F.col("at") / 64).cast("int").alias("word"), (F.col("at") % 64).cast("int").alias("bit"))
+    """The word of the filter that an id stands in, and its bits there: all in one word, so that an id is one row."""
+    word = F.pmod(F.xxhash64(F.lit(2), *KEY), F.lit(WORDS)).cast("int")
+    bits = [F.expr(f"shiftleft(1L, cast(pmod(xxhash64({3 + k}, {', '.join(KEY)}), 64) as int))") for k in range(PROBES)]
+    return rows.select(*KEY, "bucket", word.alias("word"), reduce(lambda a, b: a.bitwiseOR(b), bits).alias("mask"))
 
 
 def _words(ids: DataFrame) -> DataFrame:
-    one = F.expr("shiftleft(1L, bit)")
-    return _probes(ids).groupBy("bucket", "word").agg(F.bit_or(one).alias("bits"))
+    return _probes(ids).groupBy("bucket", "word").agg(F.bit_or("mask").alias("bits"))
 
 
 def known(rows: DataFrame, path: str, number: int) -> DataFrame:
     """The ids (tenant_id, event_id, bucket) of ``rows`` that other batches have written."""
     spark = rows.sparkSession
     words = _table(spark, f"{path}/words", _WORD).filter(F.col("batch") != number).groupBy("bucket", "word").agg(F.bit_or("bits").alias("bits"))
-    hit = _probes(rows).join(words, ["bucket", "word"]).filter(F.getbit("bits", F.col("bit")) == 1)
-    maybe = hit.groupBy(*KEY, "bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == PROBES).select(*KEY, "bucket")
+    maybe = _probes(rows).join(words, ["bucket", "word"]).filter(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select(*KEY, "bucket")
     ids = _table(spark, f"{path}/ids", _IDS).filter(F.col("batch") != number).select(*KEY, "bucket")
     return maybe.join(ids, [*KEY, "bucket"], "left_semi")
 
@@ -64,7 +64,7 @@ def only_new(batch: DataFrame, path: str, number: int) -> DataFrame:
     rows = _bucketed(batch.dropna(subset=list(KEY)).dropDuplicates(list(KEY))).persist()
     fresh = rows.join(known(rows.select(*KEY, "bucket"), path, number), [*KEY, "bucket"], "left_anti").persist()
     fresh.select(*KEY, "bucket").repartition("bucket").sortWithinPartitions("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/ids/batch={number}")
-    _words(fresh.select(*KEY, "bucket")).coalesce(1).write.mode("overwrite").parquet(f"{path}/words/batch={number}")
+    _words(fresh.select(*KEY, "bucket")).write.mode("overwrite").parquet(f"{path}/words/batch={number}")
     rows.unpersist()
     return fresh.drop("bucket")
 
