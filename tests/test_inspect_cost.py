@@ -72,3 +72,11 @@ def test_tests_for_empty_arrays_are_not_spelt_out(spark, sf, query, most):
     """explode() asks whether its array is empty; pushed down, that would compute all of it a second time, with nothing shared."""
     plan = _plan(entry.queries()[query](spark, sf))
     assert len(plan) < most, len(plan)
+
+
+def test_an_envelope_is_parsed_once(spark):
+    from veilframe.streaming.events import parse_envelopes
+
+    rows = spark.createDataFrame([("{",)], "value string")
+    plan = _plan(parse_envelopes(rows, keep=("value",)).filter("error IS NULL"))
+    assert plan.count("from_json") == 1

@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.policy import evaluate
+from ..operators.names import free_prefix
+from ..operators.policy import evaluate, held
 from ..plans.bundles import Bundle
 
 #: Closed part of the envelope; actor and destination are open and stay VARIANT.
@@ -34,13 +35,17 @@ def parse_envelopes(raw: DataFrame, value_col: str = "value", keep: tuple[str, .
     text = F.col(value_col).cast("string")
     e = F.from_json(text, ", ".join(f"{name} {kind}" for name, kind in ENVELOPE.items()))
     odd = F.array_except(F.json_object_keys(text), F.array(*map(F.lit, ENVELOPE)))
+    bad = F.when(F.try_parse_json(text).isNull(), F.lit("no JSON")).when(F.size(odd) > 0, F.concat(F.lit("unknown field "), F.get(odd, F.lit(0))))
+    p = free_prefix(raw)
+    told = lambda name: F.col(f"{p}e.{name}")
     error = (
-        F.when(F.try_parse_json(text).isNull(), F.lit("no JSON"))
-        .when(F.size(odd) > 0, F.concat(F.lit("unknown field "), F.get(odd, F.lit(0))))
-        .when(~F.coalesce(e["event_id"].rlike(ULID), F.lit(False)), F.lit("event_id is no ULID"))
-        .when(e["tenant_id"].isNull() | e["occurred_at"].isNull(), F.lit("tenant_id and occurred_at are needed"))
+        F.when(F.col(f"{p}bad").isNotNull(), F.col(f"{p}bad"))
+        .when(~F.coalesce(told("event_id").rlike(ULID), F.lit(False)), F.lit("event_id is no ULID"))
+        .when(told("tenant_id").isNull() | told("occurred_at").isNull(), F.lit("tenant_id and occurred_at are needed"))
     )
-    return raw.select(e.alias("e"), error.alias("error"), *keep).select("e.*", *keep, "error")
+    # Held: each text is parsed once, and not again for every field that a filter on the error asks for.
+    rows = raw.select(held(e).alias(f"{p}e"), held(bad).alias(f"{p}bad"), *keep)
+    return rows.select(f"{p}e.*", *keep, error.alias("error"))
 
 
 def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
