@@ -23,6 +23,16 @@ def test_a_small_file_is_inspected_by_all_cores(spark, sf, query):
     assert "Repartition 16, true" in _plan(entry.queries()[query](spark, sf))
 
 
+def test_all_made_texts_are_inspected_by_all_cores(spark, sf):
+    """The step is one for all detectors; no task has much more than its share of the rows."""
+    from veilframe.plans.detector_queries import MADE
+    from veilframe.plans.queries import read, spread
+
+    assert not [d for d in MADE if "Repartition 16, true" not in _plan(entry.queries()[f"det_made_{d}"](spark, sf))]
+    sizes = spread(read(spark, sf, "customer").select("c_custkey")).groupBy(F.spark_partition_id()).count().select("count").collect()
+    assert len(sizes) == 16 and max(sizes)[0] <= 2 * min(sizes)[0]
+
+
 def test_entropy_reads_the_bytes_once(spark):
     r = random.Random(5)
     texts = ["", "a", "é", "ab12" * 10, *("".join(r.choices("abcXYZ019+/é", k=r.randint(1, 60))) for _ in range(200)), None]
