@@ -33,6 +33,26 @@ def test_all_made_texts_are_inspected_by_all_cores(spark, sf):
     assert len(sizes) == 16 and max(sizes)[0] <= 2 * min(sizes)[0]
 
 
+def test_one_row_group_in_many_stretches_is_dealt_too(spark, sf, tmp_path):
+    """A file cut into more stretches of bytes than are asked for: the one with the row group has all rows."""
+    from veilframe.plans.queries import read, spread
+
+    spark.range(200_000, numPartitions=1).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        rows = read(spark, str(tmp_path), "customer")
+        assert rows.rdd.getNumPartitions() >= 16
+        sizes = lambda df: [x[0] for x in df.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        dealt = sizes(spread(rows))
+        assert sizes(rows) == [200_000] and sum(dealt) == 200_000
+        assert len(dealt) >= 16 and max(dealt) <= 2 * min(dealt)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_entropy_reads_the_bytes_once(spark):
     r = random.Random(5)
     texts = ["", "a", "é", "ab12" * 10, *("".join(r.choices("abcXYZ019+/é", k=r.randint(1, 60))) for _ in range(200)), None]
